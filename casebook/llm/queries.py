@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from casebook.llm import quality
+import public_tokenizers
+
+from casebook.llm import bpe, lengths, quality
 from casebook.llm.common import read
 
 
@@ -11,4 +13,12 @@ def op9_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_lower", "fail_bits")
 
 
-QUERIES = {"op9_quality_rules": op9_quality_rules}
+def op2_bpe(spark, sf_dir):
+    return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op10_token_counts(spark, sf_dir):
+    return lengths.suffix_sums(lengths.histogram(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
+QUERIES = {"op2_bpe": op2_bpe, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
