@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from casebook.llm import bpe, lengths, quality
+from casebook.llm import bpe, lengths, quality, secrets
 from casebook.llm.common import read
 
 
@@ -13,6 +13,10 @@ def op9_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_lower", "fail_bits")
 
 
+def op1_secret_scan(spark, sf_dir):
+    return secrets.scan(read(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark, sf_dir):
     return bpe.digests(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -21,4 +25,4 @@ def op10_token_counts(spark, sf_dir):
     return lengths.suffix_sums(lengths.histogram(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
