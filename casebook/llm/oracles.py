@@ -23,4 +23,16 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM b
 """
 
-ORACLES = {"op9_quality_rules": OP9}
+#: Base32 of 20 bytes: each hex digit gives 4 bits, each 5 bits a letter.
+OP5 = """
+WITH p AS (SELECT row_number() OVER () AS rid, page_id, encode(coalesce(html, '')) AS payload FROM pages),
+h AS (SELECT rid, page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS sha FROM p),
+bits AS (SELECT *, list_reduce(list_transform(range(1, 41), lambda i: right(bin(instr('0123456789abcdef', sha[i]) + 15), 4)), lambda x, y: x || y) AS b FROM h),
+d AS (SELECT *, list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+  CAST(1 + 16 * CAST(b[5 * i + 1] AS INT) + 8 * CAST(b[5 * i + 2] AS INT) + 4 * CAST(b[5 * i + 3] AS INT) + 2 * CAST(b[5 * i + 4] AS INT) + CAST(b[5 * i + 5] AS INT) AS BIGINT), 1)), lambda x, y: x || y) AS payload_digest,
+  min(page_id) OVER (PARTITION BY sha) AS first_id FROM bits)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id > first_id THEN first_id END AS refers_to FROM d
+"""
+
+ORACLES = {"op5_warc": OP5, "op9_quality_rules": OP9}

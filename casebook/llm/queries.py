@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 import public_tokenizers
 
-from casebook.llm import bpe, language, lengths, quality, secrets
-from casebook.llm.common import read
+from casebook.llm import bpe, language, lengths, quality, secrets, warc
+from casebook.llm.common import read, shared_dir
 
 
 def op3_language_id(spark, sf_dir):
@@ -14,6 +16,12 @@ def op3_language_id(spark, sf_dir):
     return language.predict(docs, model).withColumn("held_out", language.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op5_warc(spark, sf_dir):
+    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write(read(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op9_quality_rules(spark, sf_dir):
     rows = quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_lower", "fail_bits")
@@ -31,4 +39,4 @@ def op10_token_counts(spark, sf_dir):
     return lengths.suffix_sums(lengths.histogram(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op5_warc": op5_warc, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
