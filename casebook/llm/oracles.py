@@ -35,4 +35,48 @@ SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id > first_id THEN
   CASE WHEN page_id > first_id THEN first_id END AS refers_to FROM d
 """
 
-ORACLES = {"op5_warc": OP5, "op9_quality_rules": OP9}
+OP4 = """
+WITH u AS (SELECT page_id, translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+r AS (SELECT *, host || path AS s, CASE
+  WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+  WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+  WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+  WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM u),
+l AS (SELECT *, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS label FROM r),
+-- crc32 is not a DuckDB function: the fold is computed bit by bit over the bytes
+texts AS (SELECT s, label, count(*) AS n FROM l GROUP BY s, label),
+crc_table AS (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) AS q(i)),
+crc_all AS (SELECT list(c ORDER BY i) AS t FROM crc_table),
+folded AS (SELECT texts.*, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, 2 * octet_length(encode(s)), 2), lambda i: CAST(('0x' || substr(hex(encode(s)), i, 2)) AS BIGINT))),
+  lambda c, b: xor(c >> 8, t[CAST(xor(c, b) & 255 AS BIGINT) + 1])), 4294967295) % 5 = 0 AS fold FROM texts, crc_all),
+asked AS (SELECT * FROM folded WHERE label IS NULL OR fold),
+grams AS (SELECT s, label, n, fold, substr('^^^^' || s || '$', i, 5) AS gram FROM (SELECT *, unnest(range(1, length(s) + 2)) AS i FROM folded)),
+seen AS (SELECT gram, sum(CASE WHEN label = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN label = 'block' THEN n ELSE 0 END) AS b FROM grams WHERE label IS NOT NULL AND NOT fold GROUP BY gram),
+nodes AS (SELECT right(gram, j + 1) AS suffix, substr(right(gram, j + 1), 1, j) AS context, sum(a) AS a, sum(b) AS b FROM seen, range(5) AS q(j) GROUP BY ALL),
+contexts AS (SELECT context, sum(a) AS ca, sum(b) AS cb, count_if(a > 0) AS ta, count_if(b > 0) AS tb FROM nodes GROUP BY context),
+wanted AS (SELECT DISTINCT gram FROM grams WHERE label IS NULL OR fold),
+levels AS (SELECT gram, list({'a': CAST(coalesce(a, 0) AS DOUBLE), 'b': CAST(coalesce(b, 0) AS DOUBLE), 'ca': CAST(coalesce(ca, 0) AS DOUBLE), 'cb': CAST(coalesce(cb, 0) AS DOUBLE),
+    'ta': CAST(coalesce(ta, 0) AS DOUBLE), 'tb': CAST(coalesce(tb, 0) AS DOUBLE)} ORDER BY j) AS x
+  FROM (SELECT gram, j, right(gram, j + 1) AS suffix, substr(right(gram, j + 1), 1, j) AS context FROM wanted, range(5) AS q(j)) w
+  LEFT JOIN nodes USING (suffix) LEFT JOIN contexts ON w.context = contexts.context GROUP BY gram),
+p0 AS (SELECT gram, x, 1.0::DOUBLE / 256 AS pa, 1.0::DOUBLE / 256 AS pb FROM levels),
+p1 AS (SELECT gram, x, CASE WHEN x[1].ca = 0 THEN pa ELSE (x[1].a + x[1].ta * pa) / (x[1].ca + x[1].ta) END AS pa, CASE WHEN x[1].cb = 0 THEN pb ELSE (x[1].b + x[1].tb * pb) / (x[1].cb + x[1].tb) END AS pb FROM p0),
+p2 AS (SELECT gram, x, CASE WHEN x[2].ca = 0 THEN pa ELSE (x[2].a + x[2].ta * pa) / (x[2].ca + x[2].ta) END AS pa, CASE WHEN x[2].cb = 0 THEN pb ELSE (x[2].b + x[2].tb * pb) / (x[2].cb + x[2].tb) END AS pb FROM p1),
+p3 AS (SELECT gram, x, CASE WHEN x[3].ca = 0 THEN pa ELSE (x[3].a + x[3].ta * pa) / (x[3].ca + x[3].ta) END AS pa, CASE WHEN x[3].cb = 0 THEN pb ELSE (x[3].b + x[3].tb * pb) / (x[3].cb + x[3].tb) END AS pb FROM p2),
+p4 AS (SELECT gram, x, CASE WHEN x[4].ca = 0 THEN pa ELSE (x[4].a + x[4].ta * pa) / (x[4].ca + x[4].ta) END AS pa, CASE WHEN x[4].cb = 0 THEN pb ELSE (x[4].b + x[4].tb * pb) / (x[4].cb + x[4].tb) END AS pb FROM p3),
+p5 AS (SELECT gram, CASE WHEN x[5].ca = 0 THEN pa ELSE (x[5].a + x[5].ta * pa) / (x[5].ca + x[5].ta) END AS pa, CASE WHEN x[5].cb = 0 THEN pb ELSE (x[5].b + x[5].tb * pb) / (x[5].cb + x[5].tb) END AS pb FROM p4),
+llr AS (SELECT gram, CAST(round((ln(pa) - ln(pb)) * 1000000) AS BIGINT) AS llr FROM p5),
+scores AS (SELECT s, CAST(floor(CAST(sum(llr) AS DOUBLE) / count(*)) AS BIGINT) AS score FROM (SELECT s, gram FROM grams WHERE label IS NULL OR fold) JOIN llr USING (gram) GROUP BY s),
+bins AS (SELECT CAST(floor(score / 10000.0) AS BIGINT) AS bin, sum(CASE WHEN label = 'allow' THEN n ELSE 0 END) AS a, sum(CASE WHEN label = 'block' THEN n ELSE 0 END) AS b
+  FROM asked JOIN scores USING (s) WHERE label IS NOT NULL GROUP BY 1),
+gains AS (SELECT bin, a_from / CAST(all_a AS DOUBLE) + (all_b - b_from) / CAST(all_b AS DOUBLE) AS gain FROM
+  (SELECT bin, sum(a) OVER () AS all_a, sum(b) OVER () AS all_b, sum(a) OVER (ORDER BY bin DESC) AS a_from, sum(b) OVER (ORDER BY bin DESC) AS b_from FROM bins) WHERE all_a > 0 AND all_b > 0),
+threshold AS (SELECT coalesce((SELECT bin FROM gains ORDER BY gain DESC, bin LIMIT 1), 0) AS least)
+SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN label WHEN coalesce(floor(score / 10000.0), 0) >= least THEN 'allow' ELSE 'block' END AS verdict,
+  CASE WHEN rule IS NULL THEN score END AS score
+FROM threshold, l LEFT JOIN scores USING (s)
+"""
+
+ORACLES = {"op4_url_filter": OP4, "op5_warc": OP5, "op9_quality_rules": OP9}

@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from casebook.llm import bpe, language, lengths, quality, secrets, warc
+from casebook.llm import bpe, language, lengths, quality, secrets, urls, warc
 from casebook.llm.common import read, shared_dir
 
 
@@ -16,6 +16,14 @@ def op3_language_id(spark, sf_dir):
     return language.predict(docs, model).withColumn("held_out", language.held_out()).select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: The rules of the query.
+URL_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+
+
+def op4_url_filter(spark, sf_dir):
+    return urls.judge(read(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_warc(spark, sf_dir):
     folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
     warc.write(read(spark, sf_dir, "pages"), folder)
@@ -39,4 +47,4 @@ def op10_token_counts(spark, sf_dir):
     return lengths.suffix_sums(lengths.histogram(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op5_warc": op5_warc, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
