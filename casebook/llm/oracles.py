@@ -79,4 +79,16 @@ SELECT page_id, host, path, rule, CASE WHEN rule IS NOT NULL THEN label WHEN coa
 FROM threshold, l LEFT JOIN scores USING (s)
 """
 
-ORACLES = {"op4_url_filter": OP4, "op5_warc": OP5, "op9_quality_rules": OP9}
+#: All alignments of every document with every item, by equal words.
+OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS w FROM documents),
+i AS (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') AS x FROM benchmark),
+dw AS (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS p FROM d),
+iw AS (SELECT item_id, unnest(x) AS word, unnest(range(len(x))) AS k, len(x) AS n FROM i),
+m AS (SELECT doc_id, item_id, n, p - k AS off, k FROM dw JOIN iw USING (word)),
+a AS (SELECT doc_id, item_id, n, off, count(*) AS n_matched, list(k) AS ks FROM m GROUP BY ALL HAVING 100 * count(*) >= 80 * least(n, 20)),
+ok AS (SELECT *, n > 20 AND list_bool_or(list_transform(range(0, n - 19), lambda s: 100 * len(list_filter(ks, lambda k: k >= s AND k < s + 20)) >= 1600)) AS windowed FROM a)
+SELECT doc_id, item_id, CAST(off AS INTEGER) AS off, CAST(n AS INTEGER) AS n_item_words, CAST(n_matched AS INTEGER) AS n_matched FROM ok WHERE 100 * n_matched >= 80 * n OR windowed
+"""
+
+ORACLES = {"op6_decontamination": OP6, "op4_url_filter": OP4, "op5_warc": OP5, "op9_quality_rules": OP9}

@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from casebook.llm import bpe, language, lengths, quality, secrets, urls, warc
+from casebook.llm import bpe, decontam, language, lengths, quality, secrets, urls, warc
 from casebook.llm.common import read, shared_dir
 
 
@@ -30,6 +30,10 @@ def op5_warc(spark, sf_dir):
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_decontamination(spark, sf_dir):
+    return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op9_quality_rules(spark, sf_dir):
     rows = quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents")))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_lower", "fail_bits")
@@ -47,4 +51,4 @@ def op10_token_counts(spark, sf_dir):
     return lengths.suffix_sums(lengths.histogram(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
