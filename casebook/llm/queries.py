@@ -6,7 +6,7 @@ import uuid
 
 import public_tokenizers
 
-from casebook.llm import bpe, decontam, language, lengths, neardup, quality, secrets, urls, warc
+from casebook.llm import bpe, decontam, language, lengths, neardup, quality, repeats, secrets, urls, warc
 from casebook.llm.common import read, shared_dir
 
 
@@ -34,6 +34,10 @@ def op6_decontamination(spark, sf_dir):
     return decontam.contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op7_repeats(spark, sf_dir):
+    return repeats.digests(read(spark, sf_dir, "documents"))
+
+
 def op8_near_duplicates(spark, sf_dir):
     return neardup.groups(read(spark, sf_dir, "documents"), k=2, percent=80)
 
@@ -55,4 +59,4 @@ def op10_token_counts(spark, sf_dir):
     return lengths.suffix_sums(lengths.histogram(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_repeats": op7_repeats, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
