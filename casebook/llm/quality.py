@@ -93,18 +93,27 @@ def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text"):
             values = measure(part.column("text"))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(v.astype(np.int64)) for v in values)], names=["doc_id", *MEASURES])
+            yield pa.RecordBatch.from_arrays([part.column("row"), *(pa.array(v.astype(np.int64)) for v in values)], names=["row", *MEASURES])
 
 
-def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, MEASURES and `fail_bits`, one row per document."""
-    one = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    kind = one.schema["doc_id"].dataType.simpleString()
-    measured = one.mapInArrow(_measured, f"doc_id {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+def _judged(docs: DataFrame, keep: list[str], text: str) -> DataFrame:
+    """`row` (a struct of the columns to keep), MEASURES and `fail_bits` of every row."""
+    rows = docs.select(F.struct(*keep).alias("row"), F.col(text).alias("text"))
+    measured = rows.mapInArrow(_measured, f"row {rows.schema['row'].dataType.simpleString()}, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = " + ".join(f"CASE WHEN {fails} THEN {1 << i} ELSE 0 END" for i, (_, fails) in enumerate(RULES))
     return measured.withColumn("fail_bits", F.expr(bits).cast("long"))
 
 
+def ledger(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, MEASURES and `fail_bits`, one row per document."""
+    return _judged(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ["doc_id"], "text").select("row.doc_id", *MEASURES, "fail_bits")
+
+
+def keep(docs: DataFrame, version: int = 1, text: str = "text") -> DataFrame:
+    """The rows that a policy keeps, with all their columns."""
+    return apply_policy(_judged(docs, docs.columns, text), version).where("kept").select("row.*")
+
+
 def apply_policy(ledger_rows: DataFrame, version: int = 1) -> DataFrame:
     """Adds `base_failed` and `kept`."""
     fails = lambda rules: F.col("fail_bits").bitwiseAND(F.lit(mask(rules))) != 0
