@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from casebook.functions.columns import category_key, geography_key
 from casebook.sources.schema import GEOGRAPHIES, TAXONOMIES
 
-TRUE = F.lit(True)
-
 
 def in_span(df: DataFrame, start: date, end: date) -> Column:
     """Both days included. Where the table is partitioned by year, its years are named too, so that partitions are pruned."""
@@ -26,20 +24,20 @@ def months_in_span(start: date, end: date) -> Column:
 
 
 def in_categories(taxonomy: str, values: list[str]) -> Column:
-    return F.col(TAXONOMIES[taxonomy]).isin([v.strip().upper() for v in values]) if values else TRUE
+    return F.col(TAXONOMIES[taxonomy]).isin([v.strip().upper() for v in values]) if values else F.lit(True)
 
 
 def in_geographies(level: str, values: list) -> Column:
     """Citywide has no values to filter by."""
     column = GEOGRAPHIES[level]
     if not values or column is None:
-        return TRUE
-    return F.array_contains(F.array(*(geography_key(F.lit(str(v)), level) for v in values)), F.col(column))
+        return F.lit(True)
+    return F.col(column).isin(*(geography_key(F.lit(str(v)), level) for v in values))
 
 
 def has_flag(name: str, value: bool | None) -> Column:
     """Rows whose flag is unknown match neither value; None is no filter."""
-    return TRUE if value is None else F.col(name) == F.lit(value)
+    return F.lit(True) if value is None else F.col(name) == F.lit(value)
 
 
 def is_case(number: str) -> Column:

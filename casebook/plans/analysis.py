@@ -273,10 +273,10 @@ def sort06_drifting_codes(spark, d):
     return drift.codes(rollups.code_months(df), rollups.code_coverage(df), rollups.meta(df), date(1997, 1, 1), date(1999, 12, 31))
 
 
-@query("SELECT id, date, iucr FROM incidents WHERE date >= timestamp '1997-03-01' AND date < timestamp '1997-04-01' AND stable_category IN ('HIGH') AND ward IN (1, 2, 3, 4) AND arrest AND NOT domestic")
+@query("SELECT id, date, iucr FROM incidents WHERE date >= timestamp '1997-03-01' AND date < timestamp '1998-01-01' AND stable_category IN ('HIGH') AND ward <= 20 AND arrest AND NOT domestic")
 def flt01_04_filters(spark, d):
     df = storage.read_incidents(spark, stored(spark, d))
-    keep = P.in_span(df, date(1997, 3, 1), date(1997, 3, 31)) & P.in_categories("comparable", ["high"]) & P.in_geographies("ward", [1, 2, 3, 4])
+    keep = P.in_span(df, date(1997, 3, 1), date(1997, 12, 31)) & P.in_categories("comparable", ["high"]) & P.in_geographies("ward", list(range(1, 21)))
     return df.where(keep & P.has_flag("arrest", True) & P.has_flag("domestic", False)).select("id", "date", "iucr")
 
 
