@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from casebook.llm import bpe, components, decontam, language, lengths, neardup, quality, repeats, secrets, urls, warc, words
+from casebook.llm.common import flat
 from casebook.llm.oracles import ORACLES
 from casebook.llm.queries import QUERIES, URL_RULES
 
@@ -70,7 +71,7 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.parametrize("k", [1, 2, 5])
 def test_shingle_sets_have_the_right_sizes_and_overlaps(k):
     texts = odd_texts()
-    elements, bounds = words.shingle_sets(*__import__("casebook.llm.common", fromlist=["flat"]).flat(pa.array(texts)), k)
+    elements, bounds = words.shingle_sets(*flat(pa.array(texts)), k)
     mine = [set(elements[a:b].tolist()) for a, b in itertools.pairwise(bounds)]
     true = [shingles(t, k) for t in texts]
     assert [len(s) for s in mine] == [len(s) for s in true]
@@ -110,9 +111,8 @@ def test_keys_are_confirmed_by_their_structure(data, kind):
     assert [(secrets.KINDS[k], text[a:b]) for a, k, b in secrets.spans(text)] == [(kind, key)]
     assert not secrets.spans(f"x {key[:-9]} y")  # cut short
     if kind == "der":
-        found = secrets.spans(f"x {data.hex().upper()} y")
-        assert [secrets.KINDS[k] for _, k, _ in found] == ["hexder"]
-        assert not secrets.spans(f"x {data.hex().upper()[:-2]} y")
+        assert (2, 4, 2 + 2 * len(data)) in secrets.spans(f"x {data.hex().upper()} y")
+        assert all(kind_ == 2 for _, kind_, _ in secrets.spans(f"x {data.hex().upper()[:-2]} y"))  # digits alone are base hex
 
 
 def test_certificates_and_wrong_tokens_are_no_secrets():
@@ -394,8 +394,9 @@ def groups_by_force(rows, k, percent):
     return collections.Counter((d, len(s), None if d is None else find(d), True if d is None else find(d) == d) for d, s in sets)
 
 
-@pytest.mark.parametrize("k", [2, 5])
-def test_near_duplicates_equal_brute_force(spark, odd, empty, k):
+@pytest.mark.parametrize("k,block", [(2, 4096), (5, 4096), (2, 3)])
+def test_near_duplicates_equal_brute_force(spark, odd, empty, monkeypatch, k, block):
+    monkeypatch.setattr(neardup, "BLOCK", block)
     r = random.Random(4)
     vocabulary = [f"w{i}" for i in range(60)]
     rows = [(r_.doc_id, r_.text) for r_ in odd.collect()]
@@ -413,6 +414,28 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty, k):
     assert kept.columns == odd.columns and kept.count() < odd.count()
 
 
+@pytest.mark.parametrize("side", ["one block", "two blocks"])
+def test_differences_decide_links_exactly(side):
+    r = np.random.default_rng(6)
+    centre = np.arange(200)
+    for _ in range(20):
+        sets = []
+        for _ in range(25):
+            gone = r.choice(centre, r.integers(5, 45), replace=False)
+            sets.append(set(centre) - set(gone.tolist()) | set((1000 + r.integers(0, 40, r.integers(0, 30))).tolist()))
+        weight = np.array([100 * len(set(centre) - s) + 80 * len(s - set(centre)) for s in sets])
+        delta = [np.array(sorted(set(centre) ^ s)) for s in sets]
+        sides = np.full(25, 3) if side == "one block" else np.where(np.arange(25) < 12, 1, 2)
+        links = neardup.joining_links(list(range(25)), list(range(25)), weight, delta, sides, len(centre), 80)
+        similar = lambda a, b: 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+        assert all(similar(a, b) for a, b in links)
+        far = [x for x in range(25) if weight[x] > 20 * len(centre) and sides[x] & 1]
+        root = list(range(25))
+        for a, b in links:
+            root = [root[a] if c == root[b] else c for c in root]
+        assert all(root[a] == root[b] for a in far for b in range(25) if sides[b] & 2 and a != b and similar(a, b))
+
+
 def test_signatures_estimate_similarity_with_low_variance():
     r = np.random.default_rng(3)
     error = []
