@@ -30,7 +30,7 @@ def _linked(edges: DataFrame, both: bool) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of edges (u, v); the component is its smallest vertex.
     Nulls are left out."""
-    edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = None
     while True:
         edges = cut(_linked(_linked(edges, True), False))

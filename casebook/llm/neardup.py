@@ -7,11 +7,18 @@ as soon as every slot of a document holds less than the level reached: after one
 visit an element, for long documents.
 
 Links: documents with equal sets are one class, represented by its smallest id; only
-representatives are compared. Bands of the signature make buckets. Every member of a
-bucket is first compared with one centre of it, which takes rows in proportion to
-the members (a group of copies has a centre in each band); what is then in one component needs no further comparison, and only
-pairs of members of different components, of sizes that allow the similarity, are
-compared besides. Every link that decides a component is verified on the full sets.
+representatives are compared. Bands of the signature make buckets, and buckets with the
+same smallest member, their centre, make a group. Every member is compared with the
+centre, and then with a second one, the member nearest to the first. In a group of near
+copies that joins most members, at the cost of two comparisons each.
+
+Members of a group that are then in different components are compared by their
+differences from the second centre c. If x lacks r of its shingles and has a others, let
+w = 100 r + t a for similarity t %. Two members whose differences share o elements have
+that similarity exactly if (100 + t) o >= w1 + w2 - (100 - t) |c|. So what they share is
+counted with an inverted index over the differences, block against block, in bounded
+memory; only links that join components leave a task, never pairs. Every link that
+decides a component is thus verified on the full sets, and no bucket is capped.
 
 Edge cases: a document of fewer words than a shingle has its whole sequence as one
 shingle; without words, or with a null text, its set is empty, it links with nothing
@@ -89,23 +96,112 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, fp1 long, fp2 long, bands array<bigint>")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets have 100 * intersection >= percent * union."""
+#: Members of a group that are held together; a larger group is compared block against block.
+BLOCK = 4096
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece in chunks(batch, "u_text"):
-                for part in chunks(piece, "v_text"):
-                    (x, xb), (y, yb) = (shingle_sets(*flat(part.column(c)), k) for c in ("u_text", "v_text"))
-                    both = np.array([np.intersect1d(x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]], assume_unique=True).size for i in range(len(part))])
-                    union = np.diff(xb) + np.diff(yb) - both
-                    good = pa.array((union > 0) & (100 * both >= percent * union))
-                    yield pa.RecordBatch.from_arrays([part.column("u").filter(good), part.column("v").filter(good)], names=["u", "v"])
-
-    kind = pairs.schema["u"].dataType.simpleString()
+
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
-    rows = pairs.join(of("u"), "u").join(of("v"), "v").select("u", "v", "u_text", "v_text")
-    return rows.mapInArrow(run, f"u {kind}, v {kind}")
+    return pairs.join(of("v"), "v").join(of("u"), "u")
+
+
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list, list]]:
+    """Batches of bounded text with the shingle sets of u_text and v_text."""
+    for batch in batches:
+        for piece in chunks(batch, "u_text"):
+            for part in chunks(piece, "v_text"):
+                both = []
+                for name in ("u_text", "v_text"):
+                    elements, bounds = shingle_sets(*flat(part.column(name)), k)
+                    both.append([elements[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
+                yield part, *both
+
+
+def overlaps(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Adds nu, nv and shared, the sizes of the sets of u and v and of their intersection."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, us, vs in _sets(batches, k):
+            shared = [np.intersect1d(u, v, assume_unique=True).size for u, v in zip(us, vs, strict=True)]
+            numbers = [pa.array(x, pa.int64()) for x in (list(map(len, us)), list(map(len, vs)), shared)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in pairs_columns), *numbers], names=[*pairs_columns, "nu", "nv", "shared"])
+
+    pairs_columns = pairs.columns
+    rows = _with_texts(pairs, texts).select(*pairs_columns, "u_text", "v_text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return rows.mapInArrow(run, f"{kinds}, nu long, nv long, shared long")
+
+
+def differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
+    """Adds nu, lacks, has and delta: how many shingles of u v lacks, how many others it has, and both as hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, us, vs in _sets(batches, k):
+            lacks = [np.setdiff1d(u, v, assume_unique=True) for u, v in zip(us, vs, strict=True)]
+            has = [np.setdiff1d(v, u, assume_unique=True) for u, v in zip(us, vs, strict=True)]
+            numbers = [pa.array(list(map(len, x)), pa.int64()) for x in (us, lacks, has)]
+            delta = pa.array([np.concatenate(x).view(np.int64) for x in zip(lacks, has, strict=True)], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in pairs_columns), *numbers, delta], names=[*pairs_columns, "nu", "lacks", "has", "delta"])
+
+    pairs_columns = pairs.columns
+    rows = _with_texts(pairs, texts).select(*pairs_columns, "u_text", "v_text")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema)
+    return rows.mapInArrow(run, f"{kinds}, nu long, lacks long, has long, delta array<bigint>")
+
+
+def joining_links(ids: list, component: list, weight: np.ndarray, delta: list[np.ndarray], side: np.ndarray, size: int, percent: int) -> list[tuple]:
+    """Links between members of different components, enough to join them, of members
+    whose differences from one set of `size` elements are given. side: 1 and 2 for the
+    two blocks to compare, 3 for members of both."""
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in delta])))
+    number = np.unique(np.concatenate(delta), return_inverse=True)[1]
+    order = np.argsort(number, kind="stable")
+    owner = np.repeat(np.arange(len(ids)), np.diff(bounds))[order]
+    first = np.searchsorted(number[order], np.arange(len(bounds) and (number.max() + 2 if len(number) else 1)))
+    root = {c: c for c in component}
+    code = {c: i for i, c in enumerate(root)}
+    codes = np.array([code[c] for c in component])
+
+    def find(c):
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
+    out, free = [], (100 - percent) * size
+    for x in np.flatnonzero((side & 1 > 0) & (weight > free)):
+        mine = number[bounds[x] : bounds[x + 1]]
+        spans = [owner[first[e] : first[e + 1]] for e in mine]
+        shared = np.bincount(np.concatenate(spans), minlength=len(ids)) if spans else np.zeros(len(ids), np.int64)
+        linked = np.flatnonzero(((100 + percent) * shared >= weight[x] + weight - free) & (codes != codes[x]) & (side & 2 > 0))
+        for y in linked[np.unique(codes[linked], return_index=True)[1]]:
+            a, b = find(component[x]), find(component[y])
+            if a != b:
+                root[a] = b
+                out.append((ids[x], ids[y]))
+    return out
+
+
+def far_links(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (u, v) that join components within groups. rows: g, v, component, nu, w, delta."""
+    kind = rows.schema["v"].dataType.simpleString()
+    sizes = rows.groupBy("g").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
+    rows = rows.join(sizes, "g").withColumn("block", F.expr("CAST(pmod(xxhash64(v), n_blocks) AS int)"))
+    # a block meets every block, itself too; which of the two is first matters, since only
+    # members that are far from the centre look for partners
+    others = F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)
+    one = F.struct(F.col("block").alias("i"), F.col("block").alias("j"), F.lit(3).alias("side"))
+    ways = F.flatten(F.transform(F.filter(others, lambda j: j != F.col("block")), lambda j: F.array(F.struct(F.col("block").alias("i"), j.alias("j"), F.lit(1).alias("side")), F.struct(j.alias("i"), F.col("block").alias("j"), F.lit(2).alias("side")))))
+    rows = rows.withColumn("way", F.explode(F.concat(F.array(one), ways))).select("g", "way.*", "v", "component", "nu", "w", "delta")
+
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda c: table.column(c).to_numpy()
+        delta = [np.asarray(x, np.int64) for x in table.column("delta").to_pylist()]
+        links = joining_links(table.column("v").to_pylist(), table.column("component").to_pylist(), column("w"), delta, column("side"), int(column("nu")[0]), percent)
+        kinds = table.schema.field("v").type
+        return pa.table({"u": pa.array([a for a, _ in links], kinds), "v": pa.array([b for _, b in links], kinds)})
+
+    return rows.groupBy("g", "i", "j").applyInArrow(run, f"u {kind}, v {kind}")
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -117,26 +213,24 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
     classes = nodes.groupBy(*same).agg(F.min("doc_id").alias("rep"))
     # a row of the class's smallest id has its bands
     reps = classes.withColumnRenamed("rep", "doc_id").join(nodes.select("doc_id", *same, "bands"), ["doc_id", *same]).dropDuplicates(["doc_id", *same])
-    members = reps.select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    crowded = members.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
-    members = cut(members.join(crowded, "key"))
-    needed = members.select(F.col("id").alias("doc_id")).distinct()
+    members = reps.select(F.col("doc_id").alias("v"), F.explode("bands").alias("key"))
+    buckets = members.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u <> last").select("key", "u")
+    pairs = cut(members.join(buckets, "key").where("u <> v").select("u", "v").distinct())
+    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
     texts = cut(one.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    fits = f"least(un, vn) * 100 >= {percent} * greatest(un, vn)"
-
-    def fresh(pairs: DataFrame) -> DataFrame:
-        return verified(pairs.where(fits).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), texts, k, percent)
-
-    # every member with one centre of each of its buckets; each bucket draws its own
-    order = F.xxhash64("id", "key")
-    centre = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), F.col("id").alias("v"), F.col("n").alias("vn"))).alias("c")).select("key", "c.v", "c.vn")
-    near = cut(fresh(members.join(centre, "key").select(F.col("id").alias("u"), F.col("n").alias("un"), "v", "vn")))
-    # members of a bucket that are not in one component by now
-    placed = members.join(components(near), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = placed.groupBy("key").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("key")
-    placed = cut(placed.join(mixed, "key"))
-    other = placed.select("key", F.col("id").alias("v"), F.col("n").alias("vn"), F.col("component").alias("vc"))
-    far = fresh(placed.join(other, "key").where("component < vc").select(F.col("id").alias("u"), F.col("n").alias("un"), "v", "vn"))
+    linked = f"100 * shared >= {percent} * (nu + nv - shared)"
+    # every member with its group's centre, then with the member nearest to that
+    w = F.expr(f"100 * (nu - shared) + {percent} * (nv - shared)")
+    first = cut(overlaps(pairs, texts, k).withColumn("w", w)).withColumnRenamed("u", "g")
+    second = first.groupBy("g").agg(F.min(F.struct("w", "v")).alias("m"), F.count("*").alias("n")).where("n > 1").select("g", F.col("m.v").alias("u"), "n")
+    rest = first.select("g", "v").join(second, "g").where("u <> v")
+    after = cut(overlaps(rest, texts, k))
+    near = first.where(linked).select(F.col("g").alias("u"), "v").unionByName(after.where(linked).select("u", "v"))
+    # members of larger groups that are not in one component by now
+    placed = after.where("n > 2").select("g", "u", "v").join(components(near).withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    mixed = placed.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("g")
+    apart = differences(placed.join(mixed, "g").select("g", "u", "v", "component"), texts, k).withColumn("w", F.expr(f"100 * lacks + {percent} * has"))
+    far = far_links(apart.select("g", "v", "component", "nu", "w", "delta"), percent)
     # rows with equal sets belong to their class's representative
     again = nodes.select("doc_id", *same).join(classes, same).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
     final = components(near.unionByName(far).unionByName(again))
