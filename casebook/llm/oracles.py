@@ -91,4 +91,34 @@ ok AS (SELECT *, n > 20 AND list_bool_or(list_transform(range(0, n - 19), lambda
 SELECT doc_id, item_id, CAST(off AS INTEGER) AS off, CAST(n AS INTEGER) AS n_item_words, CAST(n_matched AS INTEGER) AS n_matched FROM ok WHERE 100 * n_matched >= 80 * n OR windowed
 """
 
-ORACLES = {"op6_decontamination": OP6, "op4_url_filter": OP4, "op5_warc": OP5, "op9_quality_rules": OP9}
+#: Every string of 400 bytes of every text, by its MD5.
+OP7 = """
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, encode(coalesce(text, '')) AS b FROM documents),
+starts AS (SELECT rid, b, unnest(range(1, octet_length(b) - 398)) AS i FROM d),
+strings AS (SELECT rid, i, md5(b[i : i + 399]) AS h FROM starts),
+twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY h) AS n FROM strings) WHERE n > 1),
+islands AS (SELECT rid, i, sum(CASE WHEN i <= last_i + 400 THEN 0 ELSE 1 END) OVER (PARTITION BY rid ORDER BY i) AS run
+  FROM (SELECT rid, i, coalesce(lag(i) OVER (PARTITION BY rid ORDER BY i), -1000) AS last_i FROM twice)),
+runs AS (SELECT rid, run, min(i) AS a, max(i) + 400 AS z FROM islands GROUP BY rid, run),
+edges AS (SELECT rid, CAST(0 AS BIGINT) AS a, CAST(1 AS BIGINT) AS z FROM d UNION ALL SELECT rid, a, z FROM runs UNION ALL SELECT rid, octet_length(b) + 1, 0 FROM d),
+kept AS (SELECT rid, z AS x, lead(a) OVER (PARTITION BY rid ORDER BY a) - 1 AS y FROM edges),
+left_ AS (SELECT rid, coalesce(string_agg(CASE WHEN y >= x THEN hex(b[x : y]) ELSE '' END, '' ORDER BY x), '') AS h FROM kept JOIN d USING (rid) WHERE y IS NOT NULL GROUP BY rid),
+gone AS (SELECT rid, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY rid)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(h)) AS kept_sha256
+FROM d JOIN left_ USING (rid) LEFT JOIN gone USING (rid)
+"""
+
+#: All pairs that share a shingle, and the closure of the links.
+OP8 = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 2 THEN w ELSE w[i : i + 1] END AS g FROM (SELECT doc_id, w, unnest(range(1, CASE WHEN len(w) = 1 THEN 2 ELSE len(w) END)) AS i FROM d)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS m FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n AS na ON a = na.doc_id JOIN n AS nb ON b = nb.doc_id WHERE 100 * m >= 80 * (na.n + nb.n - m)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS id, doc_id AS v FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.v = e.a),
+c AS (SELECT id, min(v) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN c ON d.doc_id = c.id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
+ORACLES = {"op7_repeats": OP7, "op8_near_duplicates": OP8, "op6_decontamination": OP6, "op4_url_filter": OP4, "op5_warc": OP5, "op9_quality_rules": OP9}
