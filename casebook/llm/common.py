@@ -6,7 +6,6 @@ input, whatever their names, neither reach a shuffle nor clash with its own.
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,31 +13,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from casebook.sources.storage import cut, shared_dir
+
 #: Bytes of text that a Python step holds as numpy arrays at a time.
 CHUNK_BYTES = 1 << 21
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Where the session does not name one (tests on one machine), a temporary
-    folder is set as the checkpoint folder.
-    """
-    sc = spark.sparkContext
-    named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if named:
-        if not sc.getCheckpointDir():
-            sc.setCheckpointDir(named)
-        return named
-    own = tempfile.mkdtemp(prefix="casebook-")
-    sc.setCheckpointDir(f"file://{own}")
-    return f"file://{own}"
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage: the rows are written to the shared folder and read again."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+__all__ = ["chunks", "cut", "flat", "read", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession) -> None:
