@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.llm import bpe
+from casebook.llm.common import cut
 
 #: Neighbouring lengths whose suffix sums are taken together, so that no task has all.
 BLOCK = 1024
@@ -32,9 +33,10 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     rank_from, rank_to: the documents of this length among all by length, from 1.
 
     Blocks of lengths are summed first; the window over the blocks has a row for each
-    BLOCK lengths, and the windows within blocks at most BLOCK rows.
+    BLOCK lengths, and the windows within blocks at most BLOCK rows. The counts are written to
+    the shared folder first, so the texts are encoded once.
     """
-    rows = counts.withColumn("block", F.floor(F.col("n_tokens") / BLOCK).cast("long"))
+    rows = cut(counts).withColumn("block", F.floor(F.col("n_tokens") / BLOCK).cast("long"))
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     blocks = blocks.select("block", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("later_docs"), F.coalesce(F.sum("t").over(later), F.lit(0)).alias("later_tokens"))
