@@ -40,9 +40,9 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
     later = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy("block").agg(F.sum("n_docs").alias("d"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("t"))
     blocks = blocks.select("block", F.coalesce(F.sum("d").over(later), F.lit(0)).alias("later_docs"), F.coalesce(F.sum("t").over(later), F.lit(0)).alias("later_tokens"))
-    total = rows.agg(F.sum("n_docs").alias("all_docs"), F.sum(F.col("n_docs") * F.col("n_tokens")).alias("all_tokens"))
+    all_docs, all_tokens = rows.agg(F.sum("n_docs")).scalar(), rows.agg(F.sum(F.col("n_docs") * F.col("n_tokens"))).scalar()
     here = Window.partitionBy("block").orderBy(F.col("n_tokens").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    found = rows.join(blocks, "block").crossJoin(F.broadcast(total))  # one row
+    found = rows.join(blocks, "block").withColumns({"all_docs": all_docs, "all_tokens": all_tokens})
     found = found.withColumn("n_docs_at_least", F.sum("n_docs").over(here) + F.col("later_docs"))
     found = found.withColumn("n_tokens_at_least", F.sum(F.col("n_docs") * F.col("n_tokens")).over(here) + F.col("later_tokens"))
     return found.select(
@@ -56,14 +56,12 @@ def suffix_sums(counts: DataFrame) -> DataFrame:
 def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
     """share and n_tokens: the least length that at least this share of documents has at most."""
     asked = sums.sparkSession.createDataFrame([(float(s),) for s in shares], "share double")
-    total = sums.agg(F.max("rank_to").alias("all_docs"))
-    ranks = F.broadcast(asked.crossJoin(total)).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("all_docs"))))
-    return ranks.join(sums, F.col("rank").between(F.col("rank_from"), F.col("rank_to"))).select("share", "n_tokens")
+    ranks = asked.withColumn("all_docs", sums.agg(F.max("rank_to")).scalar()).withColumn("rank", F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("all_docs"))))
+    return F.broadcast(ranks).join(sums, F.col("rank").between(F.col("rank_from"), F.col("rank_to"))).select("share", "n_tokens")
 
 
 def truncated_totals(sums: DataFrame, limits: list[int]) -> DataFrame:
     """limit and n_tokens: the tokens left if every document is cut to the limit."""
     asked = F.broadcast(sums.sparkSession.createDataFrame([(int(x),) for x in limits], "limit long"))
     # documents up to the limit keep their tokens, the others keep the limit
-    part = sums.join(asked).groupBy("limit").agg(F.sum(F.col("n_docs") * F.least("n_tokens", "limit")).alias("n_tokens"))
-    return part
+    return sums.join(asked).groupBy("limit").agg(F.sum(F.col("n_docs") * F.least("n_tokens", "limit")).alias("n_tokens"))
