@@ -177,3 +177,9 @@ def test_date_filters_prune_years(spark, base):
     df = storage.read_incidents(spark, root)
     plan = df.where(P.in_span(df, date(2025, 1, 1), date(2025, 12, 31)))._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(year" in plan and "PushedFilters: [IsNotNull(date)" in plan
+
+
+def test_full_refresh_replaces(spark, base):
+    rows_ = base.withColumn("year", F.year("date"))
+    for _ in range(2):
+        assert tuple(storage.full_refresh(rows_, "refreshed").first()) == (2, 5)
