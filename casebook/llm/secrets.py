@@ -32,10 +32,14 @@ ACCESS = re.compile("AKIA[A-Z0-9]{16,}")  # runs of 20 or more; a shorter run ho
 HEX = re.compile("[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 # Candidates. A DER sequence begins with the byte 0x30, so its base64 with M.
-DER = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{23,}(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+# Only its beginning is matched; how far it goes is read from its length.
+DER = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{23,}")
 HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}(?![0-9A-Fa-f])")
-OPENSSH = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]*(?:\r?\n[A-Za-z0-9+/]+)*={0,2}")
+OPENSSH = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjEA")
 JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: Bytes of the longest key that is parsed.
+LONGEST = 1 << 16
+BASE64 = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
 MAGIC = b"openssh-key-v1\0"
 INTEGER, OCTETS, OID, SEQUENCE = 2, 4, 6, 0x30
 
@@ -97,55 +101,59 @@ def b64(text: str) -> bytes | None:
         return None
 
 
-def taken(run: str, size: int) -> tuple[int, str] | None:
-    """How much of a wrapped base64 run encodes `size` bytes: its length with line breaks and padding, and the characters."""
+def taken(text: str, start: int, size: int) -> tuple[int, bytes] | None:
+    """The `size` bytes that base64, possibly wrapped, encodes from a place on, and where that ends with its padding."""
     need, padding = -(-size * 8 // 6), -size % 3
-    got, at = [], 0
-    while at < len(run) and len(got) < need:
-        if run[at] not in "\r\n":
-            if run[at] == "=":
-                return None
-            got.append(run[at])
+    got, at = [], start
+    while len(got) < need:
+        if at >= len(text):
+            return None
+        if text[at] in BASE64:
+            got.append(text[at])
+        elif text[at] not in "\r\n":
+            return None
         at += 1
-    if len(got) < need:
-        return None
-    while padding and run[at : at + 1] == "=":
+    while padding and text[at : at + 1] == "=":
         at, padding = at + 1, padding - 1
-    return at, "".join(got)
+    data = b64("".join(got))
+    return None if data is None else (at, data[:size])
 
 
-def der(run: str) -> int:
-    """Length of the key's encoding that the base64 run begins with, or 0."""
-    head = b64(re.sub("[\r\n]", "", run[:12])[:8])
+def der(text: str, start: int) -> int:
+    """Where the key ends whose encoding begins at a place, or 0 if there is none."""
+    head = b64(text[start : start + 8])
     top = head and header(head, 0)
-    if not top or top[0] != SEQUENCE:
-        return 0
-    part = taken(run, top[2])
-    return part[0] if part and (data := b64(part[1])) is not None and is_key(data[: top[2]]) else 0
-
-
-def openssh(run: str) -> int:
-    """Length of the encoding of an OpenSSH key file, or 0: magic, then counted fields."""
-    data = b64(re.sub("[\r\n=]", "", run)) or b""
-    at = len(MAGIC)
-    if not data.startswith(MAGIC):
-        return 0
-
-    def field() -> bool:
-        nonlocal at
-        size = int.from_bytes(data[at : at + 4], "big")
-        fits = at + 4 + size <= len(data) and at + 4 <= len(data)
-        at += 4 + size
-        return fits
-
-    if not (field() and field() and field()):
+    if not top or top[0] != SEQUENCE or top[2] > LONGEST:
         return 0
-    keys = int.from_bytes(data[at : at + 4], "big")
-    at += 4
-    if not 1 <= keys <= 16 or not all(field() for _ in range(keys + 1)):
+    part = taken(text, start, top[2])
+    return part[0] if part and is_key(part[1]) else 0
+
+
+def openssh(text: str, start: int) -> int:
+    """Where an OpenSSH key file ends that begins at a place, or 0: magic, then counted fields."""
+    size = len(MAGIC)
+
+    def number() -> int:
+        """The next four bytes, -1 if they are missing."""
+        nonlocal size
+        part = taken(text, start, size + 4) if size + 4 <= LONGEST else None
+        size += 4
+        return -1 if part is None else int.from_bytes(part[1][-4:], "big")
+
+    def fields(n: int) -> bool:
+        nonlocal size
+        for _ in range(n):
+            length = number()
+            if not 0 <= length <= LONGEST:
+                return False
+            size += length
+        return True
+
+    # cipher, key derivation and its options; then each public key, and the private part
+    if not fields(3) or not 1 <= (keys := number()) <= 16 or not fields(keys + 1) or size > LONGEST:
         return 0
-    part = taken(run, at)
-    return part[0] if part else 0
+    part = taken(text, start, size)
+    return part[0] if part and part[1].startswith(MAGIC) else 0
 
 
 def is_token(candidate: str) -> bool:
@@ -167,10 +175,14 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    out += [(m.start(), 3, m.start() + n) for m in DER.finditer(text) if (n := der(m[0]))]
+    end = 0
+    for m in DER.finditer(text):
+        if m.start() >= end and (found := der(text, m.start())):  # not inside the key before
+            end = found
+            out.append((m.start(), 3, end))
     out += [(m.start(), 4, m.end()) for m in HEXDER.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
     if "b3BlbnNzaC1rZXktdjEA" in text:
-        out += [(m.start(), 5, m.start() + n) for m in OPENSSH.finditer(text) if (n := openssh(m[0]))]
+        out += [(m.start(), 5, end) for m in OPENSSH.finditer(text) if (end := openssh(text, m.start()))]
     if "eyJ" in text:
         out += [(m.start(), 6, m.end()) for m in JWT.finditer(text) if is_token(m[0])]
     return sorted(out)
