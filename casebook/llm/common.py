@@ -22,8 +22,9 @@ __all__ = ["chunks", "cut", "flat", "read", "shared_dir", "small_batches"]
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of an Arrow batch, since texts can be long."""
+    """Bound the rows and bytes of an Arrow batch, since texts can be long."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
