@@ -6,11 +6,16 @@ input, whatever their names, neither reach a shuffle nor clash with its own.
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
 from collections.abc import Iterator
+from functools import lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 from casebook.sources.storage import cut, shared_dir
@@ -18,17 +23,30 @@ from casebook.sources.storage import cut, shared_dir
 #: Bytes of text that a Python step holds as numpy arrays at a time.
 CHUNK_BYTES = 1 << 21
 
-__all__ = ["chunks", "cut", "flat", "read", "shared_dir", "small_batches"]
+__all__ = ["chunks", "cut", "flat", "prepare", "read", "shared_dir"]
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the rows and bytes of an Arrow batch, since texts can be long."""
+@lru_cache(4)
+def _ship(application: str) -> None:
+    sc = SparkContext.getOrCreate()
+    root = Path(__file__).parents[2]
+    archive = Path(tempfile.mkdtemp(prefix="casebook-")) / "casebook.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for file in sorted((root / "casebook").rglob("*.py")):
+            z.write(file, file.relative_to(root))
+    sc.addPyFile(str(archive))
+
+
+def prepare(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a session, so that their Python finds it
+    wherever they run; and bounds the rows and bytes of an Arrow batch, since texts can be long."""
+    _ship(spark.sparkContext.applicationId)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    small_batches(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
