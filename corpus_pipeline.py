@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.llm import bpe, decontam, neardup, quality, secrets
-from casebook.llm.common import read, shared_dir, small_batches
+from casebook.llm.common import prepare, read, shared_dir
 
 #: No SQL: signatures, decoded keys and BPE are not expressed in it; tests/llm has a brute-force version.
 ORACLE_SQL = None
@@ -24,13 +24,13 @@ ORACLE_SQL = None
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows that fail no rule of the policy."""
-    small_batches(spark)
+    prepare(spark)
     return quality.keep(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group: five-word shingles, similarity of 0.8 or more."""
-    small_batches(spark)
+    prepare(spark)
     return neardup.keep_one(docs, k=5, percent=80)
 
 
@@ -41,14 +41,14 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets replaced in the texts; n_chars follows the text."""
-    small_batches(spark)
+    prepare(spark)
     clean = secrets.redact(docs)
     return clean.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else clean
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids."""
-    small_batches(spark)
+    prepare(spark)
     return bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
