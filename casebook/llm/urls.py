@@ -73,9 +73,12 @@ def gram_scores(examples: DataFrame, wanted: DataFrame) -> DataFrame:
     contexts = nodes.groupBy("context").agg(
         F.sum("a").alias("ca"), F.sum("b").alias("cb"), F.count_if(F.col("a") > 0).alias("ta"), F.count_if(F.col("b") > 0).alias("tb")
     )
-    found = suffixes(wanted.select("gram")).join(nodes.drop("context"), "suffix", "left").join(contexts, "context", "left")
+    # short contexts are those of most grams, so they are looked up once for each distinct suffix
+    chains = suffixes(wanted.select("gram"))
+    found = chains.select("suffix", "context").distinct().join(nodes.drop("context"), "suffix", "left").join(contexts, "context", "left")
     counts = [F.coalesce(c, F.lit(0)).cast("double").alias(c) for c in ("a", "b", "ca", "cb", "ta", "tb")]
-    levels = found.groupBy("gram").agg(F.sort_array(F.collect_list(F.struct("j", *counts))).alias("levels"))  # ORDER + 1 entries
+    levels = chains.select("gram", "j", "suffix").join(found.select("suffix", F.struct(*counts).alias("x")), "suffix")
+    levels = levels.groupBy("gram").agg(F.expr("transform(sort_array(collect_list(struct(j, x))), y -> y.x)").alias("levels"))  # ORDER + 1 entries
     model = "aggregate(levels, 1.0D / 256, (p, x) -> IF(x.c{0} = 0, p, (x.{0} + x.t{0} * p) / (x.c{0} + x.t{0})))"
     return levels.select("gram", F.expr(f"CAST(round((ln({model.format('a')}) - ln({model.format('b')})) * 1000000) AS bigint)").alias("llr"))
 
