@@ -21,22 +21,22 @@ def _linked(edges: DataFrame, both: bool) -> DataFrame:
     least = edges.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
     near = edges.join(least, "u")
     if both:
-        out = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-    return out.where("u <> v").distinct()
+        return near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    # the vertex's own link to the smallest is the one of the edge to it
+    return near.select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
+
+
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every edge leads from a vertex with no other edge to a vertex that leads nowhere."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("out"), F.lit(1).alias("into")))
+    wrong = ends.groupBy("x").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 OR out > 0 AND into > 0")
+    return wrong.limit(1).count() == 0
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) of every vertex of edges (u, v); the component is its smallest vertex.
-    Nulls are left out."""
+    """(id, component) of every vertex of edges (u, v) other than the components' smallest
+    ones, which are their own. Nulls are left out."""
     edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    seen = None
-    while True:
+    while not _are_stars(edges):
         edges = cut(_linked(_linked(edges, True), False))
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
-            break
-        seen = state
-    roots = edges.select(F.col("v").alias("id")).distinct()
-    return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(roots.select("id", F.col("id").alias("component")))
+    return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

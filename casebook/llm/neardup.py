@@ -227,13 +227,14 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
     after = cut(overlaps(rest, texts, k))
     near = first.where(linked).select(F.col("g").alias("u"), "v").unionByName(after.where(linked).select("u", "v"))
     # members of larger groups that are not in one component by now
-    placed = after.where("n > 2").select("g", "u", "v").join(components(near).withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
+    joined = components(near)
+    placed = after.where("n > 2").select("g", "u", "v").join(joined.withColumnRenamed("id", "v"), "v", "left").withColumn("component", F.coalesce("component", "v"))
     mixed = placed.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("g")
     apart = differences(placed.join(mixed, "g").select("g", "u", "v", "component"), texts, k).withColumn("w", F.expr(f"100 * lacks + {percent} * has"))
     far = far_links(apart.select("g", "v", "component", "nu", "w", "delta"), percent)
     # rows with equal sets belong to their class's representative
     again = nodes.select("doc_id", *same).join(classes, same).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    final = components(near.unionByName(far).unionByName(again))
+    final = components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(far).unionByName(again))
     rows = sketched.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
