@@ -34,8 +34,8 @@ from tokenizers import Tokenizer
 #: Characters on which all Unicode versions agree: the words of such texts are split here, others by the tokenizer file's own rules.
 AGREED = re.compile("[^\x00-ɏ‐-‧€]")
 NEVER = 1 << 60
-#: Words whose ids are kept in memory, twice this at most.
-MEMORY = 300_000
+#: Words whose ids are kept in memory, and pairs of arcs that were looked up, twice this at most.
+MEMORY = 150_000
 
 
 def _byte_symbols() -> list[str]:
@@ -54,7 +54,7 @@ class Automaton:
         self.arcs = dict(vocab)  # label to arc
         self.cut: dict[tuple[int, int], int] = {}  # (u, v): the step at which the state after u lost its v arc
         self.parts: dict[int, tuple[int, int, int]] = {}  # w: u, v, the step at which it got its arcs
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}  # by both arcs in one number
         for step, (left, right) in enumerate(merges):
             u, v, w = vocab[left], vocab[right], vocab[left + right]
             if w in self.parts or w in (u, v):
@@ -92,11 +92,12 @@ class Automaton:
             arc, _, made = self.parts[arc]
 
     def has_arc(self, after: int, arc: int) -> bool:
-        found = self.known.get((after, arc))
+        key = after << 32 | arc
+        found = self.known.get(key)
         if found is None:
-            if len(self.known) > 4 * MEMORY:
+            if len(self.known) > 2 * MEMORY:
                 self.known.clear()
-            found = self.known[after, arc] = self._has_arc(after, arc)
+            found = self.known[key] = self._has_arc(after, arc)
         return found
 
     def encode(self, symbols: str) -> list[int]:
