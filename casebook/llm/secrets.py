@@ -3,7 +3,8 @@
 Base kinds are found by pattern. Further kinds are reported only after a candidate
 is decoded and parsed: keys whose nested DER lengths fit (base64 or hex), key files
 with the OpenSSH magic and fitting field lengths, and signed tokens whose header
-and claims decode to JSON with an algorithm.
+and claims decode to JSON with an algorithm. Keys may be wrapped, with line breaks as
+they are or escaped (JSON, one-line settings), and indented; they may have any length.
 
 Positions count code points, the end is exclusive. Edge cases: a null text is an
 empty one and has no spans; texts of any length are scanned whole; repeated rows
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -31,15 +33,17 @@ ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[
 ACCESS = re.compile("AKIA[A-Z0-9]{16,}")  # runs of 20 or more; a shorter run holds no longer one
 HEX = re.compile("[0-9a-f]{24,}")
 KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
-# Candidates. A DER sequence begins with the byte 0x30, so its base64 with M.
-# Only its beginning is matched; how far it goes is read from its length.
-DER = re.compile(r"(?<![A-Za-z0-9+/])M[A-Za-z0-9+/]{23,}")
+# Candidates. A DER sequence begins with the byte 0x30, so its base64 with MA to MP.
+# Only beginnings are matched; how far a key goes is read from its lengths. One may also
+# begin after an escaped line break or tab, whose letter would else seem a part of it.
+DER = re.compile(r"M[A-P](?:(?<![A-Za-z0-9+/]..)|(?<=\\[nrt]..)|(?<=\\u000[aAdD]..))(?=[A-Za-z0-9+/])")
 HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}(?![0-9A-Fa-f])")
-OPENSSH = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjEA")
-JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: Bytes of the longest key that is parsed.
-LONGEST = 1 << 16
-BASE64 = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/")
+OPENSSH = re.compile(r"b3BlbnNzaC1rZXktdjEA(?:(?<![A-Za-z0-9+/].{20})|(?<=\\[nrt].{20})|(?<=\\u000[aAdD].{20}))")
+JWT = re.compile(r"eyJ(?:(?<![A-Za-z0-9_-]...)|(?<=\\[nrt]...)|(?<=\\u000[aAdD]...))[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
+#: A piece of base64, and what may stand between two: line breaks, as they are or escaped
+#: (also more than once), with blanks before or after them; or the escape of a slash.
+PIECE = re.compile(r"[A-Za-z0-9+/]+")
+BETWEEN = re.compile(r"(?:[ \t]*(?:\\*[\r\n]|\\+[rn]|\\+u000[aAdD])[ \t]*)+|\\+(?=/)")
 MAGIC = b"openssh-key-v1\0"
 INTEGER, OCTETS, OID, SEQUENCE = 2, 4, 6, 0x30
 
@@ -101,59 +105,101 @@ def b64(text: str) -> bytes | None:
         return None
 
 
-def taken(text: str, start: int, size: int) -> tuple[int, bytes] | None:
-    """The `size` bytes that base64, possibly wrapped, encodes from a place on, and where that ends with its padding."""
-    need, padding = -(-size * 8 // 6), -size % 3
-    got, at = [], start
-    while len(got) < need:
-        if at >= len(text):
-            return None
-        if text[at] in BASE64:
-            got.append(text[at])
-        elif text[at] not in "\r\n":
-            return None
-        at += 1
-    while padding and text[at : at + 1] == "=":
-        at, padding = at + 1, padding - 1
-    data = b64("".join(got))
-    return None if data is None else (at, data[:size])
-
-
-def der(text: str, start: int) -> int:
-    """Where the key ends whose encoding begins at a place, or 0 if there is none."""
-    head = b64(text[start : start + 8])
-    top = head and header(head, 0)
-    if not top or top[0] != SEQUENCE or top[2] > LONGEST:
+class Stretch:
+    """Pieces of base64 from a place of a text on, as one."""
+
+    def __init__(self, text: str, start: int) -> None:
+        pieces, self.text, self.places, self.offsets, total = [], text, [], [], 0
+        at = start
+        while found := PIECE.match(text, at):
+            self.places.append(found.start())
+            self.offsets.append(total)
+            pieces.append(found[0])
+            total += len(found[0])
+            self.end = at = found.end()
+            if between := BETWEEN.match(text, at):
+                at = between.end()
+        self.chars = "".join(pieces)
+
+    def offset(self, place: int) -> int:
+        """Which character of the stretch lies at a place of the text."""
+        i = bisect.bisect_right(self.places, place) - 1
+        return self.offsets[i] + place - self.places[i]
+
+    def end_of(self, first: int, size: int) -> int:
+        """Where the encoding of `size` bytes ends in the text, with its padding."""
+        last = first + -(-size * 8 // 6) - 1
+        i = bisect.bisect_right(self.offsets, last) - 1
+        at, padding = self.places[i] + last - self.offsets[i] + 1, -size % 3
+        while padding and self.text[at : at + 1] == "=":
+            at, padding = at + 1, padding - 1
+        return at
+
+
+class Encoded:
+    """The bytes that a stretch encodes from a character on; only those that are read are decoded."""
+
+    def __init__(self, chars: str, first: int, size: int | None = None) -> None:
+        self.chars, self.first = chars, first
+        self.size = (len(chars) - first) * 6 // 8 if size is None else size
+
+    def __len__(self) -> int:
+        return self.size
+
+    def __getitem__(self, at):
+        if isinstance(at, int):
+            return self[at : at + 1][0]
+        a, b, _ = at.indices(self.size)
+        data = b64(self.chars[self.first + a // 3 * 4 : self.first - (-b // 3) * 4])
+        return data[a - a // 3 * 3 : b - a // 3 * 3]
+
+
+def der(stretch: Stretch, first: int) -> int:
+    """Where the key ends whose encoding begins at a character, or 0 if there is none."""
+    data = Encoded(stretch.chars, first)
+    top = header(data, 0)
+    if not top or top[0] != SEQUENCE or top[2] > len(data) or not is_key(Encoded(stretch.chars, first, top[2])):
         return 0
-    part = taken(text, start, top[2])
-    return part[0] if part and is_key(part[1]) else 0
+    return stretch.end_of(first, top[2])
 
 
-def openssh(text: str, start: int) -> int:
-    """Where an OpenSSH key file ends that begins at a place, or 0: magic, then counted fields."""
-    size = len(MAGIC)
+def openssh(stretch: Stretch, first: int) -> int:
+    """Where an OpenSSH key file ends that begins at a character, or 0: magic, then counted fields."""
+    data, size = Encoded(stretch.chars, first), len(MAGIC)
 
     def number() -> int:
         """The next four bytes, -1 if they are missing."""
         nonlocal size
-        part = taken(text, start, size + 4) if size + 4 <= LONGEST else None
         size += 4
-        return -1 if part is None else int.from_bytes(part[1][-4:], "big")
+        return int.from_bytes(data[size - 4 : size], "big") if size <= len(data) else -1
 
     def fields(n: int) -> bool:
         nonlocal size
         for _ in range(n):
             length = number()
-            if not 0 <= length <= LONGEST:
+            if length < 0 or size + length > len(data):
                 return False
             size += length
         return True
 
     # cipher, key derivation and its options; then each public key, and the private part
-    if not fields(3) or not 1 <= (keys := number()) <= 16 or not fields(keys + 1) or size > LONGEST:
+    if data[: len(MAGIC)] != MAGIC or not fields(3) or not 1 <= (keys := number()) <= 16 or not fields(keys + 1):
         return 0
-    part = taken(text, start, size)
-    return part[0] if part and part[1].startswith(MAGIC) else 0
+    return stretch.end_of(first, size)
+
+
+def keys(text: str, beginnings: re.Pattern, end_of) -> Iterator[tuple[int, int]]:
+    """Start and end of every key; beginnings inside the key before are passed over."""
+    end, stretch = 0, None
+    for m in beginnings.finditer(text):
+        at = m.start()
+        if at < end:
+            continue
+        if stretch is None or at >= stretch.end:
+            stretch = Stretch(text, at)
+        if found := end_of(stretch, stretch.offset(at)):
+            end = found
+            yield at, end
 
 
 def is_token(candidate: str) -> bool:
@@ -175,14 +221,10 @@ def spans(text: str) -> list[tuple[int, int, int]]:
     if "AKIA" in text:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
-    end = 0
-    for m in DER.finditer(text):
-        if m.start() >= end and (found := der(text, m.start())):  # not inside the key before
-            end = found
-            out.append((m.start(), 3, end))
+    out += [(start, 3, end) for start, end in keys(text, DER, der)]
     out += [(m.start(), 4, m.end()) for m in HEXDER.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
     if "b3BlbnNzaC1rZXktdjEA" in text:
-        out += [(m.start(), 5, end) for m in OPENSSH.finditer(text) if (end := openssh(text, m.start()))]
+        out += [(start, 5, end) for start, end in keys(text, OPENSSH, openssh)]
     if "eyJ" in text:
         out += [(m.start(), 6, m.end()) for m in JWT.finditer(text) if is_token(m[0])]
     return sorted(out)

@@ -120,6 +120,39 @@ def test_neighbouring_keys_are_all_found():
     assert [(k, text[a:b]) for a, k, b in secrets.spans(text)] == [(3, wrapped(RSA)), (3, wrapped(PKCS8)), (5, wrapped(OPENSSH)), (3, wrapped(SEC1))]
 
 
+@pytest.mark.parametrize("data,kind", [(PKCS8, 3), (RSA, 3), (SEC1, 3), (OPENSSH, 5)])
+@pytest.mark.parametrize("between", ["\\n", "\\r\\n", "\\\\n", "\\u000a", "\n    ", "\r\n\t", " \\\n  ", "\\n  "])
+def test_escaped_and_indented_keys_are_found(data, kind, between):
+    key = wrapped(data).replace("\n", between)
+    for before in ("", "x ", '{"key": "-----BEGIN PRIVATE KEY-----'):
+        text = f"{before}{between if before else ''}{key}{between}-----END PRIVATE KEY-----{between}"
+        start = text.index(key)
+        assert [x for x in secrets.spans(text) if x[1] > 2] == [(start, kind, start + len(key))]
+        assert key[:40] not in secrets.redacted(text, secrets.spans(text))
+
+
+def test_keys_of_any_length_and_with_escaped_slashes_are_found():
+    long_ = b"\x30\x83" + (3 + 70_000 * 8 + 5 * 8).to_bytes(3, "big") + tlv(2, b"\0") + 8 * (b"\x02\x83" + (70_000).to_bytes(3, "big") + bytes([1]) * 70_000)
+    slashes = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, b"\xff" * 34))
+    sizes = [len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")] + [(1).to_bytes(4, "big")] + [len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"s" * 100_000)]
+    for key, kind in ((wrapped(long_), 3), (wrapped(slashes).replace("/", "\\/"), 3), (wrapped(secrets.MAGIC + b"".join(sizes)), 5)):
+        assert [x for x in secrets.spans(f"a {key} b") if x[1] > 2] == [(2, kind, 2 + len(key))]
+
+
+def test_tokens_after_an_escaped_line_break_are_found():
+    part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
+    token = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2ln"
+    assert [x for x in secrets.spans(f"a\\n{token}") if x[1] > 2] == [(3, 6, 3 + len(token))]
+
+
+def test_many_beginnings_in_one_stretch_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    assert not secrets.spans("MIQAgAAAAgEAAgEAAAAA\n" * 100_000) and not secrets.spans("b3BlbnNzaC1rZXktdjEA\n" * 100_000)
+    assert time.process_time() - began < 30
+
+
 def test_certificates_and_wrong_tokens_are_no_secrets():
     assert not secrets.spans(wrapped(CERTIFICATE))
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
