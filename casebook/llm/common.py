@@ -17,13 +17,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from casebook.sources.storage import cut, shared_dir
 
 #: Bytes of text that a Python step holds as numpy arrays at a time.
 CHUNK_BYTES = 1 << 21
 
-__all__ = ["chunks", "cut", "flat", "prepare", "read", "shared_dir"]
+__all__ = ["chunks", "cut", "flat", "prepare", "read", "row_key", "shared_dir"]
 
 
 @lru_cache(4)
@@ -50,6 +51,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def row_key(row_id: str, text: str) -> tuple:
+    """Two columns that are equal for rows of equal id and text only; a null text is an empty one."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    return F.xxhash64(F.col(row_id), whole), F.xxhash64(F.lit(1), whole, F.col(row_id))
+
+
 def chunks(batch: pa.RecordBatch, column: str, most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of a batch that hold about `most` bytes of text, one row at least."""
     sizes = pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False)

@@ -13,8 +13,9 @@ document before the join; what passes it is joined exactly, so a larger benchmar
 costs more join rows and loses none.
 
 Edge cases: null and empty texts have no words and no hits; items shorter than the
-masks have no seeds and are not sought; rows with equal ids are judged as one
-document, and so are rows with a null id; texts of any length are examined whole.
+masks have no seeds and are not sought; every row is judged by its own text, also if
+its id is null or repeated (rows equal in id and text are one); texts of any length are
+examined whole.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import cut
+from casebook.llm.common import cut, row_key
 
 #: Places of a mask's words. Fixed values.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 6))
@@ -30,8 +31,10 @@ SPAN = 1 + max(mask[-1] for mask in MASKS)
 SHARE, WINDOW = 80, 20
 #: 64-bit words of the filter.
 CELLS = 1 << 13
-#: Alignments are broadcast up to so many rows, of three numbers each; beyond, the texts are shuffled.
+#: Alignments are broadcast up to so many rows, of five numbers each; beyond, the texts are shuffled.
 BROADCAST_ROWS = 100_000
+#: Keys of a document's and of an item's row.
+ROW, ITEM = ["r1", "r2"], ["i1", "i2"]
 
 
 def words(text):
@@ -76,38 +79,44 @@ def maybe(table, seed: str):
 
 
 def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """doc_id, item_id, off: where an item's first word would lie in a document that shares a seed with it."""
-    targets = long_form(seeds(items.select("item_id", word_hashes(F.col("text")).alias("h")), ["item_id"]), ["item_id"])
+    """r1, r2, i1, i2, off: where an item's first word would lie in a document that shares a seed with it."""
+    targets = long_form(seeds(items.select(*ITEM, word_hashes(F.col("text")).alias("h")), ITEM), ITEM)
     table = bit_filter(targets)
-    places = seeds(docs.select("doc_id", word_hashes(F.col("text")).alias("h")), ["doc_id"])
+    places = seeds(docs.select(*ROW, word_hashes(F.col("text")).alias("h")), ROW)
     passing = F.lit(False)
     for i in range(len(MASKS)):
         passing = passing | F.coalesce(maybe(table, f"s{i}"), F.lit(False))
-    found = long_form(places.where(passing), ["doc_id"]).where(maybe(table, "seed"))
+    found = long_form(places.where(passing), ROW).where(maybe(table, "seed"))
     hits = found.join(targets.withColumnRenamed("pos", "item_pos"), "seed")
-    return hits.select("doc_id", "item_id", (F.col("pos") - F.col("item_pos")).alias("off")).distinct()
+    return hits.select(*ROW, *ITEM, (F.col("pos") - F.col("item_pos")).alias("off")).distinct()
 
 
-def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, item_id, off, n_item_words, n_matched: every confirmed alignment."""
-    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"))
-    found = cut(alignments(docs, items))
+def _confirmed(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
+    """r1, r2, doc_id, item_id, off, n_item_words, n_matched: the confirmed alignments of each row."""
+    r1, r2 = row_key(doc_id, text)
+    docs = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), r1.alias("r1"), r2.alias("r2"))
+    i1, i2 = row_key(item_id, item_text)
+    items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"), i1.alias("i1"), i2.alias("i2"))
+    found = cut(alignments(docs, items.withColumnRenamed("item_text", "text")))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    found = found.withColumnsRenamed({"doc_id": "d", "item_id": "i"})
-    rows = docs.join(found, F.col("doc_id").eqNullSafe(F.col("d"))).drop("d")
-    rows = rows.join(items.withColumnRenamed("text", "item_text"), F.col("item_id").eqNullSafe(F.col("i"))).drop("i")
-    rows = rows.select("doc_id", "item_id", "off", words(F.col("text")).alias("w"), words(F.col("item_text")).alias("x"))
+    rows = docs.join(found, ROW).join(items, ITEM)
+    rows = rows.select(*ROW, "doc_id", "item_id", "off", words(F.col("text")).alias("w"), words(F.col("item_text")).alias("x"))
     same = F.expr("transform(x, (v, k) -> CASE WHEN off + k >= 0 AND get(w, off + k) = v THEN 1 ELSE 0 END)")
-    rows = rows.select("doc_id", "item_id", "off", F.size("x").alias("n_item_words"), same.alias("same"))
+    rows = rows.select(*ROW, "doc_id", "item_id", "off", F.size("x").alias("n_item_words"), same.alias("same"))
     rows = rows.withColumn("n_matched", F.expr("aggregate(same, 0, (a, e) -> a + e)"))
     best = f"exists(sequence(1, n_item_words - {WINDOW} + 1), a -> 100 * aggregate(slice(same, a, {WINDOW}), 0, (s, e) -> s + e) >= {SHARE} * {WINDOW})"
     confirmed = F.expr(f"100 * n_matched >= {SHARE} * n_item_words OR n_item_words > {WINDOW} AND {best}")
-    return rows.where(confirmed).drop("same").distinct()
+    return rows.where(confirmed).drop("same")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """doc_id, item_id, off, n_item_words, n_matched: every confirmed alignment."""
+    return _confirmed(docs, items, doc_id, text, item_id, item_text).drop(*ROW).distinct()
 
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The rows of documents that are not contaminated, with all their columns."""
-    bad = contaminated(docs, items, doc_id).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col(doc_id).eqNullSafe(F.col("__bad")), "left_anti")
+    """The rows that are not contaminated, with all their columns."""
+    bad = _confirmed(docs, items, doc_id, "text", "item_id", "text").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).distinct()
+    r1, r2 = row_key(doc_id, "text")
+    return docs.withColumns({"__r1": r1, "__r2": r2}).join(bad, ["__r1", "__r2"], "left_anti").select(*docs.columns)

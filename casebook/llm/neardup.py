@@ -6,8 +6,8 @@ ranks of an element are thus correlated, which lowers the variance, and visits s
 as soon as every slot of a document holds less than the level reached: after one
 visit an element, for long documents.
 
-Links: documents with equal sets are one class, represented by its smallest id; only
-representatives are compared. Bands of the signature make buckets, and buckets with the
+Links: rows with equal sets are one class, a node, represented by the text of one row;
+only nodes are compared. Bands of the signature make buckets, and buckets with the
 same smallest member, their centre, make a group. Every member is compared with the
 centre, and then with a second one, the member nearest to the first. In a group of near
 copies that joins most members, at the cost of two comparisons each.
@@ -22,8 +22,11 @@ decides a component is thus verified on the full sets, and no bucket is capped.
 
 Edge cases: a document of fewer words than a shingle has its whole sequence as one
 shingle; without words, or with a null text, its set is empty, it links with nothing
-and is its own component; rows with equal ids are one node; a null id is no node: its
-component is null and the row is kept. Texts of any length count whole.
+and is its own component. Every row is judged by its own text, whatever its id: a
+component has the smallest id of its rows, null if they have none, and keeps a row of
+that id, the one of the smallest key if there are several. Only rows equal in id and
+text cannot be told apart; `groups` marks them alike and `keep_one` keeps one of them.
+Texts of any length count whole.
 """
 
 from __future__ import annotations
@@ -35,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import chunks, cut, flat
+from casebook.llm.common import chunks, cut, flat, row_key
 from casebook.llm.components import components
 from casebook.llm.words import mix, shingle_sets
 
@@ -43,6 +46,8 @@ from casebook.llm.words import mix, shingle_sets
 BANDS, ROWS = 30, 5
 #: Slots of a signature: a prime, so that a start and a step order all of them.
 SLOTS = 151
+#: The key of a row.
+ROW = ["r1", "r2"]
 
 
 def signatures(elements: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -75,7 +80,7 @@ def band_keys(best: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, n_shingles, fp1 and fp2 (a 128-bit fingerprint of the set) and bands (null for an empty set)."""
+    """doc_id, r1, r2, n_shingles, fp1 and fp2 (a 128-bit fingerprint of the set) and bands (null for an empty set)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,10 +95,10 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                     keys[some] = band_keys(signatures(elements, np.concatenate((bounds[:1], bounds[1:][some])))).view(np.int64)
                 offsets = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()), mask=pa.array(~some))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes.astype(np.int64)), *fp, bands], names=["doc_id", "n_shingles", "fp1", "fp2", "bands"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *ROW)), pa.array(sizes.astype(np.int64)), *fp, bands], names=["doc_id", *ROW, "n_shingles", "fp1", "fp2", "bands"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, fp1 long, fp2 long, bands array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, r1 long, r2 long, n_shingles long, fp1 long, fp2 long, bands array<bigint>")
 
 
 #: Members of a group that are held together; a larger group is compared block against block.
@@ -101,7 +106,7 @@ BLOCK = 4096
 
 
 def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    of = lambda c: texts.select(F.col("doc_id").alias(c), F.col("text").alias(f"{c}_text"))
+    of = lambda c: texts.select(F.col("node").alias(c), F.col("text").alias(f"{c}_text"))
     return pairs.join(of("v"), "v").join(of("u"), "u")
 
 
@@ -204,20 +209,21 @@ def far_links(rows: DataFrame, percent: int) -> DataFrame:
     return rows.groupBy("g", "i", "j").applyInArrow(run, f"u {kind}, v {kind}")
 
 
-def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable) and kept (doc_id is that id), one row per row."""
-    one = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+def _judged(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
+    """doc_id, r1, r2, n_shingles, component_id and kept, one row per row."""
+    r1, r2 = row_key(doc_id, text)
+    one = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), r1.alias("r1"), r2.alias("r2"))
     sketched = cut(sketches(one, k))
-    nodes = sketched.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["fp1", "fp2", "n_shingles"]
-    classes = nodes.groupBy(*same).agg(F.min("doc_id").alias("rep"))
-    # a row of the class's smallest id has its bands
-    reps = classes.withColumnRenamed("rep", "doc_id").join(nodes.select("doc_id", *same, "bands"), ["doc_id", *same]).dropDuplicates(["doc_id", *same])
-    members = reps.select(F.col("doc_id").alias("v"), F.explode("bands").alias("key"))
+    # the first of a class: a null id comes last
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)).alias("best")
+    nodes = cut(sketched.where("n_shingles > 0").groupBy(*same).agg(best, F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    members = nodes.select(F.col("node").alias("v"), F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u <> last").select("key", "u")
     pairs = cut(members.join(buckets, "key").where("u <> v").select("u", "v").distinct())
-    needed = pairs.select(F.col("u").alias("doc_id")).union(pairs.select("v")).distinct()
-    texts = cut(one.join(needed, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
+    needed = nodes.select("node", "best.r1", "best.r2").join(needed, "node", "left_semi")
+    texts = cut(one.select(*ROW, "text").join(needed, ROW).select("node", "text").dropDuplicates(["node"]))
     linked = f"100 * shared >= {percent} * (nu + nv - shared)"
     # every member with its group's centre, then with the member nearest to that
     w = F.expr(f"100 * (nu - shared) + {percent} * (nv - shared)")
@@ -232,15 +238,27 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
     mixed = placed.groupBy("g").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("g")
     apart = differences(placed.join(mixed, "g").select("g", "u", "v", "component"), texts, k).withColumn("w", F.expr(f"100 * lacks + {percent} * has"))
     far = far_links(apart.select("g", "v", "component", "nu", "w", "delta"), percent)
-    # rows with equal sets belong to their class's representative
-    again = nodes.select("doc_id", *same).join(classes, same).where("doc_id <> rep").select(F.col("doc_id").alias("u"), F.col("rep").alias("v"))
-    final = components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(far).unionByName(again))
-    rows = sketched.select("doc_id", "n_shingles").join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    rows = rows.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return rows.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    final = components(joined.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(far))
+    # a class's component, and the first row of all its classes
+    placed = nodes.select(*same, "node", "best").join(final.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    firsts = placed.groupBy("component").agg(F.min("best").alias("first"))
+    placed = placed.join(firsts, "component").select(*same, "first")
+    rows = sketched.select("doc_id", *ROW, *same).join(placed, same, "left")
+    is_first = (F.col("r1") == F.col("first.r1")) & (F.col("r2") == F.col("first.r2"))
+    return rows.select("doc_id", *ROW, "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.coalesce(is_first, F.lit(True)).alias("kept"))
+
+
+def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (the smallest id reachable) and kept (the row is the first of that id), one row per row."""
+    return _judged(docs, k, percent, doc_id, text).drop(*ROW)
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of documents that are their component's smallest id, with all their columns."""
-    gone = groups(docs, k, percent, doc_id, text).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, F.col(doc_id) == F.col("__gone"), "left_anti")
+    """One row of each component, of its smallest id, with all its columns."""
+    key = ["__r1", "__r2"]
+    judged = _judged(docs, k, percent, doc_id, text).where("n_shingles > 0")
+    told = cut(judged.groupBy(F.col("r1").alias(key[0]), F.col("r2").alias(key[1])).agg(F.max("kept").alias("__kept"), F.count("*").alias("n")).where("NOT __kept OR n > 1").drop("n"))
+    keyed = docs.withColumns(dict(zip(key, row_key(doc_id, text), strict=True)))
+    # of rows equal in id and text, one
+    equal = keyed.join(told.where("__kept"), key, "left_semi").dropDuplicates(key)
+    return keyed.join(told, key, "left_anti").unionByName(equal).select(*docs.columns)

@@ -3,8 +3,8 @@ secrets, encoding. Counted as part of the subpackage casebook.llm.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows the stage before it kept;
 all but the last return the columns of documents. Edge cases are those of the
-operators: null and empty texts fail the quality rules and go; rows with equal ids are
-one document; an empty table passes through.
+operators: null and empty texts fail the quality rules and go; rows with a null or repeated
+id are judged each by its text; an empty table passes through.
 """
 
 from __future__ import annotations

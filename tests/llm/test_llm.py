@@ -359,6 +359,17 @@ def test_decontamination(spark, odd, empty):
     assert decontam.clean(odd, items).count() == odd.count() and decontam.contaminated(odd, items.limit(0)).count() == 0 and decontam.contaminated(empty, items).count() == 0
 
 
+def test_rows_with_null_or_repeated_ids_are_judged_one_by_one(spark):
+    r = random.Random(8)
+    text = lambda n: " ".join(f"w{r.randrange(5000)}" for _ in range(n))
+    item = text(30)
+    rows = [(None, f"{text(20)} {item}", "bad"), (None, text(50), "clean 1"), (None, text(50), "clean 2"), (7, f"{item} {text(9)}", "bad"), (7, text(50), "clean 3"), (8, None, "null")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, note string")
+    items = spark.createDataFrame([(None, item), (None, text(40))], "item_id long, text string")
+    assert sorted(x.note for x in decontam.clean(docs, items).collect()) == ["clean 1", "clean 2", "clean 3", "null"]
+    assert sorted((x.doc_id or 0, x.item_id, x.n_matched) for x in decontam.contaminated(docs, items).collect()) == [(0, None, 30), (7, None, 30)]
+
+
 def test_decontamination_is_native(spark):
     plan = QUERIES["op6_decontamination"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
@@ -452,6 +463,20 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty, monkeypatch, k, bl
     assert kept.columns == odd.columns and kept.count() < odd.count()
 
 
+def test_near_duplicates_judge_rows_with_null_or_repeated_ids_one_by_one(spark):
+    r = random.Random(9)
+    text = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(100))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [(None, a), (None, a), (None, f"{a} end"), (None, b), (5, b), (9, f"{b} end"), (3, c), (3, d), (4, f"{d} end"), (2, f"{c} end"), (6, e), (6, e), (6, f), (None, ""), (None, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = sorted(((x.doc_id, x.text) for x in neardup.keep_one(docs).collect()), key=str)
+    near_a = next(t for d_, t in found if d_ is None and t and t.startswith(a))  # one of a's copies has the smaller key
+    assert found == sorted([(None, near_a), (5, b), (2, f"{c} end"), (3, d), (6, e), (6, f), (None, ""), (None, ""), (None, None)], key=str)
+    groups = collections.Counter((x.doc_id, x.component_id, x.kept) for x in neardup.groups(docs).collect())
+    assert groups[5, 5, True] == groups[9, 5, False] == groups[None, 5, False] == groups[3, 2, False] == groups[3, 3, True] == groups[4, 3, False] == groups[2, 2, True] == 1
+    assert groups[6, 6, True] == 3 and groups[None, None, True] + groups[None, None, False] == 6
+
+
 @pytest.mark.parametrize("side", ["one block", "two blocks"])
 def test_differences_decide_links_exactly(side):
     r = np.random.default_rng(6)
