@@ -5,15 +5,16 @@ the words at a fixed mask's places; the mask ignores the places between. Seeds o
 benchmark items and of documents are joined, and each hit aligns a document with an
 item. An alignment is confirmed on the words themselves: the document is contaminated
 if at least SHARE of an item's words, or of the words in some WINDOW of it, are at
-their places. The two masks meet every item of 15 words or more at that share, whatever
-words were substituted (tests/llm checks all patterns).
+their places. The two masks meet every item of 13 words or more at that share, whatever
+words were substituted; shorter items have a mask of three, two or one words in a row,
+which is met as well (tests/llm checks all patterns). These are used only if the
+benchmark has such items.
 
 A bit filter of fixed size, built from the benchmark's seeds, drops most places of a
 document before the join; what passes it is joined exactly, so a larger benchmark
 costs more join rows and loses none.
 
-Edge cases: null and empty texts have no words and no hits; items shorter than the
-masks have no seeds and are not sought; every row is judged by its own text, also if
+Edge cases: null and empty texts have no words and no hits; every row is judged by its own text, also if
 its id is null or repeated (rows equal in id and text are one); texts of any length are
 examined whole.
 """
@@ -27,6 +28,10 @@ from casebook.llm.common import cut, row_key
 
 #: Places of a mask's words. Fixed values.
 MASKS = ((0, 1, 2, 4, 5), (0, 1, 3, 4, 6))
+#: The least and most words of the items that a mask is for, and the mask. At most a fifth of
+#: the words is substituted: 6 to 12 words keep three in a row, 2 to 5 words two.
+LONG = tuple((13, 1 << 30, mask) for mask in MASKS)
+SHORT = ((6, 12, (0, 1, 2)), (2, 5, (0, 1)), (1, 1, (0,)))
 SPAN = 1 + max(mask[-1] for mask in MASKS)
 SHARE, WINDOW = 80, 20
 #: 64-bit words of the filter.
@@ -46,17 +51,25 @@ def word_hashes(text):
     return F.transform(words(text), lambda w: F.xxhash64(w))
 
 
-def seeds(rows: DataFrame, keep: list[str]) -> DataFrame:
+def masks_for(items: DataFrame) -> tuple:
+    """LONG, and those of SHORT that an item of the benchmark needs."""
+    n = F.size(words(F.col("text")))
+    has = items.agg(*(F.max(n.between(least, most)) for least, most, _ in SHORT)).first()
+    return LONG + tuple(short for short, some in zip(SHORT, has, strict=True) if some)
+
+
+def seeds(rows: DataFrame, keep: list[str], masks: tuple, of_items: bool = False) -> DataFrame:
     """A row for each place of `h` (an array of word hashes): its position and `s`, the
-    seed of every mask there (null where the mask does not fit)."""
+    seed of every mask there (null where the mask does not fit, or is not for the item)."""
     shifted = [F.slice("h", k + 1, F.greatest(F.size("h") - k, F.lit(0))).alias(f"w{k}") for k in range(SPAN)]
-    places = rows.select(*keep, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w"))
-    return places.select(*keep, "pos", *(F.when(F.col(f"w.w{m[-1]}").isNotNull(), F.xxhash64(F.lit(i), *(F.col(f"w.w{k}") for k in m))).alias(f"s{i}") for i, m in enumerate(MASKS)))
+    places = rows.select(*keep, F.size("h").alias("n"), F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w"))
+    fits = lambda least, most, m: F.col(f"w.w{m[-1]}").isNotNull() & (F.col("n").between(least, most) if of_items else F.lit(True))
+    return places.select(*keep, "pos", *(F.when(fits(least, most, m), F.xxhash64(F.lit(i), *(F.col(f"w.w{k}") for k in m))).alias(f"s{i}") for i, (least, most, m) in enumerate(masks)))
 
 
-def long_form(places: DataFrame, keep: list[str]) -> DataFrame:
+def long_form(places: DataFrame, keep: list[str], masks: tuple) -> DataFrame:
     """A row for each seed."""
-    each = F.explode(F.array(*(F.col(f"s{i}") for i in range(len(MASKS)))))
+    each = F.explode(F.array(*(F.col(f"s{i}") for i in range(len(masks)))))
     return places.select(*keep, "pos", each.alias("seed")).where("seed IS NOT NULL")
 
 
@@ -80,13 +93,14 @@ def maybe(table, seed: str):
 
 def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
     """r1, r2, i1, i2, off: where an item's first word would lie in a document that shares a seed with it."""
-    targets = long_form(seeds(items.select(*ITEM, word_hashes(F.col("text")).alias("h")), ITEM), ITEM)
+    masks = masks_for(items)
+    targets = long_form(seeds(items.select(*ITEM, word_hashes(F.col("text")).alias("h")), ITEM, masks, True), ITEM, masks)
     table = bit_filter(targets)
-    places = seeds(docs.select(*ROW, word_hashes(F.col("text")).alias("h")), ROW)
+    places = seeds(docs.select(*ROW, word_hashes(F.col("text")).alias("h")), ROW, masks)
     passing = F.lit(False)
-    for i in range(len(MASKS)):
+    for i in range(len(masks)):
         passing = passing | F.coalesce(maybe(table, f"s{i}"), F.lit(False))
-    found = long_form(places.where(passing), ROW).where(maybe(table, "seed"))
+    found = long_form(places.where(passing), ROW, masks).where(maybe(table, "seed"))
     hits = found.join(targets.withColumnRenamed("pos", "item_pos"), "seed")
     return hits.select(*ROW, *ITEM, (F.col("pos") - F.col("item_pos")).alias("off")).distinct()
 

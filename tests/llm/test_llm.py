@@ -344,6 +344,19 @@ def test_masks_meet_every_pattern_of_substitutions():
             assert any(all(i + p not in subs for p in m) for m in decontam.MASKS for i in range(n - m[-1])), subs
 
 
+def test_short_items_are_found_whatever_words_are_substituted(spark):
+    docs, items = [], []
+    for n in range(1, 15):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item)))
+        for m in range(n // 5 + 2):  # the last one is too many
+            for subs in itertools.combinations(range(n), min(m, n)):
+                docs.append((n, m, " ".join(["before", *("other" if k in subs else w for k, w in enumerate(item)), "after"])))
+    docs = [(i, *x) for i, x in enumerate(docs)]
+    found = {(x.doc_id, x.item_id, x.off, x.n_matched) for x in decontam.contaminated(spark.createDataFrame(docs, "doc_id long, n int, m int, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert found == {(i, n, 1, n - m) for i, n, m, _ in docs if m <= n // 5}
+
+
 def test_decontamination(spark, odd, empty):
     r = random.Random(5)
     vocabulary = [f"w{i}" for i in range(500)]
