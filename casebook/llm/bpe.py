@@ -8,8 +8,11 @@ word has one path. Copies share their arcs: the state after a token is given by
 the chain of tokens it ends with, so the table of cut arcs, with the step at which
 each was cut, is the whole automaton (one entry a merge).
 
-A word is encoded by table-driven transitions, one symbol at a time: the last arc
-of each prefix's only path. Decoding emits arc labels.
+To read symbols and not tokens, its arcs are spelled out and the subsets of open arcs
+made states: a deterministic automaton with one table entry for each state and symbol.
+A state tells the last arc of the only path to it, so a word is encoded by one table
+lookup a symbol and a walk back along the path. Entries are made when they are first
+met, since few of the possible states occur. Decoding emits arc labels.
 
 Edge cases: a null text is encoded as an empty one; an empty text has no tokens and
 decodes to an empty text; words and texts of any length are encoded whole; special
@@ -34,8 +37,12 @@ from tokenizers import Tokenizer
 #: Characters on which all Unicode versions agree: the words of such texts are split here, others by the tokenizer file's own rules.
 AGREED = re.compile("[^\x00-ɏ‐-‧€]")
 NEVER = 1 << 60
-#: Words whose ids are kept in memory, and pairs of arcs that were looked up, twice this at most.
+#: Words whose ids are kept in memory, twice this at most.
 MEMORY = 150_000
+#: States that are kept; beyond, the table is begun anew.
+STATES = 200_000
+#: The arc before the first one.
+START = (1 << 20) - 1
 
 
 def _byte_symbols() -> list[str]:
@@ -54,18 +61,18 @@ class Automaton:
         self.arcs = dict(vocab)  # label to arc
         self.cut: dict[tuple[int, int], int] = {}  # (u, v): the step at which the state after u lost its v arc
         self.parts: dict[int, tuple[int, int, int]] = {}  # w: u, v, the step at which it got its arcs
-        self.known: dict[int, bool] = {}  # by both arcs in one number
         for step, (left, right) in enumerate(merges):
             u, v, w = vocab[left], vocab[right], vocab[left + right]
             if w in self.parts or w in (u, v):
                 raise ValueError(f"merge {step} makes a token that exists")
-            if self._has_arc(u, v):  # else no path meets this pair
+            if self.has_arc(u, v):  # else no path meets this pair
                 self.cut[u, v] = step
                 self.parts[w] = (u, v, step)
             else:
                 self.arcs.pop(self.label[w], None)
-        self.known.clear()
-        self.longest = max((len(t.removesuffix(suffix)) for t in self.arcs), default=0)
+        if max(self.label, default=0) >= START:
+            raise ValueError("the vocabulary is too large")
+        self._spell()
 
     def _lost(self, after: int, arc: int) -> int:
         """When the state after a token lost an arc: a copy keeps what its origin had lost before."""
@@ -80,7 +87,7 @@ class Automaton:
             # where u is v, the state behind w is the one from before the cut of this very step
             until = min(until, step)
 
-    def _has_arc(self, after: int, arc: int) -> bool:
+    def has_arc(self, after: int, arc: int) -> bool:
         """Whether the state after a token has an arc: its own parts had theirs when it was made."""
         made = NEVER
         while True:
@@ -91,38 +98,84 @@ class Automaton:
                 return True
             arc, _, made = self.parts[arc]
 
-    def has_arc(self, after: int, arc: int) -> bool:
-        key = after << 32 | arc
-        found = self.known.get(key)
+    def _spell(self) -> None:
+        """The arcs as a tree of symbols. The last symbol of a word has the suffix."""
+        self.next: list[dict[str, int]] = [{}]
+        self.whole: list[int | None] = [None]  # the arc that a node spells
+        self.size = [0]
+        for label, arc in self.arcs.items():
+            body = label.removesuffix(self.suffix)
+            symbols = list(label if not body or body == label else body[:-1]) + ([] if not body or body == label else [body[-1] + self.suffix])
+            node = 0
+            for symbol in symbols:
+                after = self.next[node].get(symbol)
+                if after is None:
+                    after = self.next[node][symbol] = len(self.next)
+                    self.next.append({})
+                    self.whole.append(None)
+                    self.size.append(self.size[node] + 1)
+                node = after
+            self.whole[node] = arc
+        self._begin()
+
+    def _begin(self) -> None:
+        self.states: dict[tuple, dict] = {}
+        #: A state is its row of the table, by symbol; under 0 the last arc and its size, under 1
+        #: the open arcs, the longest first: the node reached, and the arc before.
+        self.first = {0: (None, 0), 1: (START,)}
+
+    def _entry(self, state: dict, symbol: str) -> dict:
+        """Makes the table entry of a state and a symbol."""
+        last, size, open_ = None, 0, []
+        for way in state[1]:
+            before = way & START
+            node = self.next[way >> 20].get(symbol)
+            if node is None:
+                continue
+            arc = self.whole[node]
+            if last is None and arc is not None and (before == START or self.has_arc(before, arc)):
+                last, size = arc, self.size[node]
+            if self.next[node]:
+                open_.append(node << 20 | before)
+        if last is None:
+            raise ValueError("a symbol of the word has no arc")
+        open_.append(last)  # at the tree's root
+        key = (last, size, *open_)
+        found = self.states.get(key)
         if found is None:
-            if len(self.known) > 2 * MEMORY:
-                self.known.clear()
-            found = self.known[key] = self._has_arc(after, arc)
+            found = self.states[key] = {0: (last, size), 1: tuple(open_)}
+        state[symbol] = found
         return found
 
     def encode(self, symbols: str) -> list[int]:
         """The arcs of a word's only path. symbols: a character for each base symbol."""
-        n, arcs, has_arc = len(symbols), self.arcs, self.has_arc
-        last: list[int | None] = [None] * (n + 1)
-        size = [0] * (n + 1)
-        for end in range(1, n + 1):
-            tail = self.suffix if end == n else ""
-            for start in range(max(0, end - self.longest), end):
-                if start and last[start] is None:
-                    continue
-                arc = arcs.get(symbols[start:end] + tail)
-                if arc is not None and (not start or has_arc(last[start], arc)):
-                    last[end], size[end] = arc, end - start
-                    break
-        out, at = [], n
+        if not symbols:
+            return []
+        if len(self.states) > STATES:
+            self._begin()
+        state, path = self.first, []
+        for symbol in symbols[:-1]:
+            state = state.get(symbol) or self._entry(state, symbol)
+            path.append(state)
+        symbol = symbols[-1] + self.suffix
+        path.append(state.get(symbol) or self._entry(state, symbol))
+        out, at = [], len(path)
         while at:
-            if last[at] is None:
-                raise ValueError("a symbol of the word has no arc")
-            out.append(last[at])
-            at -= size[at]
+            last, size = path[at - 1][0]
+            out.append(last)
+            at -= size
         return out[::-1]
 
 
+def _words_of_agreed() -> re.Pattern:
+    """Codec.SPLIT for texts of agreed characters, whose classes are written out."""
+    plain = sorted({c for i in (*range(0x250), *range(0x2010, 0x2028), 0x20AC) for c in chr(i) + chr(i).lower()})
+    some = lambda kind: "".join(re.escape(c) for c in plain if kind(c))
+    letters, digits = some(lambda c: unicodedata.category(c)[0] == "L"), some(lambda c: unicodedata.category(c)[0] == "N")
+    spaces = some(lambda c: regex.match(r"\s", c))
+    return re.compile(f"[{letters}]+|'(?:s|t|re|ve|m|ll|d)|[{digits}]|[^{letters}{digits}{spaces}]+")
+
+
 class Codec:
     """Encodes and decodes whole texts as the tokenizer file says: `spec` is its JSON text."""
 
@@ -140,8 +193,9 @@ class Codec:
         self.special = {x["content"]: x["id"] for x in told["added_tokens"]}
         self.label = self.automaton.label | {i: t for t, i in self.special.items()}
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")")
-        self.words = regex.compile(self.SPLIT)
+        self.words = _words_of_agreed()
         self.symbols = _byte_symbols()
+        self.four = {i: i.to_bytes(4, "little") for i in self.automaton.label}
         self.file = Tokenizer.from_str(spec)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -152,9 +206,9 @@ class Codec:
             return [w for w, _ in self.file.pre_tokenizer.pre_tokenize_str(self.file.normalizer.normalize_str(text))]
         return self.words.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
 
-    def _new(self, word: str, mapped: bool) -> bytes:
-        symbols = word if mapped else "".join([self.symbols[b] for b in word.encode()])
-        found = np.array(self.automaton.encode(symbols), "<u4").tobytes()
+    def _new(self, word: str) -> bytes:
+        symbols = word if word.isascii() and word.isalnum() else "".join([self.symbols[b] for b in word.encode()])
+        found = b"".join([self.four[i] for i in self.automaton.encode(symbols)])
         if len(self.young) >= MEMORY:
             self.old, self.young = self.young, {}
         self.young[word] = found
@@ -167,16 +221,15 @@ class Codec:
             if part in self.special:
                 out.append(self.special[part].to_bytes(4, "little"))
                 continue
-            mapped = AGREED.search(part) is not None
-            young, old = ({}, {}) if mapped else (self.young, self.old)
+            if AGREED.search(part):  # words in the file's symbols, not kept
+                out += [b"".join([self.four[i] for i in self.automaton.encode(word)]) for word in self.split(part)]
+                continue
+            young, old = self.young, self.old
             for word in self.split(part):
                 found = young.get(word) or old.get(word)
                 if found is None:
-                    if mapped:
-                        found = np.array(self.automaton.encode(word), "<u4").tobytes()
-                    else:
-                        found = self._new(word, False)
-                        young, old = self.young, self.old
+                    found = self._new(word)
+                    young, old = self.young, self.old
                 out.append(found)
         return b"".join(out)
 
