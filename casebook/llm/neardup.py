@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from casebook.llm.common import chunks, cut, flat, row_key
 from casebook.llm.components import components
-from casebook.llm.words import mix, shingle_sets
+from casebook.llm.words import Shingles, mix
 
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, all but 7 in a million
 #: if bands are independent; of pairs that share 4 of 5 shingles 46 in a million were missed in simulation.
@@ -86,9 +86,10 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in chunks(batch, "text"):
-                elements, bounds = shingle_sets(*flat(part.column("text")), k)
+                both, bounds = Shingles(*flat(part.column("text")), k).elements()
+                elements = both[:, 0].copy()
                 sizes = np.diff(bounds)
-                sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(elements ^ np.uint64(salt)))))[bounds] for salt in (0x8EBC6AF09C88C6E3, 0x589965CC75374CC3)]
+                sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(both[:, i] ^ np.uint64(salt)))))[bounds] for i, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))]
                 fp = [pa.array((s[1:] - s[:-1]).view(np.int64)) for s in sums]
                 some = sizes > 0
                 keys = np.zeros((len(sizes), BANDS), np.int64)
@@ -111,23 +112,21 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return pairs.join(of("v"), "v").join(of("u"), "u")
 
 
-def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, list, list]]:
-    """Batches of bounded text with the shingle sets of u_text and v_text."""
+def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, Shingles, int]]:
+    """Batches of bounded text with the shingles of u_text and then of v_text."""
     for batch in batches:
         for piece in chunks(batch, "u_text"):
             for part in chunks(piece, "v_text"):
-                both = []
-                for name in ("u_text", "v_text"):
-                    elements, bounds = shingle_sets(*flat(part.column(name)), k)
-                    both.append([elements[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)])
-                yield part, *both
+                yield part, Shingles(*flat(pa.concat_arrays([part.column("u_text"), part.column("v_text")])), k), len(part)
 
 
 def overlaps(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Adds nu, nv and shared, the sizes of the sets of u and v and of their intersection."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, us, vs in _sets(batches, k):
+        for part, shingles, n in _sets(batches, k):
+            sets = shingles.numbers()
+            us, vs = sets[:n], sets[n:]
             shared = [np.intersect1d(u, v, assume_unique=True).size for u, v in zip(us, vs, strict=True)]
             numbers = [pa.array(x, pa.int64()) for x in (list(map(len, us)), list(map(len, vs)), shared)]
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in pairs_columns), *numbers], names=[*pairs_columns, "nu", "nv", "shared"])
@@ -142,7 +141,10 @@ def differences(pairs: DataFrame, texts: DataFrame, k: int) -> DataFrame:
     """Adds nu, lacks, has and delta: how many shingles of u v lacks, how many others it has, and both as hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, us, vs in _sets(batches, k):
+        for part, shingles, n in _sets(batches, k):
+            elements, bounds = shingles.elements()
+            sets = [elements[a:b, 0] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+            us, vs = sets[:n], sets[n:]
             lacks = [np.setdiff1d(u, v, assume_unique=True) for u, v in zip(us, vs, strict=True)]
             has = [np.setdiff1d(v, u, assume_unique=True) for u, v in zip(us, vs, strict=True)]
             numbers = [pa.array(list(map(len, x)), pa.int64()) for x in (us, lacks, has)]

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from casebook.llm.common import chunks, flat
-from casebook.llm.words import mix, prefix_hash, span_hash, windows, word_spans
+from casebook.llm.words import numbered, windows, word_spans
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_lower"]
 SYMBOLS = np.isin(np.arange(256), np.frombuffer(b"#*$%&|<>", np.uint8))
@@ -64,12 +64,11 @@ def measure(texts: pa.Array) -> list[np.ndarray]:
     count = lambda of: np.bincount(of, minlength=n)
     total = lambda flags: np.diff(np.concatenate(([0], np.cumsum(flags)))[ends])
     a, b, doc = word_spans(raw, ends)
-    h = prefix_hash(raw)
     points = np.concatenate(([0], np.cumsum(~CONTINUES[raw])))
     word_chars = np.bincount(doc, weights=points[b] - points[a], minlength=n).astype(np.int64)
 
-    grams, at = windows(span_hash(h, a, b), doc, 3)
-    twice = at[_duplicated(grams ^ mix(doc[at].astype(np.uint64) + np.uint64(1)))]
+    grams, at = windows(numbered(raw, a, b)[0], doc, 3)
+    twice = at[_duplicated(grams * n + doc[at])]
     covered = np.zeros(len(a), bool)
     for j in range(3):
         covered[twice + j] = True
@@ -81,7 +80,7 @@ def measure(texts: pa.Array) -> list[np.ndarray]:
     line_b = np.minimum(np.append(breaks, len(raw))[np.searchsorted(breaks, line_a)], ends[owner + 1])
     words_before = np.searchsorted(a, line_b) - np.searchsorted(a, line_a)
     line_a, line_b, owner = (x[words_before > 0] for x in (line_a, line_b, owner))
-    distinct = np.unique(span_hash(h, line_a, line_b) ^ mix(owner.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+    distinct = np.unique(numbered(raw, line_a, line_b)[0] * n + owner, return_index=True)[1]
     n_lines = count(owner)
     return [
         count(doc), word_chars, total(SYMBOLS[raw]), n_lines, n_lines - count(owner[distinct]), count(doc[covered]),

@@ -71,12 +71,33 @@ def test_query_equals_its_sql(spark, name):
 @pytest.mark.parametrize("k", [1, 2, 5])
 def test_shingle_sets_have_the_right_sizes_and_overlaps(k):
     texts = odd_texts()
-    elements, bounds = words.shingle_sets(*flat(pa.array(texts)), k)
-    mine = [set(elements[a:b].tolist()) for a, b in itertools.pairwise(bounds)]
+    found = words.Shingles(*flat(pa.array(texts)), k)
     true = [shingles(t, k) for t in texts]
-    assert [len(s) for s in mine] == [len(s) for s in true]
-    for i, j in itertools.combinations(range(len(texts)), 2):
-        assert len(mine[i] & mine[j]) == len(true[i] & true[j])
+    elements, bounds = found.elements()
+    for sets in (found.numbers(), *([elements[a:b, i] for a, b in itertools.pairwise(bounds)] for i in (0, 1))):
+        mine = [set(x.tolist()) for x in sets]
+        assert [len(s) for s in mine] == [len(s) for s in true]
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            assert len(mine[i] & mine[j]) == len(true[i] & true[j])
+
+
+def twins(n: int) -> tuple[str, str]:
+    """Two different texts of n bytes, a power of two, that a polynomial hash modulo 2**64 takes for equal."""
+    a = "".join("ab"[i.bit_count() & 1] for i in range(n))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_texts_of_equal_hashes_are_told_apart(spark):
+    a, b = twins(2048)
+    raw = np.frombuffer((a + b).encode(), np.uint8)
+    starts = np.array([0, 2048, 0, 2048])
+    h = words.span_hash(words.prefix_hash(raw), starts, starts + 2048)
+    assert h[0] == h[1]  # the trap works
+    assert words.numbered(raw, starts, starts + 2048)[0].tolist() == [0, 1, 0, 1]
+    found = spark.createDataFrame([(1, a), (2, b), (3, f"{a}\n{b}"), (4, f"{a}\n{a}\n{b}"), (5, f"x y {a} x y {b} x y {a}")], "doc_id long, text string")
+    lines = {r.doc_id: (r.n_dup_lines, r.n_repeat_words) for r in quality.ledger(found).collect()}
+    assert lines == {1: (0, 0), 2: (0, 0), 3: (0, 0), 4: (1, 0), 5: (0, 6)}
+    assert {r.doc_id: r.component_id for r in neardup.groups(found.where("doc_id < 3"), k=2).collect()} == {1: 1, 2: 2}
 
 
 def shingles(text, k):
