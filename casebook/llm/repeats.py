@@ -14,9 +14,14 @@ longest left extension that it shares with another member. An interval of prefix
 r, whose members share a left extension of l, is a repeat if l + r reaches the size.
 Interval members are all occurrences of a maximal repeat, not only neighbours.
 
-A core with more than GROUP occurrences is not gathered. Of its occurrences, every string
-of SIZE bytes that it anchors is hashed and counted instead, with partial counts before
-the shuffle, which is as exact.
+Of a frequent core the top of that tree is descended in parallel instead: occurrences are
+grouped by what they share around the core, partial aggregates give the extents that all
+members of a group share (the common prefix of the least and the greatest context), and
+a group splits where its contexts differ next. A group is gathered in one task once it has
+at most GROUP members; those that share a whole string need no further look at it.
+
+Hashes only choose anchors and propose cores; equality is decided by bytes, or by 128-bit
+cryptographic digests of them where the bytes are not at hand.
 
 Edge cases: null and empty texts have no bytes and keep none; texts under SIZE bytes keep
 all; repeated rows count as copies of each other; null and repeated ids give a row each.
@@ -26,20 +31,23 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import chunks, cut, flat
+from casebook.llm.common import chunks, cut, flat, new_folder
 from casebook.llm.words import prefix_hash, span_hash
 
 SIZE, CORE = 400, 128
 #: Bytes that a string reaches beyond its core, on both sides together.
 REACH = SIZE - CORE
-#: Occurrences of a core that are gathered in one place.
-GROUP = 20_000
+#: Occurrences that are gathered in one place.
+GROUP = 4096
+#: Texts with a frequent core are looked up by broadcast up to so many, with MOST_ANCHORS of these cores in all.
+BROADCAST_ROWS, MOST_ANCHORS = 50_000, 500_000
 
 
 def minima(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,28 +178,30 @@ def found_anchors(rows: DataFrame) -> DataFrame:
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """r1, r2, core, pos, before (reversed) and after, for each of `anchors` (core, pos)."""
+    """r1, r2, node (a digest of the core), pos, before (reversed) and after, for each of `anchors`, the places of cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [*ROW, "core", "pos", "before", "after"]
+        schema = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("node", pa.binary()), ("pos", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+        told = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
+        blake = hashlib.blake2b
         for batch in batches:
             out = []
             for r1, r2, text, found in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text", "anchors")), strict=True):
                 data = text.encode()
-                for x in found:
-                    a = x["pos"]
-                    out.append((r1, r2, x["core"], a, data[max(0, a - REACH) : a][::-1], data[a + CORE : a + CORE + REACH]))
+                for a in found:
+                    out.append((r1, r2, blake(data[a : a + CORE], digest_size=16).digest(), a, data[max(0, a - REACH) : a][::-1], data[a + CORE : a + CORE + REACH]))
                 if len(out) > 5000:
-                    yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*out, strict=True))], names=names)
+                    yield told(out)
                     out = []
             if out:
-                yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*out, strict=True))], names=names)
+                yield told(out)
 
-    return rows.mapInArrow(run, "r1 long, r2 long, core long, pos long, before binary, after binary")
+    # all columns go in, so that the shuffled texts serve the last step too
+    return rows.mapInArrow(run, "r1 long, r2 long, node binary, pos int, before binary, after binary")
 
 
 def _resolve(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-    """r1, r2, first and end of what repeats cover, of rows sorted by core."""
+    """r1, r2, first and end of what repeats cover, of rows sorted by node."""
     out, at = [], 0
 
     def tell(row, left, right):
@@ -219,7 +229,7 @@ def _resolve(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
 
 
 def gathered(rows: DataFrame) -> DataFrame:
-    """r1, r2, a, b of the stretches that repeats cover; the rows of a core are together."""
+    """r1, r2, a, b of the stretches that repeats cover, of the groups by node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def told(held):
@@ -229,7 +239,7 @@ def gathered(rows: DataFrame) -> DataFrame:
         held: list[tuple] = []
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            if len(held) >= GROUP // 2:
+            if len(held) >= 2 * GROUP:
                 cut_at = len(held)
                 while cut_at and held[cut_at - 1][2] == held[-1][2]:
                     cut_at -= 1
@@ -237,36 +247,78 @@ def gathered(rows: DataFrame) -> DataFrame:
                 held = held[cut_at:]
         yield from told(held)
 
-    together = rows.repartition("core").sortWithinPartitions("core")
+    together = rows.select(*ROW, "node", "pos", "before", "after").repartition("node").sortWithinPartitions("node")
     return together.mapInArrow(run, "r1 long, r2 long, a long, b long")
 
 
-def strings(rows: DataFrame) -> DataFrame:
-    """r1, r2, s and the hash of every string of SIZE bytes whose anchor is in `anchors`."""
+def _shared(stats: DataFrame) -> DataFrame:
+    """node, n, left and right: the extents that all members of a group share."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefix = lambda p, q: next((i for i, (x, y) in enumerate(zip(p, q)) if x != y), min(len(p), len(q)))  # noqa: B905, E731
         for batch in batches:
-            for r1, r2, text, found in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text", "anchors")), strict=True):
-                raw = np.frombuffer(text.encode(), np.uint8)
-                at = np.flatnonzero(np.isin(minima(raw)[0], [x["pos"] for x in found]))
-                whole = span_hash(prefix_hash(raw), at, at + SIZE)
-                same = np.zeros(len(at), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(same + r1), pa.array(same + r2), pa.array(at), pa.array(whole.view(np.int64))], names=[*ROW, "a", "string"])
-
-    return rows.mapInArrow(run, "r1 long, r2 long, a long, string long")
+            c = {name: batch.column(name).to_pylist() for name in ("b0", "b1", "a0", "a1")}
+            left, right = ([prefix(p, q) for p, q in zip(c[x], c[y], strict=True)] for x, y in (("b0", "b1"), ("a0", "a1")))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("n"), pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=["node", "n", "left", "right"])
+
+    return stats.mapInArrow(run, "node binary, n long, left int, right int")
+
+
+def descended(rows: DataFrame, group: int) -> tuple[DataFrame, list[DataFrame]]:
+    """What is left to gather (r1, r2, node, pos, before, after), in groups of at most `group`,
+    and r1, r2, a, b of stretches found on the way.
+
+    A group looks for strings that take x to y bytes from the left of the core and the rest
+    from its right; its members share the x bytes and the REACH - y. If they share `left` and
+    `right`, strings within these are settled: all members have them if they fit. The others
+    take more than `left` from the left or more than `right` from the right. A group that
+    is split this way differs at the next byte; ranges are halved as well, so there are at
+    most as many rounds as REACH has bits.
+    """
+    spark = rows.sparkSession
+    least = lambda c: (F.min(c), F.max(c))
+    todo, gather, spans = rows.withColumns({"core": F.col("node"), "x": F.lit(0), "y": F.lit(REACH)}), [], []
+    while True:
+        folder = new_folder(spark, "groups")
+        todo.write.parquet(folder)
+        todo = spark.read.parquet(folder)
+        (b0, b1), (a0, a1) = least("before"), least("after")
+        stats = todo.groupBy("node").agg(F.count("*").alias("n"), b0.alias("b0"), b1.alias("b1"), a0.alias("a0"), a1.alias("a1")).where("n > 1")
+        stats = cut(_shared(stats))  # a table of its own, so that the join can be split at frequent keys
+        told = todo.join(stats, "node")
+        gather.append(told.where(F.col("n") <= group).select(*rows.columns))
+        if not stats.where(F.col("n") > group).limit(1).count():
+            return reduce(DataFrame.unionByName, gather), spans
+        large = told.where(F.col("n") > group)
+        spans.append(large.where(F.col("left") + F.col("right") >= REACH).select(*ROW, (F.col("pos") - F.col("left")).cast("long").alias("a"), (F.col("pos") + CORE + F.col("right")).cast("long").alias("b")))
+        settled = F.least(F.col("left"), F.lit(REACH - 1) - F.col("right"))
+        halves = lambda a, b: (F.struct(a.alias("x"), F.floor((a + b) / 2).cast("int").alias("y")), F.struct((F.floor((a + b) / 2) + 1).cast("int").alias("x"), b.alias("y")))
+        ways = F.array(*halves(F.col("left") + 1, F.col("y")), *halves(F.col("x"), settled))
+        parts = large.withColumn("way", F.explode(ways)).select(*ROW, "core", "pos", "before", "after", "way.x", "way.y")
+        parts = parts.where(f"x <= y AND length(before) >= x AND length(after) >= {REACH} - y")
+        held = F.concat(F.col("core"), F.encode(F.format_string("%d,%d,", "x", "y"), "utf-8"), F.expr("substring(before, 1, x)"), F.expr(f"substring(after, 1, {REACH} - y)"))
+        todo = parts.withColumn("node", F.unhex(F.substring(F.sha2(held, 256), 1, 32)))
 
 
 def repeated(rows: DataFrame, group: int = GROUP) -> DataFrame:
     """r1, r2, a, b of the stretches that repeats cover, which may overlap."""
-    found = found_anchors(rows)
-    times = found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1")
+    spark = rows.sparkSession
+    folder = new_folder(spark, "anchors")
+    found_anchors(rows).write.parquet(folder)
+    found = spark.read.parquet(folder)
+    # a table of its own, so that the join can be split at frequent cores
+    times = cut(found.groupBy("core").agg(F.count("*").alias("n")).where("n > 1"))
     found = found.join(times, "core")
-    found = cut(found.groupBy(*ROW, (F.col("n") > group).alias("hot")).agg(F.collect_set(F.struct("core", "pos")).alias("anchors")))
-    texts = rows.select(*ROW, "text")
-    few = gathered(contexts(found.where("NOT hot").drop("hot").join(texts, ROW).select(*ROW, "text", "anchors")))
-    many = strings(found.where("hot").drop("hot").join(texts, ROW).select(*ROW, "text", "anchors"))
-    twice = many.groupBy("string").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    return few.unionByName(many.join(twice, "string").select(*ROW, "a", (F.col("a") + SIZE).alias("b")))
+    found = cut(found.groupBy(*ROW, (F.col("n") > group).alias("hot")).agg(F.collect_set("pos").alias("anchors")))
+    few = gathered(contexts(rows.join(found.where("NOT hot").drop("hot"), ROW)))
+    hot = found.where("hot").drop("hot")
+    n, anchors_ = hot.agg(F.count("*"), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
+    if not n:
+        return few
+    if n <= BROADCAST_ROWS and anchors_ <= MOST_ANCHORS:
+        hot = F.broadcast(hot)
+    left, spans = descended(contexts(rows.join(hot, ROW)), group)
+    return reduce(DataFrame.unionByName, [few, gathered(left), *spans])
 
 
 def spans_of(docs: DataFrame, doc_id: str, text: str, group: int) -> DataFrame:

@@ -433,6 +433,9 @@ def test_repeats_equal_brute_force(spark, odd, empty, group):
     texts = [text(300) + shared + text(200), text(100) + shared + text(10), text(50) + long_[:500] + text(90), long_[100:700] + text(60), text(20) + long_, "ab" * 600, "abcabc" * 100 + text(30) + "abcabc" * 100, text(450)]
     for edge in (360, 371, 380):  # passages that meet at one side only
         texts += [text(30) + long_[:edge] + text(80), text(30) + long_[:edge] + text(80)]
+    # different strings of equal hashes, alone and around a passage
+    for a in twins(512):
+        texts += [a[:400], "x" * 20 + a + long_[:300] + a[:390], a[100:400] + long_[:272] + text(20)]
     rows = [(100 + i, t) for i, t in enumerate(texts)] + [(r_.doc_id, r_.text) for r_ in odd.collect() if len(r_.text or "") < 9000]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("core", F.lit(1)).repartition(3)
     found = collections.Counter(map(tuple, repeats.digests(df, group=group).collect()))
@@ -440,6 +443,17 @@ def test_repeats_equal_brute_force(spark, odd, empty, group):
     assert repeats.digests(empty).count() == 0
 
 
+@pytest.mark.parametrize("length", [390, 430])
+def test_a_passage_of_very_many_texts(spark, length):
+    """A frequent core is descended by shared contexts; 6,000 texts hold it, some with longer repeats around it."""
+    r = random.Random(length)
+    text = lambda n: "".join(r.choices("abcdefgh ", k=n))
+    passage, endings = text(length), [text(60) for _ in range(5)]
+    rows = [(i, text(r.randint(0, 30)) + r.choice(["", r.choice(endings)]) + passage + r.choice(["", r.choice(endings)]) + text(r.randint(0, 30))) for i in range(6000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert collections.Counter(map(tuple, repeats.digests(df).collect())) == repeats_by_force([(d, t.encode()) for d, t in rows])
+
+
 def test_interval_reaches_equal_all_pairs():
     r = random.Random(2)
     for _ in range(60):
