@@ -45,7 +45,7 @@ SIZE, CORE = 400, 128
 #: Bytes that a string reaches beyond its core, on both sides together.
 REACH = SIZE - CORE
 #: Occurrences that are gathered in one place.
-GROUP = 4096
+GROUP = 20_000
 #: Texts with a frequent core are looked up by broadcast up to so many, with MOST_ANCHORS of these cores in all.
 BROADCAST_ROWS, MOST_ANCHORS = 50_000, 500_000
 
@@ -178,10 +178,11 @@ def found_anchors(rows: DataFrame) -> DataFrame:
 
 
 def contexts(rows: DataFrame) -> DataFrame:
-    """r1, r2, node (a digest of the core), pos, before (reversed) and after, for each of `anchors`, the places of cores."""
+    """r1, r2, node (a digest of the core), pos, before (reversed), after and kind (a digest of all
+    three), for each of `anchors`, the places of cores."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("node", pa.binary()), ("pos", pa.int32()), ("before", pa.binary()), ("after", pa.binary())])
+        schema = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("node", pa.binary()), ("pos", pa.int32()), ("before", pa.binary()), ("after", pa.binary()), ("kind", pa.binary())])
         told = lambda out: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), schema, strict=True)], schema=schema)
         blake = hashlib.blake2b
         for batch in batches:
@@ -189,7 +190,9 @@ def contexts(rows: DataFrame) -> DataFrame:
             for r1, r2, text, found in zip(*(batch.column(c).to_pylist() for c in (*ROW, "text", "anchors")), strict=True):
                 data = text.encode()
                 for a in found:
-                    out.append((r1, r2, blake(data[a : a + CORE], digest_size=16).digest(), a, data[max(0, a - REACH) : a][::-1], data[a + CORE : a + CORE + REACH]))
+                    first = max(0, a - REACH)
+                    kind = blake(data[first : a + CORE + REACH], digest_size=16, salt=(a - first).to_bytes(4, "big"))
+                    out.append((r1, r2, blake(data[a : a + CORE], digest_size=16).digest(), a, data[first:a][::-1], data[a + CORE : a + CORE + REACH], kind.digest()))
                 if len(out) > 5000:
                     yield told(out)
                     out = []
@@ -197,7 +200,7 @@ def contexts(rows: DataFrame) -> DataFrame:
                 yield told(out)
 
     # all columns go in, so that the shuffled texts serve the last step too
-    return rows.mapInArrow(run, "r1 long, r2 long, node binary, pos int, before binary, after binary")
+    return rows.mapInArrow(run, "r1 long, r2 long, node binary, pos int, before binary, after binary, kind binary")
 
 
 def _resolve(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
@@ -268,7 +271,8 @@ def descended(rows: DataFrame, group: int) -> tuple[DataFrame, list[DataFrame]]:
     """What is left to gather (r1, r2, node, pos, before, after), in groups of at most `group`,
     and r1, r2, a, b of stretches found on the way.
 
-    A group looks for strings that take x to y bytes from the left of the core and the rest
+    Occurrences with equal contexts are copies of each other all the way, so each of them is
+    settled and one is enough to compare the others with. A group looks for strings that take x to y bytes from the left of the core and the rest
     from its right; its members share the x bytes and the REACH - y. If they share `left` and
     `right`, strings within these are settled: all members have them if they fit. The others
     take more than `left` from the left or more than `right` from the right. A group that
@@ -277,7 +281,14 @@ def descended(rows: DataFrame, group: int) -> tuple[DataFrame, list[DataFrame]]:
     """
     spark = rows.sparkSession
     least = lambda c: (F.min(c), F.max(c))
-    todo, gather, spans = rows.withColumns({"core": F.col("node"), "x": F.lit(0), "y": F.lit(REACH)}), [], []
+    stretch = lambda left, right: (*ROW, (F.col("pos") - left).cast("long").alias("a"), (F.col("pos") + CORE + right).cast("long").alias("b"))
+    folder = new_folder(spark, "contexts")
+    rows.write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    kinds = cut(rows.groupBy("kind").agg(F.count("*").alias("n")).where("n > 1"))
+    spans = [rows.join(kinds, "kind").select(*stretch(F.length("before"), F.length("after")))]
+    rows = rows.dropDuplicates(["kind"]).drop("kind")
+    todo, gather = rows.withColumns({"core": F.col("node"), "x": F.lit(0), "y": F.lit(REACH)}), []
     while True:
         folder = new_folder(spark, "groups")
         todo.write.parquet(folder)
@@ -290,7 +301,7 @@ def descended(rows: DataFrame, group: int) -> tuple[DataFrame, list[DataFrame]]:
         if not stats.where(F.col("n") > group).limit(1).count():
             return reduce(DataFrame.unionByName, gather), spans
         large = told.where(F.col("n") > group)
-        spans.append(large.where(F.col("left") + F.col("right") >= REACH).select(*ROW, (F.col("pos") - F.col("left")).cast("long").alias("a"), (F.col("pos") + CORE + F.col("right")).cast("long").alias("b")))
+        spans.append(large.where(F.col("left") + F.col("right") >= REACH).select(*stretch(F.col("left"), F.col("right"))))
         settled = F.least(F.col("left"), F.lit(REACH - 1) - F.col("right"))
         halves = lambda a, b: (F.struct(a.alias("x"), F.floor((a + b) / 2).cast("int").alias("y")), F.struct((F.floor((a + b) / 2) + 1).cast("int").alias("x"), b.alias("y")))
         ways = F.array(*halves(F.col("left") + 1, F.col("y")), *halves(F.col("x"), settled))
