@@ -267,12 +267,34 @@ def _shared(stats: DataFrame) -> DataFrame:
     return stats.mapInArrow(run, "node binary, n long, left int, right int")
 
 
+def _stretch(left, right) -> tuple:
+    return *ROW, (F.col("pos") - left).cast("long").alias("a"), (F.col("pos") + CORE + right).cast("long").alias("b")
+
+
+def _with_few(rows: DataFrame, anchors_: DataFrame) -> DataFrame:
+    """Joins on ROW; the anchors are broadcast if they are few."""
+    n, places = anchors_.agg(F.count("*"), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
+    return rows.join(F.broadcast(anchors_) if n <= BROADCAST_ROWS and places <= MOST_ANCHORS else anchors_, ROW)
+
+
+def settled_kinds(rows: DataFrame, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Occurrences with equal contexts are copies of each other all the way, so each of them is
+    settled and one is enough to compare the others with. Returns r1, r2, a, b of what is
+    settled, and r1, r2, anchors of one occurrence of each kind; contexts are not stored."""
+    spark = rows.sparkSession
+    folder = new_folder(spark, "kinds")
+    contexts(_with_few(rows, hot)).select(*ROW, "pos", F.length("before").alias("left"), F.length("after").alias("right"), "kind").write.parquet(folder)
+    light = spark.read.parquet(folder)
+    kinds = cut(light.groupBy("kind").agg(F.count("*").alias("n"), F.min(F.struct(*ROW, "pos")).alias("one")))
+    spans = light.join(kinds.where("n > 1"), "kind").select(*_stretch(F.col("left"), F.col("right")))
+    return spans, cut(kinds.groupBy("one.r1", "one.r2").agg(F.collect_set("one.pos").alias("anchors")))
+
+
 def descended(rows: DataFrame, group: int) -> tuple[DataFrame, list[DataFrame]]:
     """What is left to gather (r1, r2, node, pos, before, after), in groups of at most `group`,
     and r1, r2, a, b of stretches found on the way.
 
-    Occurrences with equal contexts are copies of each other all the way, so each of them is
-    settled and one is enough to compare the others with. A group looks for strings that take x to y bytes from the left of the core and the rest
+    A group looks for strings that take x to y bytes from the left of the core and the rest
     from its right; its members share the x bytes and the REACH - y. If they share `left` and
     `right`, strings within these are settled: all members have them if they fit. The others
     take more than `left` from the left or more than `right` from the right. A group that
@@ -281,13 +303,7 @@ def descended(rows: DataFrame, group: int) -> tuple[DataFrame, list[DataFrame]]:
     """
     spark = rows.sparkSession
     least = lambda c: (F.min(c), F.max(c))
-    stretch = lambda left, right: (*ROW, (F.col("pos") - left).cast("long").alias("a"), (F.col("pos") + CORE + right).cast("long").alias("b"))
-    folder = new_folder(spark, "contexts")
-    rows.write.parquet(folder)
-    rows = spark.read.parquet(folder)
-    kinds = cut(rows.groupBy("kind").agg(F.count("*").alias("n")).where("n > 1"))
-    spans = [rows.join(kinds, "kind").select(*stretch(F.length("before"), F.length("after")))]
-    rows = rows.dropDuplicates(["kind"]).drop("kind")
+    rows, spans = rows.drop("kind"), []
     todo, gather = rows.withColumns({"core": F.col("node"), "x": F.lit(0), "y": F.lit(REACH)}), []
     while True:
         folder = new_folder(spark, "groups")
@@ -301,7 +317,7 @@ def descended(rows: DataFrame, group: int) -> tuple[DataFrame, list[DataFrame]]:
         if not stats.where(F.col("n") > group).limit(1).count():
             return reduce(DataFrame.unionByName, gather), spans
         large = told.where(F.col("n") > group)
-        spans.append(large.where(F.col("left") + F.col("right") >= REACH).select(*stretch(F.col("left"), F.col("right"))))
+        spans.append(large.where(F.col("left") + F.col("right") >= REACH).select(*_stretch(F.col("left"), F.col("right"))))
         settled = F.least(F.col("left"), F.lit(REACH - 1) - F.col("right"))
         halves = lambda a, b: (F.struct(a.alias("x"), F.floor((a + b) / 2).cast("int").alias("y")), F.struct((F.floor((a + b) / 2) + 1).cast("int").alias("x"), b.alias("y")))
         ways = F.array(*halves(F.col("left") + 1, F.col("y")), *halves(F.col("x"), settled))
@@ -323,13 +339,11 @@ def repeated(rows: DataFrame, group: int = GROUP) -> DataFrame:
     found = cut(found.groupBy(*ROW, (F.col("n") > group).alias("hot")).agg(F.collect_set("pos").alias("anchors")))
     few = gathered(contexts(rows.join(found.where("NOT hot").drop("hot"), ROW)))
     hot = found.where("hot").drop("hot")
-    n, anchors_ = hot.agg(F.count("*"), F.coalesce(F.sum(F.size("anchors")), F.lit(0))).first()
-    if not n:
+    if not hot.limit(1).count():
         return few
-    if n <= BROADCAST_ROWS and anchors_ <= MOST_ANCHORS:
-        hot = F.broadcast(hot)
-    left, spans = descended(contexts(rows.join(hot, ROW)), group)
-    return reduce(DataFrame.unionByName, [few, gathered(left), *spans])
+    settled, kinds = settled_kinds(rows, hot)
+    left, spans = descended(contexts(_with_few(rows, kinds)), group)
+    return reduce(DataFrame.unionByName, [few, settled, gathered(left), *spans])
 
 
 def spans_of(docs: DataFrame, doc_id: str, text: str, group: int) -> DataFrame:
