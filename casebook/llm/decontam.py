@@ -114,14 +114,19 @@ def _confirmed(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_i
     found = cut(alignments(docs, items.withColumnRenamed("item_text", "text")))
     if found.count() <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    rows = docs.join(found, ROW).join(items, ITEM)
-    rows = rows.select(*ROW, "doc_id", "item_id", "off", words(F.col("text")).alias("w"), words(F.col("item_text")).alias("x"))
-    same = F.expr("transform(x, (v, k) -> CASE WHEN off + k >= 0 AND get(w, off + k) = v THEN 1 ELSE 0 END)")
-    rows = rows.select(*ROW, "doc_id", "item_id", "off", F.size("x").alias("n_item_words"), same.alias("same"))
-    rows = rows.withColumn("n_matched", F.expr("aggregate(same, 0, (a, e) -> a + e)"))
-    best = f"exists(sequence(1, n_item_words - {WINDOW} + 1), a -> 100 * aggregate(slice(same, a, {WINDOW}), 0, (s, e) -> s + e) >= {SHARE} * {WINDOW})"
-    confirmed = F.expr(f"100 * n_matched >= {SHARE} * n_item_words OR n_item_words > {WINDOW} AND {best}")
-    return rows.where(confirmed).drop("same")
+    # words are split once a document and item: the columns lie below the join that the check is pushed into
+    texts = docs.join(found, ROW).select(*ROW, *ITEM, "doc_id", "off", words(F.col("text")).alias("w"))
+    rows = texts.join(items.select(*ITEM, "item_id", words(F.col("item_text")).alias("x")), ITEM)
+    # the item's words beside the document's words at their places; those before its first word have none
+    beside = F.expr("concat(array_repeat(CAST(null AS string), greatest(-off, 0)), slice(w, greatest(off, 0) + 1, greatest(size(x) + least(off, 0), 0)))")
+    same = F.zip_with("x", beside, lambda v, y: F.when(v == y, 1).otherwise(0))
+    rows = rows.select(*ROW, "doc_id", "item_id", "off", F.size("x").alias("n_item_words"), F.slice(same, 1, F.size("x")).alias("same"))
+    # bound to a lambda's variable, so that the windows share one comparison
+    total = "aggregate(s, 0, (a, e) -> a + e)"
+    best = f"exists(sequence(1, greatest(size(s) - {WINDOW} + 1, 1)), a -> 100 * aggregate(slice(s, a, {WINDOW}), 0, (b, e) -> b + e) >= {SHARE} * {WINDOW})"
+    told = F.expr(f"transform(array(same), s -> struct({total} AS n_matched, 100 * {total} >= {SHARE} * size(s) OR size(s) > {WINDOW} AND {best} AS confirmed))[0]")
+    rows = rows.withColumn("told", told).where("told.confirmed")
+    return rows.select(*ROW, "doc_id", "item_id", "off", "n_item_words", F.col("told.n_matched").alias("n_matched"))
 
 
 def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
