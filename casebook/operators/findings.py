@@ -23,12 +23,16 @@ def unknown_values(rows: DataFrame, words: DataFrame, dimension: str, column: st
 
 
 def with_suggestions(unknown: DataFrame, words: DataFrame, dimension: str, taxonomy: str | None = None) -> DataFrame:
-    """Adds the most similar valid value, if one is similar enough. Unknown and valid
-    values are distinct values of one dimension, so their pairs are few."""
+    """Adds the most similar valid value, if one is similar enough. Only values whose lengths
+    let them be similar meet, by an equi-join on the length."""
     valid = words.where((F.col("dimension") == dimension) & F.col("taxonomy").eqNullSafe(F.lit(taxonomy))).select(F.col("value").alias("suggestion"))
     longest = F.greatest(F.length("value"), F.length("suggestion"))
     likeness = F.round(1 - F.levenshtein(F.upper(F.trim("value")), F.col("suggestion")) / longest, 6)
-    pairs = unknown.join(valid, F.levenshtein(F.upper(F.trim("value")), F.col("suggestion")) <= longest * (1 - SIMILAR)).withColumn("likeness", likeness)
+    most = F.length("value") * (1 - SIMILAR)
+    trimmed = F.length(F.trim("value"))
+    sizes = F.sequence(F.greatest(F.ceil(trimmed - most), F.lit(0)).cast("int"), F.greatest(F.length("value"), F.floor(trimmed / SIMILAR)).cast("int"))
+    sized, valid = unknown.withColumn("__size", F.explode(sizes)), valid.withColumn("__size", F.length("suggestion"))
+    pairs = sized.join(valid, "__size").where(F.levenshtein(F.upper(F.trim("value")), F.col("suggestion")) <= longest * (1 - SIMILAR)).withColumn("likeness", likeness)
     best = pairs.groupBy("value").agg(F.max(F.struct("likeness", "suggestion")).alias("b")).select("value", F.col("b.suggestion").alias("suggestion"), F.col("b.likeness").alias("likeness"))
     return unknown.join(best, "value", "left")
 
@@ -52,9 +56,9 @@ def gaps(rollup: DataFrame, words: DataFrame, start: date, end: date, grain: str
     step = {"month": "1 MONTH", "quarter": "3 MONTH", "year": "1 YEAR"}[grain]
     geography = GEOGRAPHIES[level]
     periods = F.sequence(F.trunc(F.lit(start), grain), F.lit(end), F.expr(f"INTERVAL {step}"))
-    categories = words.where((F.col("dimension") == "category") & (F.col("taxonomy") == taxonomy)).select(F.col("value").alias("category"), F.lit(1).alias("k"))
-    values = words.where(F.col("dimension") == level).select(F.col("value").alias(geography), F.lit(1).alias("k"))
-    # every valid combination is asked for, so the frame is their product
-    frame = categories.join(values, "k").withColumn("period", F.explode(periods)).drop("k")
+    categories = words.where((F.col("dimension") == "category") & (F.col("taxonomy") == taxonomy)).select(F.col("value").alias("category"))
+    values = words.where(F.col("dimension") == level).select(F.col("value").alias(geography))
+    # every valid combination is asked for, so the frame is the product of two vocabularies
+    frame = categories.crossJoin(values).withColumn("period", F.explode(periods))
     have = rollup.select(period(F.col("month"), grain).alias("period"), F.col(TAXONOMIES[taxonomy]).alias("category"), F.col(geography).cast("string").alias(geography))
     return frame.join(have, ["period", "category", geography], "left_anti")

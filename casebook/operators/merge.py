@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.predicates import changed_since
-from casebook.operators.taxonomy import prepare
+from casebook.operators.taxonomy import prepare, retag_report, retagged
 from casebook.sources.storage import cut, new_folder, read_incidents, write_incidents
 
 
@@ -134,3 +134,21 @@ def backfill(spark: SparkSession, root: str, raw: DataFrame, codes: DataFrame, h
     if loaded.limit(1).count():
         write_incidents(loaded, root)
     return report
+
+
+def retag(spark: SparkSession, root: str, codes: DataFrame, dry_run: bool = False) -> DataFrame:
+    """Rewrites the stored years in which the present curation changes a row's stable category;
+    returns the retag report of all years. Repeating it changes nothing; a dry run only reports."""
+    stored = read_incidents(spark, root)
+    report = cut(retag_report(stored, codes))
+    if dry_run:
+        return report
+    columns = [c for c in stored.columns if c != "year"]
+    rows = stored.select(*columns, F.col("stable_category").alias("__was"))
+    changed = retagged(rows, codes).where(~F.col("stable_category").eqNullSafe(F.col("__was"))).select(year_of().alias("year")).distinct()
+    staging = new_folder(spark, "retagged")
+    retagged(stored.join(cut(changed), "year", "left_semi").select(*columns), codes).write.parquet(staging)
+    new = spark.read.parquet(staging)
+    if new.limit(1).count():
+        write_incidents(new, root)
+    return report

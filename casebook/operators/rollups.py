@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from casebook.functions.columns import period
 from casebook.functions.predicates import geocoded
 from casebook.sources.schema import GEOGRAPHIES, MEASURES, TAXONOMIES
+from casebook.sources.storage import cut
 
 CATEGORIES = tuple(TAXONOMIES.values())
 
@@ -52,40 +53,52 @@ def code_months(df: DataFrame) -> DataFrame:
     return df.groupBy(period(F.col("date"), "month").alias("month"), "iucr", *CATEGORIES).agg(F.count("*").alias("incidents"))
 
 
-def tables(df: DataFrame) -> dict[str, DataFrame]:
-    return {f"rollup_{level}": rollup(df, level) for level in GEOGRAPHIES} | {"rollup_code_month": code_months(df), "code_coverage": code_coverage(df), "rollup_meta": meta(df).withColumn("built_at", F.current_timestamp())}
+#: Keys of each stored rollup.
+TABLES = {f"rollup_{level}": ["month", *CATEGORIES, *([g] if g else [])] for level, g in GEOGRAPHIES.items()} | {"rollup_code_month": ["month", "iucr", *CATEGORIES]}
+KEYS = ["month", *CATEGORIES, "iucr", *filter(None, GEOGRAPHIES.values())]
 
 
-def totals_report(df: DataFrame, built: dict[str, DataFrame]) -> DataFrame:
-    """table, incidents and whether they add up to the source's rows; likewise for the other measures where a table has them."""
-    source = df.agg(*counted()).select(*(F.col(m).alias(f"source_{m}") for m in MEASURES))
+def every_rollup(df: DataFrame) -> DataFrame:
+    """table_name, KEYS and MEASURES of all rollups in one pass; keys that a table lacks are null, and codes have incidents only."""
+    rows = df.withColumn("month", period(F.col("date"), "month"))
+    found = rows.groupingSets(list(TABLES.values()), *KEYS).agg(*counted(), F.grouping_id().alias("__g"))
+    bits = {name: sum(1 << (len(KEYS) - 1 - i) for i, c in enumerate(KEYS) if c not in keys) for name, keys in TABLES.items()}
+    named = F.create_map(*(F.lit(x) for name, g in bits.items() for x in (g, name)))[F.col("__g")]
+    found = found.withColumn("table_name", named)
+    measures = [F.when((F.col("table_name") != "rollup_code_month") | F.lit(m == "incidents"), F.col(m)).alias(m) for m in MEASURES]
+    return found.select("table_name", *KEYS, *measures)
 
-    def one(name: str, table: DataFrame) -> DataFrame:
-        have = [m for m in MEASURES if m in table.columns]
-        sums = table.agg(*(F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in have)).withColumn("__one", F.lit(1))
-        row = sums.join(source.withColumn("__one", F.lit(1)), "__one")
-        equal = reduce(lambda a, b: a & b, (F.col(m) == F.col(f"source_{m}") for m in have))
-        return row.select(F.lit(name).alias("table_name"), *(F.col(m) if m in have else F.lit(None).cast("long").alias(m) for m in MEASURES), equal.alias("complete"))
 
-    return reduce(DataFrame.unionByName, (one(name, t) for name, t in built.items() if name.startswith("rollup_") and name != "rollup_meta"))
+def totals_report(stored: DataFrame, source: DataFrame) -> DataFrame:
+    """table_name, MEASURES, n_rows and whether the measures add up to `source`, one row of them."""
+    sums = stored.groupBy("table_name").agg(*(F.sum(m).alias(m) for m in MEASURES), F.count("*").alias("n_rows"))
+    equal = reduce(lambda a, b: a & b, (F.coalesce(F.col(m) == source.select(m).scalar(), F.lit(True)) for m in MEASURES))
+    return sums.withColumn("complete", equal)
 
 
 def build(df: DataFrame, root: str, version: int) -> DataFrame:
-    """Writes all tables as version `version` under root, checks their totals and then
-    appends the version to root/published, which readers follow. Returns (table_name, n_rows)."""
+    """Writes all tables as version `version` under root, sorted by month and categories, checks
+    their totals and then appends the version to root/published, which readers follow.
+    Returns (table_name, n_rows)."""
     spark = df.sparkSession
     where = f"{root}/v={version}"
-    for name, table in tables(df).items():
-        order = [c for c in ("month", *CATEGORIES, *filter(None, GEOGRAPHIES.values())) if c in table.columns]
-        table.sortWithinPartitions(*order).write.mode("overwrite").parquet(f"{where}/{name}") if order else table.write.mode("overwrite").parquet(f"{where}/{name}")
-    built = {name: spark.read.parquet(f"{where}/{name}") for name in tables(df)}
-    if totals_report(df, built).where("NOT complete").limit(1).count():
+    order = ["table_name", *KEYS]
+    every_rollup(df).repartition("table_name", "month").sortWithinPartitions(*order).write.partitionBy("table_name").mode("overwrite").parquet(f"{where}/rollups")
+    code_coverage(df).write.mode("overwrite").parquet(f"{where}/code_coverage")
+    totals = df.agg(*counted(), F.count_distinct(F.year("date")).alias("partition_count"), F.min("date").alias("min_date"), F.max("date").alias("max_date"))
+    totals.select(F.col("incidents").alias("row_count"), "*", F.current_timestamp().alias("built_at")).write.mode("overwrite").parquet(f"{where}/rollup_meta")
+    report = cut(totals_report(spark.read.parquet(f"{where}/rollups"), spark.read.parquet(f"{where}/rollup_meta")))
+    if report.where("NOT complete").limit(1).count():
         raise ValueError(f"version {version} does not add up to its source")
     spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{root}/published")
-    return reduce(DataFrame.unionByName, (t.agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n, t in built.items()))
+    others = (spark.read.parquet(f"{where}/{n}").agg(F.count("*").alias("n_rows")).select(F.lit(n).alias("table_name"), "n_rows") for n in ("code_coverage", "rollup_meta"))
+    return reduce(DataFrame.unionByName, others, report.select("table_name", "n_rows"))
 
 
 def published(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A table of the version published last."""
     version = spark.read.parquet(f"{root}/published").agg(F.max_by("version", "at")).first()[0]
-    return spark.read.parquet(f"{root}/v={version}/{name}")
+    if name not in TABLES:
+        return spark.read.parquet(f"{root}/v={version}/{name}")
+    measures = MEASURES[:1] if name == "rollup_code_month" else MEASURES
+    return spark.read.parquet(f"{root}/v={version}/rollups/table_name={name}").select(*TABLES[name], *measures)

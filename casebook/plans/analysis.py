@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import date, datetime
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from casebook.functions import geo
@@ -60,9 +61,33 @@ BUILT = " UNION ALL ".join(
 ) + f" UNION ALL SELECT 'rollup_code_month', count(*) FROM (SELECT DISTINCT {MONTH}, iucr, primary_type_canonical, stable_category FROM incidents) UNION ALL SELECT 'code_coverage', count(DISTINCT iucr) FROM incidents UNION ALL SELECT 'rollup_meta', 1"
 
 
+_ROOTS: dict[tuple[str, str], str] = {}
+
+
 @query(BUILT)
 def agg09_sort08_build_rollups(spark, d):
-    return rollups.build(storage.cut(inc(spark, d)), storage.new_folder(spark, "rollups"), 1)
+    root = storage.new_folder(spark, "rollups")
+    built = rollups.build(inc(spark, d), root, 1)
+    _ROOTS[spark.sparkContext.applicationId, d] = root
+    return built
+
+
+def published(spark, d, level):
+    """A stored rollup of the table; all are built once a session."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _ROOTS:
+        agg09_sort08_build_rollups(spark, d)
+    return rollups.published(spark, _ROOTS[key], f"rollup_{level}")
+
+
+@query(f"""SELECT table_name, n_rows, CAST(0 AS BIGINT) AS n_out_of_order FROM ({BUILT}) WHERE table_name NOT IN ('code_coverage', 'rollup_meta')""")
+def sort08_stored_order(spark, d):
+    published(spark, d, "citywide")
+    keys = F.struct("month", *rollups.CATEGORIES)
+    stored_rows = spark.read.parquet(f"{_ROOTS[spark.sparkContext.applicationId, d]}/v=1/rollups")
+    found = stored_rows.select("table_name", keys.alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
+    return found.withColumn("before", before).groupBy("table_name").agg(F.count("*").alias("n_rows"), F.count_if(F.col("before") > F.col("key")).alias("n_out_of_order"))
 
 
 SPAN = (date(1996, 1, 1), date(1998, 12, 31))
@@ -78,7 +103,7 @@ def year_totals_scan(spark, d):
 
 @query(f"SELECT CAST(date_trunc('year', date) AS DATE) AS period, {COUNTED} FROM incidents WHERE {IN_SPAN} GROUP BY 1")
 def agg10_year_totals_rollup(spark, d):
-    return A.from_rollup(rollups.rollup(inc(spark, d)), YEARS)
+    return A.from_rollup(published(spark, d, "citywide"), YEARS)
 
 
 WARDS = f"SELECT CAST(date_trunc('quarter', date) AS DATE) AS period, stable_category AS category, ward, {COUNTED} FROM incidents WHERE {IN_SPAN} AND stable_category IN ('HIGH', 'MEDIUM') AND ward IN (3, 7, 11) GROUP BY ALL"
@@ -86,8 +111,7 @@ WARDS = f"SELECT CAST(date_trunc('quarter', date) AS DATE) AS period, stable_cat
 
 @query(f"SELECT *, {RATES} FROM ({WARDS})")
 def agg10_ward_quarters_rollup(spark, d):
-    df = inc(spark, d)
-    return A.aggregate(df, {"ward": rollups.rollup(df, "ward")}, BY_WARD)
+    return A.aggregate(inc(spark, d), {"ward": published(spark, d, "ward")}, BY_WARD)
 
 
 @query(f"SELECT *, {RATES} FROM ({WARDS})")
@@ -115,14 +139,14 @@ def sort01_first_groups(spark, d):
 
 @query(f"SELECT count(*) AS total FROM incidents WHERE {IN_SPAN} AND primary_type_canonical IN ('HIGH', 'URGENT')")
 def agg14_total_in_span(spark, d):
-    months = rollups.code_months(inc(spark, d))
+    months = published(spark, d, "code_month")
     rows = months.where(P.months_in_span(*SPAN) & P.in_categories("source", ["HIGH", "URGENT"]))
     return rows.agg(F.coalesce(F.sum("incidents"), F.lit(0)).alias("total"))
 
 
 @query(f"SELECT iucr, count(*) AS incidents FROM incidents WHERE {IN_SPAN} AND iucr IS NOT NULL GROUP BY iucr")
 def agg15_flt12_13_code_totals(spark, d):
-    months = rollups.code_months(inc(spark, d))
+    months = published(spark, d, "code_month")
     return months.where(P.months_in_span(*SPAN) & F.col("iucr").isNotNull()).groupBy("iucr").agg(F.sum("incidents").alias("incidents"))
 
 
@@ -131,17 +155,17 @@ GEOCODED = "SELECT primary_type_canonical AS category, count(*) AS incidents, CA
 
 @query(f"SELECT *, geocoded / incidents AS geocode_rate FROM ({GEOCODED})")
 def agg16_geocode_coverage(spark, d):
-    return A.geocode_coverage(rollups.rollup(inc(spark, d)))
+    return A.geocode_coverage(published(spark, d, "citywide"))
 
 
 @query("SELECT DISTINCT stable_category FROM incidents WHERE stable_category IS NOT NULL")
 def agg17_categories(spark, d):
-    return profile.distinct_values(rollups.rollup(inc(spark, d)), "stable_category")
+    return profile.distinct_values(published(spark, d, "citywide"), "stable_category")
 
 
 @query("SELECT DISTINCT community_area FROM incidents WHERE community_area IS NOT NULL")
 def agg18_geography_values(spark, d):
-    return profile.distinct_values(rollups.rollup(inc(spark, d), "community_area"), "community_area")
+    return profile.distinct_values(published(spark, d, "community_area"), "community_area")
 
 
 WORDS = """words AS (SELECT DISTINCT 'category' AS dimension, 'source' AS taxonomy, primary_type_canonical AS value, false AS stable_over_time FROM incidents WHERE primary_type_canonical IS NOT NULL
@@ -150,18 +174,18 @@ UNION ALL SELECT DISTINCT 'beat', NULL, beat, false FROM incidents WHERE beat IS
 UNION ALL SELECT DISTINCT 'community_area', NULL, CAST(community_area AS string), true FROM incidents WHERE community_area IS NOT NULL UNION ALL SELECT DISTINCT 'ward', NULL, CAST(ward AS string), false FROM incidents WHERE ward IS NOT NULL)"""
 
 
-def _words(df):
-    return profile.vocabulary({level: rollups.rollup(df, level) for level in GEOGRAPHIES})
+def _words(spark, d):
+    return profile.vocabulary({level: published(spark, d, level) for level in GEOGRAPHIES})
 
 
 @query(f", {WORDS} SELECT * FROM words")
 def agg19_vocabulary(spark, d):
-    return _words(inc(spark, d))
+    return _words(spark, d)
 
 
 @query(f", {WORDS} SELECT dimension, taxonomy, count(*) AS n_values FROM words GROUP BY ALL")
 def agg19_vocabulary_sizes(spark, d):
-    return profile.vocabulary_sizes(_words(inc(spark, d)))
+    return profile.vocabulary_sizes(_words(spark, d))
 
 
 POINT = (41.75, -87.8, 5000.0)
@@ -295,14 +319,24 @@ def col15_sort02_newest(spark, d):
     return rows.projected(rows.newest(inc(spark, d)))
 
 
+LACKING = ("block", "description", "location_description", "fbi_code")
+
+
+@query("SELECT *, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in LACKING) + ", CAST(NULL AS DOUBLE) AS x_coordinate, CAST(NULL AS DOUBLE) AS y_coordinate FROM incidents WHERE arrest AND date >= timestamp '2001-01-01'")
+def col15_full_record(spark, d):
+    found = inc(spark, d).where("arrest AND date >= timestamp '2001-01-01'")
+    found = found.withColumns({c: F.lit(None).cast("string") for c in LACKING} | {c: F.lit(None).cast("double") for c in ("x_coordinate", "y_coordinate")})
+    return rows.projected(found, full=True)
+
+
 @query("SELECT id, date FROM incidents WHERE date < timestamp '1997-06-15' OR date = timestamp '1997-06-15' AND id < 9000 ORDER BY date DESC, id DESC LIMIT 51")
 def flt08_next_page(spark, d):
     return rows.newest(inc(spark, d), after=(datetime(1997, 6, 15), 9000)).select("id", "date")
 
 
-@query("SELECT id, case_number, date FROM incidents WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_orderkey % 97 = 3)")
+@query("SELECT id, case_number, date FROM incidents WHERE id IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity >= 48)")
 def flt05_join06_sort07_ids(spark, d):
-    keys = table(spark, d, "lineitem").where("l_orderkey % 97 = 3").select(F.col("l_orderkey").alias("id"))
+    keys = table(spark, d, "lineitem").where("l_returnflag = 'R' AND l_quantity >= 48").select(F.col("l_orderkey").alias("id"))
     return rows.lookup(inc(spark, d), keys).select("id", "case_number", "date")
 
 
@@ -339,8 +373,7 @@ GAPS = f"""{WORDS}, frame AS (SELECT CAST(p AS DATE) AS period, c.value AS categ
 
 @query(f", {GAPS} SELECT period, category, ward FROM frame WHERE NOT EXISTS (SELECT 1 FROM incidents WHERE {MONTH} = period AND primary_type_canonical = category AND CAST(incidents.ward AS string) = frame.ward)")
 def qual07_gaps(spark, d):
-    df = inc(spark, d)
-    return findings.gaps(rollups.rollup(df, "ward"), _words(df), *SPAN, "month", "ward")
+    return findings.gaps(published(spark, d, "ward"), _words(spark, d), *SPAN, "month", "ward")
 
 
 UNKNOWN = "unknown AS (SELECT value, count(*) AS n_rows FROM (SELECT substr(o_orderpriority, 3) || CASE WHEN o_orderkey % 2 = 0 THEN 'E' ELSE '' END AS value FROM orders) WHERE value NOT IN (SELECT value FROM words WHERE taxonomy = 'source') GROUP BY 1)"
@@ -353,14 +386,14 @@ def _priorities(spark, d):
 
 @query(f", {WORDS}, {UNKNOWN} SELECT value, n_rows FROM unknown")
 def join07_unknown_values(spark, d):
-    return findings.unknown_values(_priorities(spark, d), _words(inc(spark, d)), "category", "priority", "source")
+    return findings.unknown_values(_priorities(spark, d), _words(spark, d), "category", "priority", "source")
 
 
 @query(f""", {WORDS}, {UNKNOWN}, p AS (SELECT u.value, w.value AS suggestion, round(1 - levenshtein(upper(trim(u.value)), w.value) / greatest(length(u.value), length(w.value)), 6) AS likeness FROM unknown u, words w WHERE w.taxonomy = 'source'
   AND levenshtein(upper(trim(u.value)), w.value) <= greatest(length(u.value), length(w.value)) * (1 - 0.6E0)),
 best AS (SELECT value, arg_max(suggestion, (likeness, suggestion)) AS suggestion, max(likeness) AS likeness FROM p GROUP BY 1) SELECT value, n_rows, suggestion, likeness FROM unknown LEFT JOIN best USING (value)""")
 def qual08_suggestions(spark, d):
-    words = _words(inc(spark, d))
+    words = _words(spark, d)
     return findings.with_suggestions(findings.unknown_values(_priorities(spark, d), words, "category", "priority", "source"), words, "category", "source")
 
 
@@ -379,8 +412,7 @@ TOTALS = " UNION ALL ".join(f"SELECT 'rollup_{level}' AS table_name, {COUNTED},
 @query(TOTALS)
 def qual10_totals(spark, d):
     df = inc(spark, d)
-    built = {f"rollup_{level}": rollups.rollup(df, level) for level in GEOGRAPHIES} | {"rollup_code_month": rollups.code_months(df)}
-    return rollups.totals_report(df, built)
+    return rollups.totals_report(rollups.every_rollup(df), df.agg(*rollups.counted())).drop("n_rows")
 
 
 FIELDS = ("id", "ward", "community_area", "latitude", "beat", "iucr")

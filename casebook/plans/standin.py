@@ -4,6 +4,9 @@ text runs unchanged in Spark and DuckDB, and what is derived from it."""
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from casebook.sources.schema import DERIVED
 
 VIEW = """
 SELECT
@@ -91,3 +94,8 @@ def raw(inc: DataFrame) -> DataFrame:
 
 def changed(inc: DataFrame) -> DataFrame:
     return derived(inc, CHANGED)
+
+
+def feed(df: DataFrame) -> DataFrame:
+    """Rows as received: all text, without what is derived."""
+    return df.select(*(F.col(c).cast("string") for c in df.columns if c not in DERIVED))

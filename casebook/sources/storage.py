@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.operators.findings import checked
 from casebook.sources.schema import CODES, RAW
 
 #: Rows of a file, so that scans can be split and skipped.
@@ -15,10 +16,13 @@ ROWS_PER_FILE = 5_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, which driver and executors share; a temporary folder where it is unset."""
+    """spark.checkpoint.dir, which driver and executors share. Where it is unset, a temporary
+    folder if all runs on this machine, and an error on a cluster."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         named = f"file://{tempfile.mkdtemp(prefix='casebook-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
@@ -26,7 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A path for this application's data, which is removed when the driver ends."""
+    own = f"{shared_dir(spark)}/casebook-{spark.sparkContext.applicationId}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(own)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.mkdirs(path):
+        files.deleteOnExit(path)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -72,6 +82,19 @@ def write_incidents(df: DataFrame, root: str) -> None:
 
 
 def full_refresh(df: DataFrame, table: str) -> DataFrame:
-    """Replaces a table by all partitions; returns one row (partitions, rows)."""
-    df.write.mode("overwrite").saveAsTable(table)
+    """Replaces a table by all partitions, if they meet its constraints; returns one row (partitions, rows)."""
+    checked(df).write.mode("overwrite").saveAsTable(table)
     return df.sparkSession.table(table).agg(F.count_distinct("year").alias("partitions"), F.count("*").alias("n_rows"))
+
+
+def drop_stored_year(spark: SparkSession, root: str, dry_run: bool = False) -> DataFrame:
+    """Rewrites the partitions whose files hold a `year` column of their own, which the path
+    already tells. Returns year and carried, by one file's schema for each partition.
+    Repeating it changes nothing; a dry run only reports."""
+    years = sorted(r.year for r in read_incidents(spark, root).select("year").distinct().collect() if r.year is not None)
+    carried = [y for y in years if "year" in spark.read.parquet(f"{root}/year={y}").columns]
+    if carried and not dry_run:
+        staging = new_folder(spark, "without-year")
+        select_years(read_incidents(spark, root), carried).drop("year").write.parquet(staging)
+        write_incidents(spark.read.parquet(staging), root)
+    return spark.createDataFrame([(y, y in carried) for y in years], "year int, carried boolean")

@@ -45,11 +45,16 @@ def test_span_includes_its_last_day(base):
 
 
 def test_rollups_keep_null_groups_and_totals(base):
-    built = rollups.tables(base)
-    assert built["rollup_ward"].where("ward IS NULL").count() == 1
-    assert rollups.totals_report(base, built).where("NOT complete").count() == 0
-    assert built["rollup_beat"].where("beat = '2422'").agg(F.sum("incidents")).first()[0] == 2
-    assert built["rollup_district"].where("district = '024'").agg(F.sum("incidents")).first()[0] == 1
+    every = rollups.every_rollup(base)
+    of = lambda name: every.where(F.col("table_name") == f"rollup_{name}")
+    assert of("ward").where("ward IS NULL").count() == 1
+    assert rollups.totals_report(every, base.agg(*rollups.counted())).where("complete").count() == len(rollups.TABLES)
+    assert rollups.totals_report(every, base.where("id < 3").agg(*rollups.counted())).where("complete").count() == 0
+    assert of("beat").where("beat = '2422'").agg(F.sum("incidents")).first()[0] == 2
+    assert of("district").where("district = '024'").agg(F.sum("incidents")).first()[0] == 1
+    for level in ("citywide", "ward", "beat"):
+        keys = rollups.TABLES[f"rollup_{level}"]
+        assert of(level).select(*keys, "incidents", "arrests", "domestic", "geocoded").exceptAll(rollups.rollup(base, level)).count() == 0
 
 
 @pytest.mark.parametrize("level,values", [("citywide", ()), ("ward", (1,)), ("district", ("24", "010")), ("community_area", ())])
@@ -181,5 +186,33 @@ def test_date_filters_prune_years(spark, base):
 
 def test_full_refresh_replaces(spark, base):
     rows_ = base.withColumn("year", F.year("date"))
+    with pytest.raises(ValueError):  # a row without a code stops the write
+        storage.full_refresh(rows_, "refreshed")
+    assert not spark.catalog.tableExists("refreshed")
     for _ in range(2):
-        assert tuple(storage.full_refresh(rows_, "refreshed").first()) == (2, 5)
+        assert tuple(storage.full_refresh(rows_.fillna("0110", ["iucr"]), "refreshed").first()) == (2, 5)
+
+
+def test_a_stored_year_is_dropped_once(spark, base):
+    root = storage.new_folder(spark, "t")
+    storage.write_incidents(base, root)
+    base.where("date >= '2025-01-01'").withColumn("year", F.lit(1)).write.mode("overwrite").parquet(f"{root}/year=2025")
+    told = lambda dry_run: {r.year: r.carried for r in storage.drop_stored_year(spark, root, dry_run).collect()}
+    assert told(True) == told(True) == told(False) == {2024: False, 2025: True}
+    assert told(False) == {2024: False, 2025: False}
+    assert sorted(r.id for r in storage.read_incidents(spark, root).collect()) == sorted(r.id for r in base.collect())
+
+
+def test_retagging_rewrites_what_changes(spark, base):
+    root = storage.new_folder(spark, "t")
+    storage.write_incidents(base, root)
+    code = base.where("iucr IS NOT NULL").first().iucr
+    codes = spark.createDataFrame([(code, "X", "OTHER")], "iucr string, primary_description string, stable_category string")
+    before = {r.id: r.stable_category for r in base.collect()}
+    merge.retag(spark, root, codes, dry_run=True)
+    assert {r.id: r.stable_category for r in storage.read_incidents(spark, root).collect()} == before
+    assert sum(r.moved for r in merge.retag(spark, root, codes).collect()) > 0
+    after = {r.id: (r.iucr, r.stable_category) for r in storage.read_incidents(spark, root).collect()}
+    assert set(after) == set(before) and all((c == "OTHER") == (k == code) for k, c in after.values())
+    merge.retag(spark, root, codes)
+    assert {r.id: (r.iucr, r.stable_category) for r in storage.read_incidents(spark, root).collect()} == after
