@@ -38,9 +38,9 @@ from tokenizers import Tokenizer
 AGREED = re.compile("[^\x00-ɏ‐-‧€]")
 NEVER = 1 << 60
 #: Words whose ids are kept in memory, twice this at most.
-MEMORY = 150_000
+MEMORY = 100_000
 #: States that are kept; beyond, the table is begun anew.
-STATES = 200_000
+STATES = 100_000
 #: The arc before the first one.
 START = (1 << 20) - 1
 

@@ -85,7 +85,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in chunks(batch, "text"):
+            for part in chunks(batch, "text", CHUNK_BYTES):
                 both, bounds = Shingles(*flat(part.column("text")), k).elements()
                 elements = both[:, 0].copy()
                 sizes = np.diff(bounds)
@@ -103,6 +103,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, r1 long, r2 long, n_shingles long, fp1 long, fp2 long, bands array<bigint>")
 
 
+#: Bytes of text whose shingles a Python step holds at a time.
+CHUNK_BYTES = 1 << 19
 #: Members of a group that are held together; a larger group is compared block against block.
 BLOCK = 4096
 
@@ -115,8 +117,8 @@ def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 def _sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[tuple[pa.RecordBatch, Shingles, int]]:
     """Batches of bounded text with the shingles of u_text and then of v_text."""
     for batch in batches:
-        for piece in chunks(batch, "u_text"):
-            for part in chunks(piece, "v_text"):
+        for piece in chunks(batch, "u_text", CHUNK_BYTES):
+            for part in chunks(piece, "v_text", CHUNK_BYTES):
                 yield part, Shingles(*flat(pa.concat_arrays([part.column("u_text"), part.column("v_text")])), k), len(part)
 
 
