@@ -10,6 +10,8 @@ EARTH_M = 6371008.8
 DEGREE_M = 111_194.0
 #: Side of a grid cell in degrees.
 CELL = 0.05
+#: Metres of the smallest radius that has cells of its own size; each level doubles it.
+FINEST_M = 100.0
 RINGS = 4
 
 
@@ -25,8 +27,18 @@ def ring(distance: Column, radius: Column) -> Column:
     return F.least(F.width_bucket(distance, F.lit(0.0), radius.cast("double"), F.lit(RINGS)), F.lit(RINGS)).cast("int")
 
 
-def cell(degrees: Column) -> Column:
-    return F.floor(degrees / CELL).cast("int")
+def cell(degrees: Column, side: Column | float = CELL) -> Column:
+    return F.floor(degrees / side).cast("int")
+
+
+def level(radius: Column) -> Column:
+    """The smallest level whose cells are at least as high as the radius."""
+    return F.ceil(F.log2(F.greatest(radius, F.lit(FINEST_M)) / FINEST_M)).cast("int")
+
+
+def side(level_: Column) -> Column:
+    """Degrees of a side of a level's cells."""
+    return F.pow(F.lit(2.0), level_) * (FINEST_M / DEGREE_M)
 
 
 def span_lat(radius: Column) -> Column:
@@ -44,8 +56,8 @@ def in_box(lat: Column, lon: Column, radius: Column) -> Column:
     return F.col("latitude").between(lat - span_lat(radius), lat + span_lat(radius)) & F.col("longitude").between(lon - span_lon(lat, radius), lon + span_lon(lat, radius))
 
 
-def cover(lat: Column, lon: Column, radius: Column) -> Column:
+def cover(lat: Column, lon: Column, radius: Column, side_: Column | float = CELL) -> Column:
     """The cells that a circle touches: as many as its radius and latitude need."""
-    rows = F.sequence(cell(lat - span_lat(radius)), cell(lat + span_lat(radius)))
-    columns = F.sequence(cell(lon - span_lon(lat, radius)), cell(lon + span_lon(lat, radius)))
+    rows = F.sequence(cell(lat - span_lat(radius), side_), cell(lat + span_lat(radius), side_))
+    columns = F.sequence(cell(lon - span_lon(lat, radius), side_), cell(lon + span_lon(lat, radius), side_))
     return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: F.struct(r.alias("cell_lat"), c.alias("cell_lon")))))

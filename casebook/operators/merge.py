@@ -10,6 +10,10 @@ from casebook.operators.taxonomy import prepare, retag_report, retagged
 from casebook.sources.storage import cut, new_folder, read_incidents, write_incidents
 
 
+#: Changed ids up to which each task of a scan gets them all: 8 MB of keys.
+BROADCAST_IDS = 1_000_000
+
+
 def together(*frames: DataFrame) -> DataFrame:
     """All rows of all frames; columns that one lacks are null there."""
     out = frames[0]
@@ -59,10 +63,16 @@ def advanced(watermark: Column, changed: DataFrame) -> DataFrame:
 
 
 def touched(stored: DataFrame, changed: DataFrame) -> DataFrame:
-    """The managed years to rewrite: those of the changed rows, and those where their ids are now."""
+    """The managed years to rewrite: those of the changed rows, and those where their ids are now.
+    Only files whose range of ids meets that of the changed rows are read, and a bounded
+    number of ids is sent to them, so that the table is not shuffled."""
     years = stored.select("year").distinct()
-    applied = status_of(changed, years).where("status = 'applied'")
-    return applied.select("year").union(stored.join(applied.select("id"), "id", "left_semi").select("year")).distinct()
+    applied = cut(status_of(changed, years).where("status = 'applied'").select("id", "year"))
+    ids = applied.select("id").where("id IS NOT NULL").distinct()
+    seen = ids.agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+    ids = F.broadcast(ids) if seen.n <= BROADCAST_IDS else ids
+    near = stored.where(F.col("id").between(seen.low, seen.high)).select("id", "year")
+    return applied.select("year").union(near.join(ids, "id", "left_semi").select("year")).distinct()
 
 
 def merge_into(spark: SparkSession, root: str, changed: DataFrame) -> DataFrame:

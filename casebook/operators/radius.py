@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.functions.geo import RINGS, cell, cover, distance_m, in_box, ring
+from casebook.functions.geo import RINGS, cell, cover, distance_m, in_box, level, ring, side
 from casebook.sources.schema import TAXONOMIES
 
 
@@ -53,11 +53,15 @@ def nearest(df: DataFrame, lat: float, lon: float, k: int = 10) -> DataFrame:
 
 def radius_join(df: DataFrame, points: DataFrame) -> DataFrame:
     """Rows within the radius of each of many points (point_id, lat, lon, radius): an
-    equi-join on grid cells, of which each point has as many as its circle touches."""
-    cells = points.select("point_id", "lat", "lon", "radius", F.explode(cover(F.col("lat"), F.col("lon"), F.col("radius"))).alias("c")).select("point_id", "lat", "lon", "radius", "c.*")
-    rows = with_point(df).where("latitude IS NOT NULL")
-    pairs = rows.join(cells, ["cell_lat", "cell_lon"]).withColumn("distance_m", distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))
-    return pairs.where("distance_m <= radius").drop("cell_lat", "cell_lon", "lat", "lon")
+    equi-join on grid cells as large as the radius, of which a circle touches a few. A row
+    has a cell for each level of sizes that the points use."""
+    sized = points.select("point_id", "lat", "lon", "radius", level(F.col("radius")).alias("level"))
+    cells = sized.select("*", F.explode(cover(F.col("lat"), F.col("lon"), F.col("radius"), side(F.col("level")))).alias("c")).select("point_id", "lat", "lon", "radius", "level", "c.*")
+    used = sized.agg(F.collect_set("level")).scalar()  # one number for each doubling of the radius
+    rows = with_point(df).where("latitude IS NOT NULL").withColumn("level", F.explode(used))
+    rows = rows.withColumns({"cell_lat": cell(F.col("latitude"), side(F.col("level"))), "cell_lon": cell(F.col("longitude"), side(F.col("level")))})
+    pairs = rows.join(cells, ["level", "cell_lat", "cell_lon"]).withColumn("distance_m", distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))
+    return pairs.where("distance_m <= radius").drop("level", "cell_lat", "cell_lon", "lat", "lon")
 
 
 def nearest_join(df: DataFrame, points: DataFrame, k: int) -> DataFrame:
