@@ -136,6 +136,7 @@ def contaminated(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text
 
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The rows that are not contaminated, with all their columns."""
-    bad = _confirmed(docs, items, doc_id, "text", "item_id", "text").select(F.col("r1").alias("__r1"), F.col("r2").alias("__r2")).distinct()
+    bad = _confirmed(docs, items, doc_id, "text", "item_id", "text").select(*ROW).distinct()
     r1, r2 = row_key(doc_id, "text")
-    return docs.withColumns({"__r1": r1, "__r2": r2}).join(bad, ["__r1", "__r2"], "left_anti").select(*docs.columns)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), r1.alias("r1"), r2.alias("r2"))
+    return keyed.join(bad, ROW, "left_anti").select("row.*")

@@ -260,10 +260,10 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, of its smallest id, with all its columns."""
-    key = ["__r1", "__r2"]
     judged = _judged(docs, k, percent, doc_id, text).where("n_shingles > 0")
-    told = cut(judged.groupBy(F.col("r1").alias(key[0]), F.col("r2").alias(key[1])).agg(F.max("kept").alias("__kept"), F.count("*").alias("n")).where("NOT __kept OR n > 1").drop("n"))
-    keyed = docs.withColumns(dict(zip(key, row_key(doc_id, text), strict=True)))
+    told = cut(judged.groupBy(*ROW).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1").drop("n"))
+    r1, r2 = row_key(doc_id, text)
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), r1.alias("r1"), r2.alias("r2"))
     # of rows equal in id and text, one
-    equal = keyed.join(told.where("__kept"), key, "left_semi").dropDuplicates(key)
-    return keyed.join(told, key, "left_anti").unionByName(equal).select(*docs.columns)
+    equal = keyed.join(told.where("kept"), ROW, "left_semi").dropDuplicates(ROW)
+    return keyed.join(told, ROW, "left_anti").unionByName(equal).select("row.*")

@@ -9,14 +9,12 @@ id are judged each by its text; an empty table passes through.
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casebook.llm import bpe, decontam, neardup, quality, secrets
-from casebook.llm.common import prepare, read, shared_dir
+from casebook.llm.common import new_folder, prepare, read
 
 #: No SQL: signatures, decoded keys and BPE are not expressed in it; tests/llm has a brute-force version.
 ORACLE_SQL = None
@@ -64,7 +62,7 @@ STAGES = [
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's rows are written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "pipeline")
     for i, (name, stage) in enumerate(STAGES):
         out = f"{folder}/{i}-{name}"
         stage(spark, docs, sf_dir).write.parquet(out)
