@@ -23,6 +23,15 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail
 FROM b
 """
 
+#: What each rule of a policy does alone, from the failures of whole documents.
+ABLATIONS = f"""
+WITH f AS (SELECT list_filter([{", ".join(f"CASE WHEN {fails} THEN '{name}' END" for name, fails in RULES if name in POLICIES[1])}], lambda x: x IS NOT NULL) AS failed FROM ({OP9})),
+r AS (SELECT unnest({list(POLICIES[1])}) AS rule)
+SELECT rule, CAST(count_if(list_contains(failed, rule)) AS BIGINT) AS n_fail, CAST(count_if(failed = [rule]) AS BIGINT) AS n_only,
+  CAST(count_if(len(list_filter(failed, lambda x: x <> rule)) = 0) AS BIGINT) AS n_kept_without
+FROM f, r GROUP BY rule
+"""
+
 #: Base32 of 20 bytes: each hex digit gives 4 bits, each 5 bits a letter.
 OP5 = """
 WITH p AS (SELECT row_number() OVER () AS rid, page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -121,4 +130,4 @@ c AS (SELECT id, min(v) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN c ON d.doc_id = c.id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLES = {"op7_repeats": OP7, "op8_near_duplicates": OP8, "op6_decontamination": OP6, "op4_url_filter": OP4, "op5_warc": OP5, "op9_quality_rules": OP9}
+ORACLES = {"op7_repeats": OP7, "op8_near_duplicates": OP8, "op6_decontamination": OP6, "op4_url_filter": OP4, "op5_warc": OP5, "op9_quality_rules": OP9, "quality_ablations": ABLATIONS}

@@ -121,7 +121,8 @@ def apply_policy(ledger_rows: DataFrame, version: int = 1) -> DataFrame:
 
 def ablations(ledger_rows: DataFrame, version: int = 1) -> DataFrame:
     """For each rule of a policy: documents that fail it, that fail no other rule, and
-    that would be kept without it. At most 2**rules groups leave the aggregation."""
+    that would be kept without it. At most 2**rules groups leave the aggregation; an empty
+    ledger has no row."""
     rules = POLICIES[version]
     groups = ledger_rows.groupBy(F.col("fail_bits").bitwiseAND(F.lit(mask(rules))).alias("bits")).agg(F.count("*").alias("n"))
     each = F.array(*(F.struct(F.lit(name).alias("rule"), F.lit(mask([name])).cast("long").alias("bit")) for name in rules))

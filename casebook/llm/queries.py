@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 
 from casebook.llm import bpe, decontam, language, lengths, neardup, quality, repeats, secrets, urls, warc
-from casebook.llm.common import read, shared_dir
+from casebook.llm.common import new_folder, read
 
 
 def op3_language_id(spark, sf_dir):
@@ -25,7 +23,7 @@ def op4_url_filter(spark, sf_dir):
 
 
 def op5_warc(spark, sf_dir):
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "warc")
     warc.write(read(spark, sf_dir, "pages"), folder)
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
@@ -47,6 +45,10 @@ def op9_quality_rules(spark, sf_dir):
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_upper", "n_lower", "fail_bits")
 
 
+def quality_ablations(spark, sf_dir):
+    return quality.ablations(quality.ledger(read(spark, sf_dir, "documents")))
+
+
 def op1_secret_scan(spark, sf_dir):
     return secrets.scan(read(spark, sf_dir, "documents"))
 
@@ -59,4 +61,4 @@ def op10_token_counts(spark, sf_dir):
     return lengths.suffix_sums(lengths.histogram(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_repeats": op7_repeats, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "op10_token_counts": op10_token_counts}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_repeats": op7_repeats, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "quality_ablations": quality_ablations, "op10_token_counts": op10_token_counts}

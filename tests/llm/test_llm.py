@@ -281,6 +281,38 @@ def test_language_accuracy_and_edges(spark, odd, empty):
     assert {r.lang_pred for r in language.predict(odd, nothing).collect()} == {"und"}
 
 
+def grams_by_force(text: str | None) -> list[str]:
+    """Letter 2- and 3-grams of a lower-cased text, which a boundary may begin or end."""
+    marked = "".join(c if c.isalpha() else "\0" for c in f"\0{(text or '').lower()}\0")
+    found = [marked[i : i + n] for n in (2, 3) for i in range(len(marked) - n + 1)]
+    return [g for g in found if (g[0] != "\0" or g[-1] != "\0") and "\0" not in g[1:-1]]
+
+
+def test_language_filters_agree_with_exact_sets(spark):
+    docs = documents(spark)
+    rows = docs.select("doc_id", "text", "lang").collect()
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if r.lang is not None and zlib.crc32(str(r.doc_id).encode()) % 5:
+            counts[r.lang].update(grams_by_force(r.text))
+    sets = {}
+    for lang, c in counts.items():
+        total = {n: sum(v for g, v in c.items() if len(g) == n) for n in (2, 3)}
+        sets[lang] = {g for g, v in c.items() if v >= 1e-5 * total[len(g)]}
+    model = language.fit(docs.where(~language.held_out()))
+    assert model.languages == sorted(sets)
+    found = {r.doc_id: r for r in language.predict(docs, model).collect()}
+    agreed = []
+    for r in rows:
+        mine = grams_by_force(r.text)
+        share = {lang: sum(g in s for g in mine) / len(mine) if mine else 0.0 for lang, s in sorted(sets.items())}
+        best = max(share, key=share.get)
+        # a filter only adds to a set, by a share that is known and taken off
+        assert abs(found[r.doc_id].score - share[best]) < 0.03 or found[r.doc_id].lang_pred == "und"
+        agreed.append(found[r.doc_id].lang_pred == (best if any(map(str.isalpha, r.text or "")) else "und"))
+    assert np.mean(agreed) > 0.99
+
+
 def test_bloom_filters_have_no_false_negatives_and_known_false_positives():
     r = np.random.default_rng(0)
     gram = r.integers(0, 2**63, 3000).astype(np.uint64)
