@@ -23,8 +23,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from casebook.llm.common import cut
+
 #: Characters of context.
 ORDER = 4
+#: Grams whose scores go to the URLs by broadcast, some 10 MB; more are joined by a shuffle of every character.
+BROADCAST_GRAMS = 200_000
 #: Share of the calibration fold: texts whose crc32 leaves no remainder.
 FOLDS = 5
 #: Width of a bin of scores, in millionths.
@@ -111,7 +115,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_i
     fold = F.crc32(F.col("s")) % FOLDS == 0
     asked = texts.where(F.col("label").isNull() | fold)
     asked_grams = grams(asked.select("s").distinct())
-    llr = gram_scores(texts.where(F.col("label").isNotNull() & ~fold), asked_grams.select("gram").distinct())
+    llr = cut(gram_scores(texts.where(F.col("label").isNotNull() & ~fold), asked_grams.select("gram").distinct()))
+    if llr.count() <= BROADCAST_GRAMS:
+        llr = F.broadcast(llr)
     scores = asked_grams.join(llr, "gram").groupBy("s").agg(F.sum("llr").alias("total"), F.count("*").alias("chars"))
     scores = scores.select("s", F.floor(F.col("total") / F.col("chars")).cast("long").alias("score"))
     scores = scores.withColumn("bin", F.floor(F.col("score") / BIN).cast("long"))

@@ -350,6 +350,16 @@ def test_url_filter_is_native(spark):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_url_scores_do_not_depend_on_the_join(spark, monkeypatch):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    found = sorted(urls.judge(pages, URL_RULES).collect())
+    monkeypatch.setattr(urls, "BROADCAST_GRAMS", -1)
+    assert sorted(urls.judge(pages, URL_RULES).collect()) == found
+    texts = spark.createDataFrame([("abc", "allow", 1), ("xyz", "block", 1)], "s string, label string, n long")
+    plan = urls.gram_scores(texts, urls.grams(texts).select("gram").distinct())._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
 # 5
 
 
