@@ -27,11 +27,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.llm.common import cut
+
 MAGIC = b"\x1f\x8b\x08"
 VERSION = b"WARC/1.1\r\n"
 EMPTY_MEMBER = zlib.compressobj(9, zlib.DEFLATED, 31).flush()
 #: Bytes of an archive that a task scans at a time, and of a byte range.
 BLOCK, RANGE = 1 << 20, 32 << 20
+#: Payloads of several pages that are looked up by broadcast, some 10 MB.
+BROADCAST_PAYLOADS = 100_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -69,15 +73,22 @@ def decisions(pages: DataFrame, least: int = 0) -> DataFrame:
     """Adds payload (bytes), digest, `refers_to` and `revisit`: of rows with an equal
     payload of at least `least` bytes, the smallest page id is the response.
 
-    The smallest ids are aggregated before the join; a payload that a third of all
-    rows share is one row there, and the join's side of pages may be split by key
-    (adaptive execution does, since nothing below needs a key's rows together).
+    The smallest ids are aggregated first, to one row for each payload of several pages.
+    Up to BROADCAST_PAYLOADS of them go to the pages. Of more, those go that more than one
+    in BROADCAST_PAYLOADS of their pages have, which are fewer than that; only pages
+    without one of these are shuffled, so no frequent payload meets in a task.
     """
     rows = pages.withColumn("payload", F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    first = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
-    first = first.where("n > 1").drop("n")
-    rows = rows.join(first, "sha1", "left")
+    several = rows.where((F.octet_length("payload") >= least) & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n"))
+    several = cut(several.where("n > 1"))
+    n_payloads, n_pages = several.agg(F.count("*"), F.sum("n")).first()
+    first = several.drop("n")
+    if n_payloads <= BROADCAST_PAYLOADS:
+        rows = rows.join(F.broadcast(first), "sha1", "left")
+    else:
+        frequent = F.broadcast(several.where(F.col("n") * BROADCAST_PAYLOADS > n_pages).drop("n"))
+        rows = rows.join(frequent, "sha1").unionByName(rows.join(frequent, "sha1", "left_anti").join(first, "sha1", "left"))
     revisit = F.coalesce((F.col("page_id") > F.col("first_id")) & (F.octet_length("payload") >= least), F.lit(False))
     return rows.withColumn("revisit", revisit).withColumn("refers_to", F.when(revisit, F.col("first_id")))
 

@@ -363,6 +363,20 @@ def test_url_scores_do_not_depend_on_the_join(spark, monkeypatch):
 # 5
 
 
+def test_revisits_do_not_depend_on_the_join(spark, monkeypatch):
+    rows = [(i if i % 7 else None, "u", "often" if i % 3 else f"twice {i // 6}" if i % 2 else "") for i in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    key = lambda r: (r.page_id or -1, bytes(r.payload))
+    for least in (0, 3):
+        firsts = {h: min(p for p, _, x in rows if x == h and p is not None) for h in {h for p, _, h in rows if p is not None}}
+        wanted = sorted((p or -1, h.encode(), firsts[h] if p and len(h) >= least and p > firsts[h] else None) for p, _, h in rows)
+        for most in (100_000, 2):  # 2: one payload is frequent, the others are joined by a shuffle
+            monkeypatch.setattr(warc, "BROADCAST_PAYLOADS", most)
+            found = warc.decisions(pages, least).collect()
+            assert [(*key(r), r.refers_to) for r in sorted(found, key=lambda r: (*key(r), r.refers_to or -1))] == sorted(wanted, key=lambda w: (w[0], w[1], w[2] or -1))
+            assert all(r.revisit == (r.refers_to is not None) for r in found)
+
+
 def test_warc_edges_and_ranges(spark, tmp_path):
     same = "<p>same</p>"
     noise = base64.b85encode(np.random.default_rng(1).bytes(200_000)).decode()
