@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from casebook.sources.storage import cut, new_folder, shared_dir
 
 #: Bytes of text that a Python step holds as numpy arrays at a time.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 __all__ = ["chunks", "cut", "flat", "new_folder", "prepare", "read", "row_key", "shared_dir"]
 
