@@ -27,7 +27,7 @@ from casebook.llm.common import cut
 
 #: Characters of context.
 ORDER = 4
-#: Grams whose scores go to the URLs by broadcast, some 10 MB; more are joined by a shuffle of every character.
+#: Grams whose scores go to the URLs by broadcast, some 25 MB; more are joined by a shuffle of every character.
 BROADCAST_GRAMS = 200_000
 #: Share of the calibration fold: texts whose crc32 leaves no remainder.
 FOLDS = 5
