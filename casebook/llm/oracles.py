@@ -131,3 +131,23 @@ SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = compon
 """
 
 ORACLES = {"op7_repeats": OP7, "op8_near_duplicates": OP8, "op6_decontamination": OP6, "op4_url_filter": OP4, "op5_warc": OP5, "op9_quality_rules": OP9, "quality_ablations": ABLATIONS}
+
+#: The unsigned crc32 of a decimal number, bit by bit.
+CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))),
+    lambda x, e: CASE WHEN xor(x, e) & 1 = 1 THEN xor(xor(x, e) >> 1, 3988292384) ELSE xor(x, e) >> 1 END))"""
+
+ORACLES["op12_periods"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t-\r]+'), lambda x: x <> '') AS w, {CRC.format("doc_id")} AS h FROM documents),
+f AS (SELECT r, doc_id, w, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a, 3 + (h // 10) % 8 AS t FROM d),
+x AS (SELECT r, doc_id, len(w) AS n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: w[CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(w) - a) // t) END + 1]) END AS w FROM f),
+o AS (SELECT r, n, unnest(range(n)) AS i, unnest(w) AS word FROM x),
+k AS (SELECT DISTINCT u.r, u.i - v.i AS q FROM o u JOIN o v ON u.r = v.r AND u.word = v.word AND v.i < u.i AND 4 * (u.i - v.i) <= u.n
+  SEMI JOIN o y ON y.r = u.r AND y.word = u.word AND y.i = 2 * v.i - u.i SEMI JOIN o z ON z.r = u.r AND z.word = u.word AND z.i = 3 * v.i - 2 * u.i),
+m AS (SELECT k.r, k.q, u.i, u.i - row_number() OVER (PARTITION BY k.r, k.q ORDER BY u.i) AS g FROM k JOIN o u ON u.r = k.r JOIN o v ON v.r = k.r AND v.i = u.i - k.q AND v.word = u.word),
+s AS (SELECT r, start, e - start AS length, min(q) AS period FROM (SELECT r, q, min(i) - q AS start, max(i) + 1 AS e FROM m GROUP BY r, q, g) WHERE e - start >= greatest(6, 4 * q) GROUP BY r, start, e),
+a AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS told FROM s GROUP BY r),
+b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) AS place FROM s) WHERE place = 1),
+c AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM o ANTI JOIN (SELECT DISTINCT r, unnest(range(start + period, start + length)) AS i FROM s) AS gone USING (r, i) GROUP BY r)
+SELECT x.doc_id, coalesce(a.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(a.told, '')) AS runs_sha256, sha256(coalesce(c.kept, '')) AS collapsed_sha256
+FROM x LEFT JOIN a USING (r) LEFT JOIN b USING (r) LEFT JOIN c USING (r)
+"""

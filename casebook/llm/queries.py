@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from casebook.llm import bpe, decontam, language, lengths, neardup, pieces, quality, repeats, secrets, urls, warc
+from pyspark.sql import functions as F
+
+from casebook.llm import bpe, decontam, language, lengths, neardup, periods, pieces, quality, repeats, secrets, urls, warc
 from casebook.llm.common import new_folder, read
 
 
@@ -65,4 +67,9 @@ def op11_pieces(spark, sf_dir):
     return pieces.checked(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_repeats": op7_repeats, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "quality_ablations": quality_ablations, "op10_token_counts": op10_token_counts, "op11_pieces": op11_pieces}
+def op12_periods(spark, sf_dir):
+    docs = read(spark, sf_dir, "documents")
+    return periods.digests(periods.runs(docs, text=periods.seeded(F.col("doc_id"), F.col("text"))))
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_repeats": op7_repeats, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "quality_ablations": quality_ablations, "op10_token_counts": op10_token_counts, "op11_pieces": op11_pieces, "op12_periods": op12_periods}
