@@ -2,17 +2,18 @@
 
 A text gets a leading space and its spaces become U+2581. Its characters are the first
 symbols. An agenda holds every adjacent pair of symbols whose joined text is a piece, the
-best score first and of equal scores the leftmost. The best pair is joined, its entries
-with the old neighbours go stale by their length, and the pairs with the new neighbours
-enter. When the agenda is empty each symbol is a piece, or its bytes are byte pieces.
+best score first and of equal scores the leftmost. The best pair is joined, the
+pairs of its two symbols with their neighbours leave, and those of the new symbol enter. When the agenda is empty each symbol is a piece, or its bytes are byte pieces.
 
-No piece of a usual model goes on with U+2581 after another character, so no pair is ever
-joined there: the text falls into stretches that begin with their spaces, each with an
-agenda of its own, and stretches met before are remembered. A model with such a piece is
+A text falls into stretches, each with an agenda of its own, where no pair can ever be
+joined: before a U+2581 that follows another character, if no piece has one there, and
+between characters of different groups, where a group is what the pieces put side by side.
+Stretches met before are remembered. A model with a piece that goes on with U+2581 is
 encoded with one agenda for the whole text.
 
-`checked` encodes and decodes every Arrow batch with the sentencepiece library as well and
-tells for each row whether ids and decoded text are the same.
+`checked` lets the sentencepiece library encode and decode the stretches that an Arrow
+batch brings for the first time, joined by a character that no piece joins; or, by choice
+or where that fails, every whole text.
 
 Edge cases: a null text is encoded as an empty one, which has no ids and decodes to an empty
 text; texts and words of any length are encoded whole; pieces such as `<s>` or `<0x41>`
@@ -38,8 +39,8 @@ from pyspark.sql import functions as F
 from casebook.llm.common import chunks
 
 SPACE = "▁"
-#: Stretches whose ids are kept in memory, twice this at most, and the characters of one.
-MEMORY, LONGEST = 200_000, 64
+#: Stretches whose ids are kept in memory, twice this at most, and the characters of one; longer ones have a heap as agenda.
+MEMORY, LONGEST = 300_000, 64
 #: Bytes of text encoded at a time.
 BATCH_BYTES = 1 << 19
 #: Fixed values of the model file's format: kinds of pieces, and the kind of the model.
@@ -108,6 +109,7 @@ class Codec:
         #: Place of each piece in the order of scores, the best first; pieces of equal score share one.
         places = {s: n for n, s in enumerate(sorted({model.score[i] for i in self.id.values()}, reverse=True))}
         self.place = {p: places[model.score[i]] for p, i in self.id.items()}
+        self.never = len(places)
         self.four = {p: i.to_bytes(4, "little") for p, i in self.id.items()}
         byte_id = {int(p[3:5], 16): i for i, (p, kind) in enumerate(zip(model.piece, model.kind, strict=True)) if kind == BYTE}
         self.byte_of = {i: b for b, i in byte_id.items()}
@@ -117,14 +119,51 @@ class Codec:
         #: The bytes of each id, for ids that come from a text; None where decoding asks for more.
         self.plain = [None if i in self.special else bytes([self.byte_of[i]]) if i in self.byte_of else s.encode() for i, s in enumerate(self.surface)]
         self.alone = not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in self.id)
-        #: Line breaks that no piece joins to anything stand alone; so fewer stretches differ.
-        breaks = "".join(c for c in "\n\r\t" if not any(c in p and len(p) > 1 for p in self.id))
-        self.stretches = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+" + (f"|[{breaks}]" if breaks else ""))
+        groups = self._groups()
+        self.stretches = re.compile("|".join(f"{SPACE}*[{re.escape(''.join(sorted(g)))}]+" for g in groups) + f"|{SPACE}*[^{SPACE}]|{SPACE}+", re.DOTALL)
+        joins = {c for p in self.id if len(p) > 1 for c in p}
+        self.between = next((c for c in "\n\r\t\x00" if c not in joins), None) if self.alone else None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.fresh: list[str] = []
+
+    def _groups(self) -> list[set[str]]:
+        """Characters that pieces put side by side, directly or through others, the largest group first."""
+        of: dict[str, set[str]] = {}
+        for p in self.id:
+            for a, b in zip(p, p[1:]):  # noqa: B905
+                if SPACE in (a, b):
+                    continue
+                x, y = sorted((of.setdefault(a, {a}), of.setdefault(b, {b})), key=len)
+                if x is not y:
+                    y |= x
+                    of.update(dict.fromkeys(x, y))
+        return sorted({id(g): g for g in of.values()}.values(), key=lambda g: (-len(g), min(g)))
 
     def joined(self, symbols: str) -> list[str]:
-        """The symbols left when the agenda is empty. An entry is place * n + index of the left symbol."""
+        """The symbols left when the agenda is empty."""
+        return self._short(symbols) if len(symbols) <= LONGEST else self._long(symbols)
+
+    def _short(self, symbols: str) -> list[str]:
+        """The agenda is a list, an entry for each pair in its place, and its least entry is looked up."""
+        place, never = self.place.get, self.never
+        text = list(symbols)
+        agenda = [place(t, never) for t in map(add, symbols, symbols[1:])]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)  # the leftmost
+            new = text[i] = text[i] + text.pop(i + 1)
+            del agenda[i]
+            if i < len(agenda):
+                agenda[i] = place(new + text[i + 1], never)
+            if i:
+                agenda[i - 1] = place(text[i - 1] + new, never)
+        return text
+
+    def _long(self, symbols: str) -> list[str]:
+        """The agenda is a heap. An entry is place * n + index of the left symbol; entries of joined symbols go stale."""
         place = self.place.get
         text = list(symbols)
         n = len(text)
@@ -163,6 +202,7 @@ class Codec:
 
     def _new(self, stretch: str) -> bytes:
         found = self.ids_of(stretch)
+        self.fresh.append(stretch)
         if len(stretch) <= LONGEST:
             if len(self.young) >= MEMORY:
                 self.old, self.young = self.young, {}
@@ -175,12 +215,25 @@ class Codec:
             return b""
         symbols = SPACE + text.replace(" ", SPACE)
         if not self.alone:
+            self.fresh.append(symbols)
             return self.ids_of(symbols)
-        out = []
-        for stretch in self.stretches.findall(symbols):
-            found = self.young.get(stretch) or self.old.get(stretch) or self._new(stretch)
-            out.append(found)
-        return b"".join(out)
+        stretches = self.stretches.findall(symbols)
+        found = list(map(self.young.get, stretches))
+        if None in found:
+            found = [f or self.young.get(s) or self.old.get(s) or self._new(s) for f, s in zip(found, stretches, strict=True)]
+        return b"".join(found)
+
+    def confirmed(self) -> bool:
+        """Whether the library gives the same ids and texts for the stretches met since the last call."""
+        fresh, self.fresh = self.fresh, []
+        if not fresh:
+            return True
+        if self.between is None:
+            return False
+        ids = self.ids_of(self.between)
+        mine = np.frombuffer(b"".join([self.ids_of(SPACE), *(ids + (self.young.get(s) or self.old.get(s) or self.ids_of(s)) for s in fresh)]), "<u4").tolist()
+        library = self.library.encode("".join([self.between + s for s in fresh]), add_bos=False, add_eos=False)
+        return mine == library and self.decode(mine) == self.library.decode(library)
 
     def decode(self, ids: list[int]) -> str:
         """The text: the first space is the leading one and goes, control pieces are empty,
@@ -281,17 +334,25 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     return encoded.withColumn("decoded", texts(F.col(ids)))
 
 
-def checked(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def checked(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", whole: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256 (of the decimal ids, joined by commas), decoded_sha256, and
-    `agrees`: whether the sentencepiece library gives the same ids and decodes them to the same text."""
+    `agrees`: whether the sentencepiece library gives the same ids and decodes them to the same
+    text, by its stretches or (`whole`, or where a batch's new stretches do not agree) as a whole."""
 
     def rows(codec: Codec, texts: list[str]) -> list[tuple]:
         found = [np.frombuffer(codec.encode(t), "<u4").tolist() for t in texts]
         decoded = [codec.decode(ids) for ids in found]
-        library = codec.library.encode(texts, num_threads=1, add_bos=False, add_eos=False)
-        again = codec.library.decode(library, num_threads=1) if library else []
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        return [(len(a), sha(",".join(map(str, a))), sha(t), a == b and t == u) for a, t, b, u in zip(found, decoded, library, again, strict=True)]
+        agrees = [True] * len(texts)
+        sound = codec.confirmed()
+        if whole or not sound:
+            codec.young, codec.old = {}, {}  # what did not agree is not remembered
+            library = codec.library.encode(texts, num_threads=1, add_bos=False, add_eos=False)
+            agrees = [a == b and t == codec.library.decode(b) for a, t, b in zip(found, decoded, library, strict=True)]
+        return [(len(a), _sha(",".join(map(str, a))), _sha(t), x) for a, t, x in zip(found, decoded, agrees, strict=True)]
 
     names, types = ["n_tokens", "ids_sha256", "decoded_sha256", "agrees"], [pa.int64(), pa.string(), pa.string(), pa.bool_()]
     return _mapped(docs, path, doc_id, text, names, types, "n_tokens long, ids_sha256 string, decoded_sha256 string, agrees boolean", rows)
+
+
+def _sha(text: str) -> str:
+    return hashlib.sha256(text.encode()).hexdigest()

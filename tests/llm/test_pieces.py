@@ -83,6 +83,17 @@ def test_rows_equal_the_library_for_odd_rows(spark, odd, empty, library):  # noq
     assert pieces.checked(empty, MODEL).collect() == [] and pieces.encode(empty, MODEL).collect() == []
 
 
+def test_whole_texts_are_checked_by_choice_or_where_stretches_disagree(spark, odd, monkeypatch):  # noqa: F811
+    texts = sorted(tuple(r) for r in pieces.checked(odd, MODEL).where("doc_id IS NOT NULL").collect())
+    assert sorted(tuple(r) for r in pieces.checked(odd, MODEL, whole=True).where("doc_id IS NOT NULL").collect()) == texts
+    codec = pieces.Codec(pieces.model_of(MODEL))
+    codec.encode("some words, and more")
+    assert codec.confirmed() and codec.fresh == []
+    codec.four["▁new"] = codec.four["▁old"]
+    codec.encode("a new word")
+    assert not codec.confirmed()
+
+
 def test_encode_and_decode_are_inverse(spark):
     docs = documents(spark)
     back = pieces.decode(pieces.encode(docs, MODEL), MODEL).join(docs, "doc_id")
