@@ -151,3 +151,18 @@ c AS (SELECT r, string_agg(word, ' ' ORDER BY i) AS kept FROM o ANTI JOIN (SELEC
 SELECT x.doc_id, coalesce(a.n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli, sha256(coalesce(a.told, '')) AS runs_sha256, sha256(coalesce(c.kept, '')) AS collapsed_sha256
 FROM x LEFT JOIN a USING (r) LEFT JOIN b USING (r) LEFT JOIN c USING (r)
 """
+
+#: Every prefix of every conversation as a list, and subtrees by the prefixes of their nodes.
+ORACLES["op13_prefix_trie"] = f"""
+WITH t AS (SELECT conv_id AS c, turn, substr(sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')), 1, 32) AS digest, strlen(coalesce(text, '')) AS size FROM conversations WHERE conv_id IS NOT NULL),
+l AS (SELECT c, list(digest || ':' || size ORDER BY turn NULLS FIRST, digest) AS w, {CRC.format("c")} % 9 AS h FROM t GROUP BY c),
+r AS (SELECT l.c, list_concat(CASE WHEN l.h > 0 AND b.w IS NOT NULL THEN b.w[1:l.h] ELSE [] END, CASE WHEN l.h < len(l.w) THEN l.w[l.h + 1:] ELSE [] END) AS w FROM l LEFT JOIN l AS b ON b.c = l.c - l.c % 5),
+p AS (SELECT c, len(w) AS n, d, CASE WHEN d = 0 THEN [] ELSE w[1:d] END AS path FROM (SELECT c, w, unnest(range(len(w) + 1)) AS d FROM r)),
+n AS (SELECT path, d, min(c) AS conv_id, count(*) AS n_convs, sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256,
+  CASE WHEN d = 0 THEN 0 ELSE (count(*) - 1) * CAST(split_part(path[d], ':', 2) AS BIGINT) END AS w, CASE WHEN d > 1 THEN path[1:d - 1] WHEN d = 1 THEN [] END AS up FROM p GROUP BY path, d),
+k AS (SELECT up AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY up),
+m AS (SELECT n.*, coalesce(n_children, 0) AS n_children FROM n LEFT JOIN k USING (path)),
+s AS (SELECT path, CAST(sum(w) AS BIGINT) AS saved_tokens, CAST(sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_leaves
+  FROM (SELECT w, n_children, CASE WHEN e = 0 THEN [] ELSE path[1:e] END AS path FROM (SELECT w, n_children, path, unnest(range(d + 1)) AS e FROM m)) GROUP BY path)
+SELECT m.conv_id, m.d AS depth, u.conv_id AS parent_conv_id, m.n_convs, m.n_children, s.n_leaves, s.saved_tokens, m.ends_sha256 FROM m JOIN s USING (path) LEFT JOIN n AS u ON u.path = m.up
+"""

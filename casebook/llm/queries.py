@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import functions as F
 
-from casebook.llm import bpe, decontam, language, lengths, neardup, periods, pieces, quality, repeats, secrets, urls, warc
+from casebook.llm import bpe, decontam, language, lengths, neardup, periods, pieces, quality, repeats, secrets, trie, urls, warc
 from casebook.llm.common import new_folder, read
 
 
@@ -72,4 +72,9 @@ def op12_periods(spark, sf_dir):
     return periods.digests(periods.runs(docs, text=periods.seeded(F.col("doc_id"), F.col("text"))))
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_repeats": op7_repeats, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "quality_ablations": quality_ablations, "op10_token_counts": op10_token_counts, "op11_pieces": op11_pieces, "op12_periods": op12_periods}
+def op13_prefix_trie(spark, sf_dir):
+    nodes = trie.trie(trie.paths(read(spark, sf_dir, "conversations"), borrow=True))
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_repeats": op7_repeats, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "quality_ablations": quality_ablations, "op10_token_counts": op10_token_counts, "op11_pieces": op11_pieces, "op12_periods": op12_periods, "op13_prefix_trie": op13_prefix_trie}
