@@ -174,7 +174,9 @@ def seeded(doc_id: Column, text: Column) -> Column:
     n = F.size(words)
     a = (g % n).cast("int")
     p = (F.lit(1) + F.floor((n - a) / (F.lit(3) + g % 8))).cast("int")
-    turned = F.transform(words, lambda w, i: F.when(i < a, w).otherwise(F.get(words, a + (i - a) % p)))
+    times = F.ceil((n - a) / p).cast("int")
+    over = F.slice(F.flatten(F.array_repeat(F.slice(words, a + 1, p), times)), F.lit(1), n - a)
+    turned = F.concat(F.slice(words, F.lit(1), a), over)
     return F.when((h % 10 == 0) & F.rlike(text, F.lit(r"[^ \t-\r]")), F.array_join(turned, " ")).otherwise(text)
 
 
