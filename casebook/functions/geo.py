@@ -19,7 +19,7 @@ def distance_m(lat: Column, lon: Column, to_lat: Column, to_lon: Column) -> Colu
     """Great-circle distance; null unless all four are present."""
     half = lambda a, b: F.pow(F.sin(F.radians(a - b) / 2), 2)
     h = half(lat, to_lat) + F.cos(F.radians(to_lat)) * F.cos(F.radians(lat)) * half(lon, to_lon)
-    return F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * EARTH_M)
+    return F.when(h.isNotNull(), F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * (2 * EARTH_M))  # least() alone would pass over a null
 
 
 def ring(distance: Column, radius: Column) -> Column:
@@ -47,17 +47,50 @@ def span_lat(radius: Column) -> Column:
 
 
 def span_lon(lat: Column, radius: Column) -> Column:
-    """Degrees of longitude at the circle's far edge, where they are shortest."""
-    return radius / (DEGREE_M * F.cos(F.radians(F.least(F.abs(lat) + span_lat(radius), F.lit(89.0)))))
+    """Degrees of longitude at the circle's far edge, where they are shortest; all of them if it holds a pole."""
+    edge = F.abs(lat) + span_lat(radius)
+    return F.when(edge >= 90, F.lit(180.0)).otherwise(F.least(radius / (DEGREE_M * F.cos(F.radians(edge))), F.lit(180.0)))
 
 
 def in_box(lat: Column, lon: Column, radius: Column) -> Column:
-    """A range on latitude and longitude around a circle, which scans can use."""
-    return F.col("latitude").between(lat - span_lat(radius), lat + span_lat(radius)) & F.col("longitude").between(lon - span_lon(lat, radius), lon + span_lon(lat, radius))
+    """A range on latitude and longitude around a circle, which scans can use; across longitude 180 it is two ranges."""
+    high, wide, at = span_lat(radius), span_lon(lat, radius), F.col("longitude")
+    west, east = lon - wide, lon + wide
+    round_ = ((west < -180) & (at >= west + 360)) | ((east > 180) & (at <= east - 360))
+    return F.col("latitude").between(lat - high, lat + high) & (at.between(west, east) | round_ | (wide >= 180))
 
 
-def cover(lat: Column, lon: Column, radius: Column, side_: Column | float = CELL) -> Column:
-    """The cells that a circle touches: as many as its radius and latitude need."""
-    rows = F.sequence(cell(lat - span_lat(radius), side_), cell(lat + span_lat(radius), side_))
-    columns = F.sequence(cell(lon - span_lon(lat, radius), side_), cell(lon + span_lon(lat, radius), side_))
-    return F.flatten(F.transform(rows, lambda r: F.transform(columns, lambda c: F.struct(r.alias("cell_lat"), c.alias("cell_lon")))))
+# Cells stand in rows of equal latitude. A row has as many columns of equal width as fit
+# around it with at least the side's metres each, so that few of them meet a circle near
+# the poles, and the last column's neighbour is the first.
+
+
+def row_of(lat: Column, side_: Column) -> Column:
+    """The row of a latitude, from the south pole on."""
+    return F.floor((F.greatest(F.least(lat, F.lit(90.0)), F.lit(-90.0)) + 90) / side_)
+
+
+def columns_of(row: Column, side_: Column) -> Column:
+    """Columns of a row: by the length of its edge that is nearer to a pole."""
+    edge = F.least(F.greatest(F.abs(row * side_ - 90), F.abs((row + 1) * side_ - 90)), F.lit(90.0))
+    return F.greatest(F.floor(360 * F.cos(F.radians(edge)) / side_), F.lit(1).cast("long"))
+
+
+def turn_of(lon: Column) -> Column:
+    """A longitude as a part of the way around, from 0 to below 1."""
+    part = (lon + 180) / 360
+    return part - F.floor(part)
+
+
+def cover(lat: Column, lon: Column, radius: Column, side_: Column) -> Column:
+    """The cells (row, column) that a circle touches."""
+    high, wide = span_lat(radius), span_lon(lat, radius)
+    rows = F.sequence(row_of(lat - high, side_), row_of(lat + high, side_))
+
+    def of_row(row: Column) -> Column:
+        n = columns_of(row, side_)
+        first, last = F.floor((lon - wide + 180) / 360 * n), F.floor((lon + wide + 180) / 360 * n)
+        some = F.when(last - first + 1 >= n, F.sequence(F.lit(0).cast("long"), n - 1)).otherwise(F.sequence(first, last))
+        return F.transform(some, lambda c: F.struct(row.alias("row"), F.pmod(c, n).alias("column")))
+
+    return F.flatten(F.transform(rows, of_row))

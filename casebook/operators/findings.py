@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casebook.functions.columns import period
@@ -22,17 +22,63 @@ def unknown_values(rows: DataFrame, words: DataFrame, dimension: str, column: st
     return held.join(valid, "value", "left_anti")
 
 
+def _edits(size: Column, length: Column) -> Column:
+    """Edits that leave a value of `size` characters and a word of `length` similar enough."""
+    return F.floor(F.greatest(size, length) * (1 - SIMILAR)).cast("int")
+
+
+def _pieces(words: DataFrame, edits: DataFrame) -> DataFrame:
+    """Each word cut into one piece more than there are edits, the last ones a character longer, for
+    every number of edits asked for its length; so one piece is left whole. A word that has not
+    as many characters has one empty piece, which all values asking for its length meet."""
+    rows = words.withColumn("length", F.length("suggestion")).join(edits, "length")
+    n = F.col("edits") + 1
+    short, longer = F.floor(F.col("length") / n).cast("int"), F.col("length") % n
+    size = lambda i: short + F.when(i >= n - longer, 1).otherwise(0)
+    start = lambda i: i * short + F.greatest(i - (n - longer), F.lit(0))
+    cut_ = F.transform(F.sequence(F.lit(0), F.col("edits")), lambda i: F.struct(i.alias("i"), F.col("suggestion").substr(start(i) + 1, size(i)).alias("piece")))
+    none = F.array(F.struct(F.lit(0).alias("i"), F.lit("").alias("piece")))
+    return rows.select("suggestion", "length", "edits", F.explode(F.when(F.col("edits") < F.col("length"), cut_).otherwise(none)).alias("p")).select("suggestion", "length", "edits", "p.*")
+
+
+def _probes(values: DataFrame) -> DataFrame:
+    """Where a value may hold the pieces of words: i-th piece, shifted by as many edits as can lie
+    before it, or behind it, and no more."""
+    n = F.col("edits") + 1
+    short, longer = F.floor(F.col("length") / n).cast("int"), F.col("length") % n
+    each = values.withColumn("i", F.explode(F.when(F.col("edits") < F.col("length"), F.sequence(F.lit(0), F.col("edits"))).otherwise(F.array(F.lit(0)))))
+    each = each.withColumn("size", F.when(F.col("edits") < F.col("length"), short + F.when(F.col("i") >= n - longer, 1).otherwise(0)).otherwise(0))
+    each = each.withColumn("start", F.col("i") * short + F.greatest(F.col("i") - (n - longer), F.lit(0)))
+    gap, behind = F.col("trimmed") - F.col("length"), F.col("edits") - F.col("i")
+    low = F.greatest(F.lit(0), F.col("start") - F.col("i"), F.col("start") + gap - behind)
+    high = F.least(F.col("trimmed") - F.col("size"), F.col("start") + F.col("i"), F.col("start") + gap + behind)
+    ways = F.when(F.col("size") == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    each = each.withColumn("at", F.explode(ways)).withColumn("piece", F.col("key").substr(F.col("at") + 1, F.col("size")))
+    return each.select("value", "key", "length", "edits", "i", "piece").distinct()
+
+
+def candidates(unknown: DataFrame, words: DataFrame) -> DataFrame:
+    """value, key (as it is compared) and suggestion of all pairs that may be similar: of a word cut
+    into more pieces than there are edits, the value holds one whole, near its place. An
+    equi-join on length, edits, number and text of the pieces."""
+    size, key = F.length("value"), F.upper(F.trim("value"))
+    values = unknown.select("value", key.alias("key"), F.length(key).alias("trimmed"), size.alias("size")).distinct()
+    lengths = words.select(F.length("suggestion").alias("length")).distinct()
+    ranges = values.select("size", "trimmed").distinct()
+    most = F.greatest(F.col("size"), F.ceil(F.col("trimmed") / SIMILAR)).cast("int")
+    ranges = ranges.withColumn("length", F.explode(F.sequence(F.lit(0), most)))
+    ranges = ranges.withColumn("edits", _edits(F.col("size"), F.col("length"))).where(F.abs(F.col("trimmed") - F.col("length")) <= F.col("edits")).join(lengths, "length", "left_semi")
+    pieces = _pieces(words, ranges.select("length", "edits").distinct())
+    probes = _probes(values.join(ranges, ["size", "trimmed"]))
+    return probes.join(pieces, ["length", "edits", "i", "piece"]).select("value", "key", "suggestion").distinct()
+
+
 def with_suggestions(unknown: DataFrame, words: DataFrame, dimension: str, taxonomy: str | None = None) -> DataFrame:
-    """Adds the most similar valid value, if one is similar enough. Only values whose lengths
-    let them be similar meet, by an equi-join on the length."""
+    """Adds the most similar valid value, if one is similar enough."""
     valid = words.where((F.col("dimension") == dimension) & F.col("taxonomy").eqNullSafe(F.lit(taxonomy))).select(F.col("value").alias("suggestion"))
     longest = F.greatest(F.length("value"), F.length("suggestion"))
-    likeness = F.round(1 - F.levenshtein(F.upper(F.trim("value")), F.col("suggestion")) / longest, 6)
-    most = F.length("value") * (1 - SIMILAR)
-    trimmed = F.length(F.trim("value"))
-    sizes = F.sequence(F.greatest(F.ceil(trimmed - most), F.lit(0)).cast("int"), F.greatest(F.length("value"), F.floor(trimmed / SIMILAR)).cast("int"))
-    sized, valid = unknown.withColumn("__size", F.explode(sizes)), valid.withColumn("__size", F.length("suggestion"))
-    pairs = sized.join(valid, "__size").where(F.levenshtein(F.upper(F.trim("value")), F.col("suggestion")) <= longest * (1 - SIMILAR)).withColumn("likeness", likeness)
+    apart = F.levenshtein("key", "suggestion")
+    pairs = candidates(unknown, valid).where(apart <= longest * (1 - SIMILAR)).withColumn("likeness", F.round(1 - apart / longest, 6))
     best = pairs.groupBy("value").agg(F.max(F.struct("likeness", "suggestion")).alias("b")).select("value", F.col("b.suggestion").alias("suggestion"), F.col("b.likeness").alias("likeness"))
     return unknown.join(best, "value", "left")
 

@@ -6,12 +6,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.predicates import changed_since
+from casebook.operators import ids as I
+from casebook.operators import rollups as R
+from casebook.operators.findings import checked
 from casebook.operators.taxonomy import prepare, retag_report, retagged
-from casebook.sources.storage import cut, new_folder, read_incidents, write_incidents
-
-
-#: Changed ids up to which each task of a scan gets them all: 8 MB of keys.
-BROADCAST_IDS = 1_000_000
+from casebook.sources.storage import cut, listed, new_folder, read_incidents, remove, select_years, stored_years, write_incidents
 
 
 def together(*frames: DataFrame) -> DataFrame:
@@ -44,15 +43,18 @@ def year_of(date: str = "date") -> Column:
     return F.year(date)
 
 
-def status_of(changed: DataFrame, years: DataFrame) -> DataFrame:
+def status_of(changed: DataFrame, years: DataFrame | list[int]) -> DataFrame:
     """Adds status: applied (its year is managed), skipped (it is not) or rejected (no date)."""
-    managed = years.select(F.col("year").alias("__year")).distinct().withColumn("__has", F.lit(True))
-    rows = changed.withColumn("year", year_of()).join(managed, F.col("year") == F.col("__year"), "left")
+    if isinstance(years, list):
+        rows = changed.withColumn("year", year_of()).withColumn("__has", F.col("year").isin(years))
+    else:
+        managed = years.select(F.col("year").alias("__year")).distinct().withColumn("__has", F.lit(True))
+        rows = changed.withColumn("year", year_of()).join(managed, F.col("year") == F.col("__year"), "left").drop("__year")
     status = F.when(F.col("year").isNull(), "rejected").when(F.col("__has"), "applied").otherwise("skipped")
-    return rows.withColumn("status", status).drop("__year", "__has")
+    return rows.withColumn("status", status).drop("__has")
 
 
-def merge_summary(changed: DataFrame, years: DataFrame) -> DataFrame:
+def merge_summary(changed: DataFrame, years: DataFrame | list[int]) -> DataFrame:
     """year, status and rows."""
     return status_of(changed, years).groupBy("year", "status").agg(F.count("*").alias("n_rows"))
 
@@ -62,51 +64,62 @@ def advanced(watermark: Column, changed: DataFrame) -> DataFrame:
     return changed.agg(F.max("updated_on").alias("m")).select(F.greatest(watermark, F.col("m")).alias("watermark"))
 
 
-def touched(stored: DataFrame, changed: DataFrame) -> DataFrame:
-    """The managed years to rewrite: those of the changed rows, and those where their ids are now.
-    Only files whose range of ids meets that of the changed rows are read, and a bounded
-    number of ids is sent to them, so that the table is not shuffled."""
-    years = stored.select("year").distinct()
-    applied = cut(status_of(changed, years).where("status = 'applied'").select("id", "year"))
-    ids = applied.select("id").where("id IS NOT NULL").distinct()
-    seen = ids.agg(F.count("*").alias("n"), F.min("id").alias("low"), F.max("id").alias("high")).first()
-    ids = F.broadcast(ids) if seen.n <= BROADCAST_IDS else ids
-    near = stored.where(F.col("id").between(seen.low, seen.high)).select("id", "year")
-    return applied.select("year").union(near.join(ids, "id", "left_semi").select("year")).distinct()
-
-
-def merge_into(spark: SparkSession, root: str, changed: DataFrame) -> DataFrame:
-    """Merges prepared rows into the table at root and returns merge_summary. Rows that
-    move to another year leave their old one. New partitions are written to a staging
-    folder in full before any stored one is replaced."""
-    stored = read_incidents(spark, root)
+def merge_into(spark: SparkSession, root: str, changed: DataFrame, rollups: str | None = None, strict: bool = False) -> DataFrame:
+    """Merges prepared rows into the table at root and returns merge_summary. Rows that move
+    to another year leave their old one, and a year that loses its last row loses its
+    partition. Only the years of the changed rows, and those where the index has their ids,
+    are read and replaced; the merged rows are written to a staging folder in full before any
+    stored one is replaced, and with `strict` they must meet the table's constraints. Where
+    rollups are kept at `rollups`, what changed is counted off and on there."""
+    lost = R.pending_years(spark, rollups) if rollups else []
+    if lost:  # a merge before this one broke off
+        R.publish(spark, rollups, R.rebuilt(spark, rollups, select_years(read_incidents(spark, root), lost), lost))
+    years = stored_years(spark, root)
     changed = cut(changed.drop("year"))
-    years = cut(touched(stored, changed))
-    report = cut(merge_summary(changed, stored.select("year").distinct()))
-    applied = status_of(changed, stored.select("year").distinct()).where("status = 'applied'").drop("status", "year")
-    old = stored.join(years, "year", "left_semi").drop("year")
+    report = cut(merge_summary(changed, years))
+    applied = status_of(changed, years).where("status = 'applied'").drop("status")
+    pairs = cut(applied.select("id", "year").distinct())
+    index = I.Index(spark, root)
+    known = cut(index.years_of(pairs))
+    touched = sorted({r.year for r in pairs.select("year").union(known.select("year")).distinct().collect()})  # of the table's years
+    if not touched:
+        return report
+    old = select_years(read_incidents(spark, root), touched).drop("year")
     staging = new_folder(spark, "staging")
-    merged(old, applied).write.parquet(staging)
-    write_incidents(spark.read.parquet(staging), root)
+    merged(old, applied.drop("year")).write.parquet(staging)
+    staged = spark.read.parquet(staging)
+    staged = checked(staged) if strict else staged
+    index.add(pairs, known)
+    now = cut(staged.join(pairs.select("id").distinct(), "id", "left_semi").withColumn("year", year_of()))
+    version = None
+    if rollups:
+        before = cut(old.join(pairs.select("id").distinct(), "id", "left_semi"))
+        version = R.changed(spark, rollups, before, now.drop("year"), staged, touched)
+    write_incidents(staged, root, keep_index=True)
+    left = {r[0] for r in staged.select(year_of()).distinct().collect()}
+    for year in touched:
+        if year not in left:
+            remove(spark, f"{root}/year={year}")
+    if version:
+        R.publish(spark, rollups, version)
+    index.forget(together(known, pairs).select("id", F.col("year").cast("int").alias("year")).distinct().join(now.select("id", "year"), ["id", "year"], "left_anti"))
     return report
 
 
-def sync(spark: SparkSession, root: str, raw: DataFrame, codes: DataFrame, state: str) -> DataFrame:
+def sync(spark: SparkSession, root: str, raw: DataFrame, codes: DataFrame, state: str, rollups: str | None = None, strict: bool = False) -> DataFrame:
     """One incremental run: prepared rows changed since the watermark are merged, and the
     watermark advances. The watermark is the last of the state table; without one it is
     that of the stored rows, and it is an error if there are none."""
-    try:
+    if listed(spark, state):
         known = spark.read.parquet(state).agg(F.max("watermark").alias("watermark"))
-    except Exception as missing:
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
+    else:
         known = watermark_of(read_incidents(spark, root))
     known = cut(known)
     if known.where("watermark IS NULL").count():
         raise ValueError("neither a state nor a stored row tells where to begin")
     rows = prepare(raw, codes)
     changed = cut(rows.where(changed_since(known.scalar())))
-    report = merge_into(spark, root, changed)
+    report = merge_into(spark, root, changed, rollups, strict)
     advanced(known.scalar(), changed).write.mode("append").parquet(state)
     return report
 
@@ -133,7 +146,7 @@ def years_to_load(report: DataFrame, first: int, last: int, force: bool = False)
     return (rows if force else rows.where("status <> 'complete'")).select("year")
 
 
-def backfill(spark: SparkSession, root: str, raw: DataFrame, codes: DataFrame, have: DataFrame, first: int, last: int, force: bool = False) -> DataFrame:
+def backfill(spark: SparkSession, root: str, raw: DataFrame, codes: DataFrame, have: DataFrame, first: int, last: int, force: bool = False, strict: bool = False) -> DataFrame:
     """Loads the years of a range that are missing or differ in count; returns the completeness report it acted on."""
     rows = prepare(raw, codes).where(F.col("date").isNotNull())
     report = cut(completeness(year_counts(have), year_counts(rows)))
@@ -142,7 +155,7 @@ def backfill(spark: SparkSession, root: str, raw: DataFrame, codes: DataFrame, h
     latest(rows.withColumn("year", year_of()).join(todo, "year", "left_semi").drop("year")).write.parquet(staging)
     loaded = spark.read.parquet(staging)
     if loaded.limit(1).count():
-        write_incidents(loaded, root)
+        write_incidents(checked(loaded) if strict else loaded, root)
     return report
 
 
@@ -154,11 +167,11 @@ def retag(spark: SparkSession, root: str, codes: DataFrame, dry_run: bool = Fals
     if dry_run:
         return report
     columns = [c for c in stored.columns if c != "year"]
-    rows = stored.select(*columns, F.col("stable_category").alias("__was"))
-    changed = retagged(rows, codes).where(~F.col("stable_category").eqNullSafe(F.col("__was"))).select(year_of().alias("year")).distinct()
-    staging = new_folder(spark, "retagged")
-    retagged(stored.join(cut(changed), "year", "left_semi").select(*columns), codes).write.parquet(staging)
-    new = spark.read.parquet(staging)
-    if new.limit(1).count():
-        write_incidents(new, root)
+    rows = stored.select("year", "iucr", "primary_type_canonical", "stable_category", F.col("stable_category").alias("__was"))
+    changed = retagged(rows, codes).where(~F.col("stable_category").eqNullSafe(F.col("__was"))).select("year").distinct()
+    years = [r.year for r in changed.collect() if r.year is not None]  # of the table's years
+    if years:
+        staging = new_folder(spark, "retagged")
+        retagged(select_years(stored, years).select(*columns), codes).write.parquet(staging)
+        write_incidents(spark.read.parquet(staging), root, keep_index=True)
     return report

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.functions.geo import RINGS, cell, cover, distance_m, in_box, level, ring, side
+from casebook.functions.geo import RINGS, cell, columns_of, cover, distance_m, in_box, level, ring, row_of, side, span_lat, span_lon, turn_of
 from casebook.sources.schema import TAXONOMIES
+from casebook.sources.storage import cut
+
+#: Rows of a cell from which it is split in four; splits of a cell; split cells that are sent to every task.
+LOAD, DEEPEST, BROADCAST_CELLS = 100_000, 12, 100_000
+#: The most rows that a search for the nearest gives.
+MOST = 50
+CELL = ["level", "row", "column", "depth", "u", "v"]
 
 
 def with_point(df: DataFrame) -> DataFrame:
@@ -46,22 +53,74 @@ def by_size(counts: DataFrame) -> DataFrame:
 
 
 def nearest(df: DataFrame, lat: float, lon: float, k: int = 10) -> DataFrame:
-    """The k rows nearest to a point; ties by id."""
+    """The k rows nearest to a point, 50 at most; ties by id."""
+    if not 1 <= k <= MOST:
+        raise ValueError(f"k is from 1 to {MOST}")
     rows = df.withColumn("distance_m", distance_m(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lon))).where("distance_m IS NOT NULL")
     return rows.orderBy("distance_m", "id").limit(k)
 
 
-def radius_join(df: DataFrame, points: DataFrame) -> DataFrame:
-    """Rows within the radius of each of many points (point_id, lat, lon, radius): an
-    equi-join on grid cells as large as the radius, of which a circle touches a few. A row
-    has a cell for each level of sizes that the points use."""
+def _hinted(hot: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(hot) if n <= BROADCAST_CELLS else hot
+
+
+def _quarter(part: Column, depth: Column) -> Column:
+    """Which of the 2 ** depth stretches of a cell's side a part of it is in."""
+    return F.floor(part * F.pow(F.lit(2.0), depth)).cast("long")
+
+
+def assigned(df: DataFrame, points: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows and points with the cells that they meet in: CELL and `salt`. Cells are as large as
+    the radius; a row has one for each level of sizes that the points use. A cell with more than
+    LOAD rows is split in four, and so on; what lies too close together to be split is dealt
+    out by id, and its points are repeated."""
     sized = points.select("point_id", "lat", "lon", "radius", level(F.col("radius")).alias("level"))
     cells = sized.select("*", F.explode(cover(F.col("lat"), F.col("lon"), F.col("radius"), side(F.col("level")))).alias("c")).select("point_id", "lat", "lon", "radius", "level", "c.*")
     used = sized.agg(F.collect_set("level")).scalar()  # one number for each doubling of the radius
-    rows = with_point(df).where("latitude IS NOT NULL").withColumn("level", F.explode(used))
-    rows = rows.withColumns({"cell_lat": cell(F.col("latitude"), side(F.col("level"))), "cell_lon": cell(F.col("longitude"), side(F.col("level")))})
-    pairs = rows.join(cells, ["level", "cell_lat", "cell_lon"]).withColumn("distance_m", distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))
-    return pairs.where("distance_m <= radius").drop("level", "cell_lat", "cell_lon", "lat", "lon")
+    at_row, at_turn = (F.col("latitude") + 90) / side(F.col("level")), turn_of(F.col("longitude"))
+    rows = with_point(df).where("latitude IS NOT NULL").withColumn("level", F.explode(used)).withColumn("row", row_of(F.col("latitude"), side(F.col("level"))))
+    n = columns_of(F.col("row"), side(F.col("level")))
+    rows = rows.withColumns({"column": F.least(F.floor(at_turn * n), n - 1), "y": at_row - F.col("row"), "x": at_turn * n - F.floor(at_turn * n)})
+    zero = {c: F.lit(0).cast("long") for c in ("depth", "u", "v")}
+    rows, cells = rows.withColumns(zero), cells.withColumns(zero)
+    for depth in range(DEEPEST + 1):
+        over = cut(rows.where(F.col("depth") == depth).groupBy(*CELL).agg(F.count("*").alias("n")).where(F.col("n") > LOAD))
+        n_over = over.count()
+        if not n_over or depth == DEEPEST:
+            break
+        hot = _hinted(over.select(*CELL, F.lit(1).alias("hot")), n_over)
+        deeper = F.col("depth") + F.when(F.col("hot").isNotNull(), 1).otherwise(0)
+        rows = rows.join(hot, CELL, "left").withColumn("depth", deeper).withColumns({"u": _quarter(F.col("y"), F.col("depth")), "v": _quarter(F.col("x"), F.col("depth"))}).drop("hot")
+        cells = _split(cells.join(hot, CELL, "left"))
+    parts = over.select(*CELL, F.ceil(F.col("n") * 2 / LOAD).alias("parts"))
+    parts = _hinted(parts, n_over)
+    shares = F.coalesce("parts", F.lit(1))
+    rows = rows.join(parts, CELL, "left").withColumn("salt", F.pmod(F.xxhash64("id"), shares)).drop("parts", "x", "y")
+    cells = cells.join(parts, CELL, "left").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("parts")
+    return rows, cells
+
+
+def _split(cells: DataFrame) -> DataFrame:
+    """A point's cells, with those that are `hot` replaced by the quarters that its circle touches."""
+    two = lambda c: F.array(c * 2, c * 2 + 1)
+    same = F.array(F.struct("depth", "u", "v"))
+    quarters = F.flatten(F.transform(two(F.col("u")), lambda u: F.transform(two(F.col("v")), lambda v: F.struct((F.col("depth") + 1).alias("depth"), u.alias("u"), v.alias("v")))))
+    each = cells.withColumn("q", F.explode(F.when(F.col("hot").isNull(), same).otherwise(quarters))).drop("depth", "u", "v").select("*", "q.*").drop("q")
+    parts, n, high = F.pow(F.lit(2.0), F.col("depth")), columns_of(F.col("row"), side(F.col("level"))), side(F.col("level"))
+    middle_lat = (F.col("row") + (F.col("u") + 0.5) / parts) * high - 90
+    middle_lon = (F.col("column") + (F.col("v") + 0.5) / parts) * 360 / n - 180
+    away = F.abs(F.col("lon") - middle_lon) % 360
+    slack = 1e-9  # rounding keeps a quarter too many, never one too few
+    near = (F.abs(F.col("lat") - middle_lat) <= span_lat(F.col("radius")) + high / parts / 2 + slack) & (F.least(away, 360 - away) <= span_lon(F.col("lat"), F.col("radius")) + 180 / n / parts + slack)
+    return each.where(F.col("hot").isNull() | near).drop("hot")
+
+
+def radius_join(df: DataFrame, points: DataFrame) -> DataFrame:
+    """Rows within the radius of each of many points (point_id, lat, lon, radius), across
+    longitude 180 and around the poles too: an equi-join on cells, of which a circle touches a few."""
+    rows, cells = assigned(df, points)
+    pairs = rows.join(cells, [*CELL, "salt"]).withColumn("distance_m", distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))
+    return pairs.where("distance_m <= radius").drop(*CELL, "salt", "lat", "lon", "cell_lat", "cell_lon")
 
 
 def nearest_join(df: DataFrame, points: DataFrame, k: int) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from casebook.functions import geo
 from casebook.functions import predicates as P
 from casebook.operators import aggregate as A
-from casebook.operators import drift, findings, profile, radius, rollups, rows
-from casebook.plans.ingest import inc, stored
+from casebook.operators import drift, findings, merge, profile, radius, rollups, rows
+from casebook.plans import standin
+from casebook.plans.ingest import SYNCED, begin_sync, inc, stored
 from casebook.plans.registry import query
 from casebook.plans.standin import table
 from casebook.sources import storage
@@ -38,9 +39,10 @@ for _number, _level in enumerate(GEOGRAPHIES, 1):
     _rollup_query(_number, _level)
 
 
-@query("SELECT count(*) AS row_count, count(DISTINCT year(date)) AS partition_count, min(date) AS min_date, max(date) AS max_date FROM incidents")
+@query("SELECT count(*) AS row_count, count(DISTINCT year(date)) AS partition_count, min(date) AS min_date, max(date) AS max_date, true AS has_build_time FROM incidents")
 def agg06_rollup_meta(spark, d):
-    return rollups.meta(inc(spark, d))
+    found = rollups.dataset_meta(spark, rollups_of(spark, d))
+    return found.select("row_count", "partition_count", "min_date", "max_date", F.col("built_at").isNotNull().alias("has_build_time"))
 
 
 COVERAGE = f"coverage AS (SELECT iucr, min(primary_type) AS primary_type, min(primary_type_canonical) AS primary_type_canonical, min(stable_category) AS stable_category, min({MONTH}) AS first_month, max({MONTH}) AS last_month, count(*) AS incidents FROM incidents GROUP BY iucr)"
@@ -61,35 +63,79 @@ BUILT = " UNION ALL ".join(
 ) + f" UNION ALL SELECT 'rollup_code_month', count(*) FROM (SELECT DISTINCT {MONTH}, iucr, primary_type_canonical, stable_category FROM incidents) UNION ALL SELECT 'code_coverage', count(DISTINCT iucr) FROM incidents UNION ALL SELECT 'rollup_meta', 1"
 
 
-_ROOTS: dict[tuple[str, str], str] = {}
-
-
 @query(BUILT)
 def agg09_sort08_build_rollups(spark, d):
+    return rollups.build(inc(spark, d), storage.new_folder(spark, "rollups"), 1)
+
+
+#: Stored rollups by application and by the very files they were built from.
+_BUILT: dict[tuple[str, str, str], str] = {}
+
+
+def _once(spark, d, name: str, make) -> str:
+    key = spark.sparkContext.applicationId, storage.stamp(spark, inc(spark, d)), name
+    if key not in _BUILT:
+        _BUILT[key] = make(spark, d)
+    return _BUILT[key]
+
+
+def _build(spark, d) -> str:
     root = storage.new_folder(spark, "rollups")
-    built = rollups.build(inc(spark, d), root, 1)
-    _ROOTS[spark.sparkContext.applicationId, d] = root
-    return built
+    rollups.build(inc(spark, d), root, 1)
+    return root
+
+
+def rollups_of(spark, d) -> str:
+    """Where the stored rollups of the table are; they are built once for the files as they are."""
+    return _once(spark, d, "rollups", _build)
 
 
 def published(spark, d, level):
-    """A stored rollup of the table; all are built once a session."""
-    key = spark.sparkContext.applicationId, d
-    if key not in _ROOTS:
-        agg09_sort08_build_rollups(spark, d)
-    return rollups.published(spark, _ROOTS[key], f"rollup_{level}")
+    """A stored rollup of the table."""
+    return rollups.published(spark, rollups_of(spark, d), f"rollup_{level}")
 
 
 @query(f"""SELECT table_name, n_rows, CAST(0 AS BIGINT) AS n_out_of_order FROM ({BUILT}) WHERE table_name NOT IN ('code_coverage', 'rollup_meta')""")
 def sort08_stored_order(spark, d):
-    published(spark, d, "citywide")
+    found = spark.read.parquet(f"{rollups_of(spark, d)}/v=1/rollups").where(F.col("table_name").isin(list(rollups.TABLES)))
     keys = F.struct("month", *rollups.CATEGORIES)
-    stored_rows = spark.read.parquet(f"{_ROOTS[spark.sparkContext.applicationId, d]}/v=1/rollups")
-    found = stored_rows.select("table_name", keys.alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    found = found.select("table_name", keys.alias("key"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
     before = F.lag("key").over(Window.partitionBy("file").orderBy("at"))
     return found.withColumn("before", before).groupBy("table_name").agg(F.count("*").alias("n_rows"), F.count_if(F.col("before") > F.col("key")).alias("n_out_of_order"))
 
 
+#: The sync's rows as it stores them: with the categories of the code table.
+TAGGED_SYNC = SYNCED.replace("(SELECT * FROM changed", """(SELECT n.* REPLACE (coalesce(c.primary_description, n.primary_type) AS primary_type_canonical,
+  coalesce(nullif(trim(c.stable_category), ''), c.primary_description, n.primary_type) AS stable_category) FROM changed n LEFT JOIN codes c USING (iucr)""")
+DELTAS = f"""SELECT {MONTH} AS month, primary_type_canonical, stable_category, ward, {COUNTED} FROM merged GROUP BY ALL"""
+
+
+@query(f", {TAGGED_SYNC} {DELTAS}")
+def agg05_after_merge(spark, d):
+    """The ward rollup after a sync, by what changed alone."""
+    return rollups.published(spark, _once(spark, d, "synced", _synced), "rollup_ward")
+
+
+@query(f""", {TAGGED_SYNC} SELECT iucr, min(primary_type) AS primary_type, min(primary_type_canonical) AS primary_type_canonical, min(stable_category) AS stable_category, min({MONTH}) AS first_month, max({MONTH}) AS last_month, count(*) AS incidents FROM merged GROUP BY iucr""")
+def agg07_after_merge(spark, d):
+    return rollups.published(spark, _once(spark, d, "synced", _synced), "code_coverage")
+
+
+@query(f", {TAGGED_SYNC} SELECT count(*) AS row_count, count(DISTINCT year(date)) AS partition_count, min(date) AS min_date, max(date) AS max_date FROM merged")
+def agg06_after_merge(spark, d):
+    return rollups.dataset_meta(spark, _once(spark, d, "synced", _synced)).select("row_count", "partition_count", "min_date", "max_date")
+
+
+def _synced(spark, d) -> str:
+    """Rollups that were built before a sync and changed by it."""
+    df = inc(spark, d)
+    root, folder, state = stored(spark, d), storage.new_folder(spark, "rollups"), storage.new_folder(spark, "state")
+    rollups.build(df, folder, 1)
+    begin_sync(spark, df, state)
+    merge.sync(spark, root, standin.feed(standin.changed(df)), standin.codes(df), state, folder)
+    return folder
+
+
 SPAN = (date(1996, 1, 1), date(1998, 12, 31))
 IN_SPAN = "date >= timestamp '1996-01-01' AND date < timestamp '1999-01-01'"
 YEARS = A.Request(*SPAN, grain="year", by_category=False)
@@ -192,7 +238,8 @@ POINT = (41.75, -87.8, 5000.0)
 
 
 def distance_sql(lat="latitude", lon="longitude", to_lat="41.75", to_lon="-87.8") -> str:
-    return f"2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians({lat} - ({to_lat})) / 2), 2) + cos(radians({to_lat})) * cos(radians({lat})) * pow(sin(radians({lon} - ({to_lon})) / 2), 2))))"
+    found = f"2 * 6371008.8 * asin(sqrt(least(1.0, pow(sin(radians({lat} - ({to_lat})) / 2), 2) + cos(radians({to_lat})) * cos(radians({lat})) * pow(sin(radians({lon} - ({to_lon})) / 2), 2))))"
+    return f"CASE WHEN {lat} IS NOT NULL AND {lon} IS NOT NULL THEN {found} END"
 
 
 NEAR = f"near AS (SELECT *, {distance_sql()} AS distance_m FROM incidents WHERE {distance_sql()} <= 5000), ringed AS (SELECT primary_type_canonical AS category, least(4, 1 + CAST(floor(distance_m * 4 / 5000) AS INTEGER)) AS ring, count(*) AS incidents FROM near GROUP BY ALL)"
@@ -269,9 +316,8 @@ def win02_nearest_join(spark, d):
 @query(f""", {NEAR}, c AS (SELECT primary_type_canonical AS category, count(*) AS n, count(latitude) AS g FROM incidents WHERE primary_type_canonical IN (SELECT primary_type_canonical FROM near) GROUP BY 1)
 SELECT sum(g) / sum(n) AS geocode_rate, arg_min(category, (g / n, category)) AS worst_category, min(g / n) AS worst_rate FROM c""")
 def qual05_join09_ungeocoded(spark, d):
-    df = inc(spark, d)
-    coverage = A.geocode_coverage(rollups.rollup(df))
-    return radius.ungeocoded_finding(radius.within(df, *POINT), coverage)
+    coverage = A.geocode_coverage(published(spark, d, "citywide"))
+    return radius.ungeocoded_finding(radius.within(inc(spark, d), *POINT), coverage)
 
 
 DRIFT = f"""{COVERAGE}, ends AS (SELECT min({MONTH}) AS lo, max({MONTH}) AS hi FROM incidents),
@@ -285,16 +331,19 @@ drifting AS (SELECT w.*, c.first_month, c.last_month FROM weights w JOIN coverag
 SELECT span_id, CAST(coalesce(total, 0) AS BIGINT) AS total, CAST(coalesce(affected, 0) AS BIGINT) AS affected, coalesce(n_codes, 0) AS n_codes, coalesce(affected / total, 0.0) AS share, coalesce(affected / total, 0.0) >= 0.005 AS reported
 FROM clamped LEFT JOIN t USING (span_id) LEFT JOIN h USING (span_id)""")
 def qual03_join03_drift_of_spans(spark, d):
-    df = inc(spark, d)
-    months = rollups.code_months(df)
+    months, coverage, meta = _code_tables(spark, d)
     starts = months.select("month").distinct().selectExpr("CAST(row_number() OVER (ORDER BY month) AS bigint) AS span_id", "month AS start", "add_months(month, 17) AS end")
-    return drift.batch_report(months, rollups.code_coverage(df), rollups.meta(df), starts)
+    return drift.batch_report(months, coverage, meta, starts)
+
+
+def _code_tables(spark, d):
+    root = rollups_of(spark, d)
+    return [rollups.published(spark, root, name) for name in ("rollup_code_month", "code_coverage", "rollup_meta")]
 
 
 @query(f", {COVERAGE} SELECT c.iucr, first_month, last_month, count(*) AS incidents, first_month > DATE '1998-01-01' AS introduced FROM incidents i JOIN coverage c USING (iucr) WHERE {MONTH} BETWEEN DATE '1997-01-01' AND DATE '1999-12-01' AND (first_month > DATE '1998-01-01' OR last_month < DATE '1998-12-01') GROUP BY ALL ORDER BY incidents DESC, c.iucr LIMIT 10")
 def sort06_drifting_codes(spark, d):
-    df = inc(spark, d)
-    return drift.codes(rollups.code_months(df), rollups.code_coverage(df), rollups.meta(df), date(1997, 1, 1), date(1999, 12, 31))
+    return drift.codes(*_code_tables(spark, d), date(1997, 1, 1), date(1999, 12, 31))
 
 
 @query("SELECT id, date, iucr FROM incidents WHERE date >= timestamp '1997-03-01' AND date < timestamp '1998-01-01' AND stable_category IN ('HIGH') AND ward <= 20 AND arrest AND NOT domestic")
@@ -400,10 +449,8 @@ def qual08_suggestions(spark, d):
 @query("""SELECT count(id) - count(DISTINCT id) AS repeated_ids, CAST(count_if(date IS NULL) AS BIGINT) AS no_date, CAST(count_if(iucr IS NULL) AS BIGINT) AS no_iucr, CAST(count_if(primary_type IS NULL) AS BIGINT) AS no_primary_type,
 CAST(count_if(primary_type_canonical IS NULL) AS BIGINT) AS no_primary_type_canonical, CAST(count_if(stable_category IS NULL) AS BIGINT) AS no_stable_category FROM (SELECT * FROM incidents UNION ALL SELECT * FROM changed)""")
 def qual09_violations(spark, d):
-    from casebook.plans.standin import changed
-
     df = inc(spark, d)
-    return findings.violations(df.unionByName(changed(df)))
+    return findings.violations(df.unionByName(standin.changed(df)))
 
 
 TOTALS = " UNION ALL ".join(f"SELECT 'rollup_{level}' AS table_name, {COUNTED}, true AS complete FROM incidents" for level in GEOGRAPHIES) + " UNION ALL SELECT 'rollup_code_month', count(*), NULL, NULL, NULL, true FROM incidents"

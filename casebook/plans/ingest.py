@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from casebook.functions import columns as C
 from casebook.functions import predicates as P
-from casebook.operators import merge, taxonomy
+from casebook.operators import ids, merge, taxonomy
 from casebook.plans import standin
 from casebook.plans.registry import query
 from casebook.sources import storage
@@ -222,6 +222,11 @@ def flt10_inc03_changed_since(spark, d):
     return df.where(P.changed_since(mark)).select("id", "updated_on")
 
 
+def begin_sync(spark, df, state: str) -> None:
+    """The state of a sync that ran when the table was 400 days younger."""
+    merge.watermark_of(df).select((F.col("watermark") - F.expr("INTERVAL 400 DAY")).alias("watermark")).write.parquet(state)
+
+
 SINCE = "changed WHERE updated_on > (SELECT max(updated_on) FROM incidents) - INTERVAL 400 DAY - INTERVAL 1 DAY"
 SYNCED = MERGED.replace("FROM changed WHERE", f"FROM (SELECT * FROM {SINCE}) WHERE")
 
@@ -231,12 +236,35 @@ greatest((SELECT max(updated_on) FROM incidents) - INTERVAL 400 DAY, (SELECT max
 def inc01_incremental_sync(spark, d):
     df = inc(spark, d)
     root, state = stored(spark, d), storage.new_folder(spark, "state")
-    merge.watermark_of(df).select((F.col("watermark") - F.expr("INTERVAL 400 DAY")).alias("watermark")).write.parquet(state)
-    merge.sync(spark, root, standin.feed(standin.changed(df)), standin.codes(df), state)
+    begin_sync(spark, df, state)
+    merge.sync(spark, root, standin.feed(standin.changed(df)), standin.codes(df), state, strict=True)
     mark = merge.watermark_of(spark.read.parquet(state).withColumnRenamed("watermark", "updated_on")).scalar()
     return storage.read_incidents(spark, root).select("year", "id", "primary_type", "updated_on", mark.alias("watermark"))
 
 
+MOVED = "year(date) + 1 AS y, * REPLACE (date + INTERVAL '400' DAY AS date, updated_on + INTERVAL '400' DAY AS updated_on) FROM incidents WHERE year(date) = 1995"
+
+
+@query(f"""SELECT CAST(year(date) AS INTEGER) AS year, id, updated_on FROM (SELECT * FROM incidents WHERE year(date) <> 1995 UNION ALL BY NAME SELECT * EXCLUDE (y) FROM (SELECT {MOVED}))""")
+def inc01_emptied_year(spark, d):
+    """A feed that moves every row of a year on by 400 days: the year's partition goes."""
+    df = inc(spark, d)
+    root = stored(spark, d)
+    later = [(F.col(c) + F.expr("INTERVAL '400' DAY")).alias(c) for c in ("date", "updated_on")]
+    merge.merge_into(spark, root, df.where("year(date) = 1995").withColumns(dict(zip(("date", "updated_on"), later, strict=True))))
+    return storage.read_incidents(spark, root).select("year", "id", "updated_on")
+
+
+@query(f", {SYNCED} SELECT CAST(year(date) AS INTEGER) AS year, id FROM merged")
+def inc01_index_of_ids(spark, d):
+    """The index of ids after a sync."""
+    df = inc(spark, d)
+    root, state = stored(spark, d), storage.new_folder(spark, "state")
+    begin_sync(spark, df, state)
+    merge.sync(spark, root, standin.feed(standin.changed(df)), standin.codes(df), state)
+    return ids.Index(spark, root).years_of(df.select("id"))
+
+
 STREAMED = f""", {TYPED}, {TAGGED},
 prepared AS (SELECT typed.*, primary_type_canonical, stable_category FROM typed JOIN tagged ON typed.id = CAST(tagged.id AS BIGINT)),
 both_ AS (SELECT *, 0 AS r FROM incidents WHERE year(date) < 1998 UNION ALL BY NAME SELECT *, 1 AS r FROM prepared WHERE year(date) < 1998)
@@ -283,7 +311,7 @@ def inc06_backfill(spark, d):
     df = inc(spark, d)
     root = storage.new_folder(spark, "incidents")
     storage.write_incidents(_partial(spark, d), root)
-    merge.backfill(spark, root, standin.raw(df), standin.codes(df), storage.read_incidents(spark, root), 1996, 1997)
+    merge.backfill(spark, root, standin.raw(df), standin.codes(df), storage.read_incidents(spark, root), 1996, 1997, strict=True)
     return storage.read_incidents(spark, root).groupBy("year").agg(F.count("*").alias("n_rows"))
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -39,6 +40,55 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{own}/{name}-{uuid.uuid4().hex}"
 
 
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and the path as it knows it."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
+def listed(spark: SparkSession, path: str) -> list[str]:
+    """Names directly below a folder, in order; none if it does not exist."""
+    files, found = _files(spark, path)
+    return sorted(f.getPath().getName() for f in files.listStatus(found)) if files.exists(found) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    files, found = _files(spark, path)
+    files.delete(found, True)
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """A small file, read by the driver."""
+    files, found = _files(spark, path)
+    stream = files.open(found)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file that appears whole or not at all; an error if it exists."""
+    files, found = _files(spark, path)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(f"{found.getParent()}/_{uuid.uuid4().hex}")
+    stream = files.create(draft)
+    stream.write(text.encode())
+    stream.close()
+    if files.exists(found) or not files.rename(draft, found):
+        files.delete(draft, False)
+        raise ValueError(f"{path} exists")
+
+
+def stamp(spark: SparkSession, df: DataFrame) -> str:
+    """Tells the files that a frame reads from others, and from what they were before a change."""
+    told = []
+    for file in sorted(df.inputFiles()):
+        files, found = _files(spark, file)
+        status = files.getFileStatus(found)
+        told.append(f"{file} {status.getLen()} {status.getModificationTime()}")
+    return hashlib.sha256("\n".join(told).encode()).hexdigest()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and go on from there."""
     shared_dir(df.sparkSession)
@@ -63,6 +113,17 @@ def read_incidents(spark: SparkSession, root: str) -> DataFrame:
     return df
 
 
+def stored_years(spark: SparkSession, root: str) -> list[int]:
+    """The years that have a partition, by a listing of the table's folder."""
+    names = (n.removeprefix("year=") for n in listed(spark, root) if n.startswith("year="))
+    return sorted(int(n) for n in names if n.lstrip("-").isdigit())
+
+
+def index_of(root: str) -> str:
+    """Where the table of ids and years is kept that belongs to an incident table."""
+    return f"{root.rstrip('/')}-ids"
+
+
 def select_years(df: DataFrame, years: list[int] | None = None) -> DataFrame:
     """Rows of some years (all if None); years that do not exist add nothing."""
     return df if years is None else df.where(F.col("year").isin([int(y) for y in years]))
@@ -75,8 +136,11 @@ def stored_order(df: DataFrame) -> DataFrame:
     return rows.repartitionByRange("year", "date", "id").sortWithinPartitions("year", "date", "id")
 
 
-def write_incidents(df: DataFrame, root: str) -> None:
-    """Overwrites the years that the rows have, and no other."""
+def write_incidents(df: DataFrame, root: str, keep_index: bool = False) -> None:
+    """Overwrites the years that the rows have, and no other. The table's index of ids is
+    dropped unless the writer keeps it right; the next merge builds it anew."""
+    if not keep_index:
+        remove(df.sparkSession, index_of(root))
     writer = stored_order(df).write.partitionBy("year").mode("overwrite").option("partitionOverwriteMode", "dynamic")
     writer.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(root)
 
@@ -96,5 +160,5 @@ def drop_stored_year(spark: SparkSession, root: str, dry_run: bool = False) -> D
     if carried and not dry_run:
         staging = new_folder(spark, "without-year")
         select_years(read_incidents(spark, root), carried).drop("year").write.parquet(staging)
-        write_incidents(spark.read.parquet(staging), root)
+        write_incidents(spark.read.parquet(staging), root, keep_index=True)
     return spark.createDataFrame([(y, y in carried) for y in years], "year int, carried boolean")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import date, datetime
 
 import pytest
@@ -11,7 +12,7 @@ from casebook.functions import columns as C
 from casebook.functions import geo
 from casebook.functions import predicates as P
 from casebook.operators import aggregate as A
-from casebook.operators import drift, findings, merge, radius, rollups, rows, taxonomy
+from casebook.operators import drift, findings, ids, merge, radius, rollups, rows, taxonomy
 from casebook.sources import storage
 from casebook.sources.schema import INCIDENTS
 
@@ -216,3 +217,242 @@ def test_retagging_rewrites_what_changes(spark, base):
     assert set(after) == set(before) and all((c == "OTHER") == (k == code) for k, c in after.values())
     merge.retag(spark, root, codes)
     assert {r.id: (r.iucr, r.stable_category) for r in storage.read_incidents(spark, root).collect()} == after
+
+
+def test_a_year_that_empties_leaves_no_row_behind(spark):
+    root = storage.new_folder(spark, "t")
+    storage.write_incidents(table(spark, {"id": 1, "date": datetime(2015, 3, 1)}, {"id": 2, "date": datetime(2016, 3, 1)}, {"id": 3, "date": datetime(2017, 3, 1)}), root)
+    merge.merge_into(spark, root, table(spark, {"id": 1, "date": datetime(2016, 5, 1), "updated_on": datetime(2026, 1, 1)}))
+    assert {(r.id, r.year) for r in storage.read_incidents(spark, root).collect()} == {(1, 2016), (2, 2016), (3, 2017)}
+    assert storage.stored_years(spark, root) == [2016, 2017]
+    # an older edit does not move the row back, and the emptied year is no longer managed
+    report = merge.merge_into(spark, root, table(spark, {"id": 1, "date": datetime(2017, 5, 1), "updated_on": datetime(2020, 1, 1)}, {"id": 9, "date": datetime(2015, 1, 1)}))
+    assert {(r.year, r.status) for r in report.collect()} == {(2017, "applied"), (2015, "skipped")}
+    assert {(r.id, r.year) for r in storage.read_incidents(spark, root).collect()} == {(1, 2016), (2, 2016), (3, 2017)}
+
+
+def test_a_merge_reads_and_writes_the_years_of_its_ids_only(spark, monkeypatch):
+    root = storage.new_folder(spark, "t")
+    storage.write_incidents(table(spark, *({"id": 10 * y + i, "date": datetime(y, 1 + i, 1)} for y in range(2010, 2020) for i in range(5))), root)
+    plans = []
+
+    def watched(df, years):
+        found = storage.select_years(df, years)
+        plans.append((found._jdf.queryExecution().executedPlan().toString(), found.select("_metadata.file_path").distinct().count()))
+        return found
+
+    monkeypatch.setattr(merge, "select_years", watched)
+    files = lambda: {y: storage.listed(spark, f"{root}/year={y}") for y in range(2010, 2020)}
+    before, n_files = files(), len(spark.read.parquet(f"{root}/year=2012", f"{root}/year=2015").inputFiles())
+    merge.merge_into(spark, root, table(spark, {"id": 20120, "date": datetime(2015, 7, 7), "updated_on": datetime(2026, 1, 1)}))
+    ((plan, read),) = plans
+    assert "PartitionFilters: [year#" in plan and "IN (2012,2015)" in plan and read == n_files
+    assert {y for y, names in files().items() if names != before[y]} == {2012, 2015}
+    found = {y: sorted(r.id for r in spark.read.parquet(f"{root}/year={y}").collect()) for y in (2012, 2015)}
+    assert found == {2012: [20121, 20122, 20123, 20124], 2015: [20120, 20150, 20151, 20152, 20153, 20154]}
+
+
+def test_the_index_follows_moves_and_forgets_left_years(spark, monkeypatch):
+    monkeypatch.setattr(ids, "RUN_BITS", 1)
+    monkeypatch.setattr(ids, "IDS_PER_BUCKET", 2)
+    root = storage.new_folder(spark, "t")
+    storage.write_incidents(table(spark, *({"id": i, "date": datetime(2015 + i % 3, 3, 1)} for i in range(9))), root)
+    every = spark.range(20)
+    told = lambda: sorted((r.id, r.year) for r in ids.Index(spark, root).years_of(every).collect())
+    assert told() == sorted((i, 2015 + i % 3) for i in range(9)) and ids.Index(spark, root).buckets == 5
+    later = datetime(2026, 1, 1)
+    merge.merge_into(spark, root, table(spark, {"id": 0, "date": datetime(2016, 1, 1), "updated_on": later}, {"id": 12, "date": datetime(2017, 1, 1)}, {"id": 4, "date": datetime(2015, 1, 1), "updated_on": datetime(2000, 1, 1)}))
+    assert told() == sorted({**{i: 2015 + i % 3 for i in range(9)}, 0: 2016, 12: 2017}.items())
+    storage.write_incidents(table(spark, {"id": 17, "date": datetime(2015, 3, 1)}), root)  # another writer
+    assert (17, 2015) in told()
+
+
+def test_a_merge_that_broke_off_is_taken_up(spark):
+    """The index has too many years then, and the rollups a pending change; both are mended by the next merge."""
+    root, folder = storage.new_folder(spark, "t"), storage.new_folder(spark, "rollups")
+    rows_ = table(spark, {"id": 1, "date": datetime(2015, 3, 1)}, {"id": 2, "date": datetime(2016, 3, 1)})
+    storage.write_incidents(rows_, root)
+    rollups.build(rows_, folder, 1)
+    new = table(spark, {"id": 1, "date": datetime(2016, 5, 1), "updated_on": datetime(2026, 1, 1)})
+    real, storage_write = rollups.publish, merge.write_incidents
+    for broken in ("write_incidents", "R.publish"):
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(*((merge, "write_incidents") if broken == "write_incidents" else (rollups, "publish")), lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                merge.merge_into(spark, root, new, folder)
+        assert rollups.pending_years(spark, folder) == ([2015, 2016] if broken == "write_incidents" else [2016])
+        assert rollups.published(spark, folder, "rollup_citywide").agg(F.sum("incidents")).first()[0] == 2
+        merge.merge_into(spark, root, new, folder)
+        assert rollups.pending_years(spark, folder) == []
+        assert {(r.id, r.year) for r in storage.read_incidents(spark, root).collect()} == {(1, 2016), (2, 2016)}
+        same_rollups(spark, folder, storage.read_incidents(spark, root).drop("year"))
+    assert (real, storage_write) == (rollups.publish, merge.write_incidents)
+
+
+def same_rollups(spark, folder, rows_):
+    """Stored rollups equal those of all rows."""
+    for name, keys in rollups.TABLES.items():
+        mine = rollups.published(spark, folder, name)
+        true = rollups.code_months(rows_) if name == "rollup_code_month" else rollups.rollup(rows_, name.removeprefix("rollup_"))
+        true = true.select(mine.columns)
+        assert mine.exceptAll(true).count() == 0 == true.exceptAll(mine).count(), name
+    coverage = rollups.published(spark, folder, "code_coverage")
+    assert coverage.exceptAll(rollups.code_coverage(rows_).select(coverage.columns)).count() == 0
+    meta = rollups.dataset_meta(spark, folder)
+    assert tuple(meta.select("row_count", "partition_count", "min_date", "max_date").first()) == tuple(rollups.meta(rows_).first())
+
+
+def test_rollups_by_deltas_equal_a_full_rebuild(spark):
+    root, folder = storage.new_folder(spark, "t"), storage.new_folder(spark, "rollups")
+    rows_ = table(spark, *({"id": 10 * y + i, "date": datetime(y, 1 + i, 1), "ward": i % 3 or None, "arrest": i % 2 == 0, "iucr": f"0{i}10"} for y in range(2010, 2016) for i in range(5)))
+    storage.write_incidents(rows_, root)
+    rollups.build(rows_, folder, 1)
+    later = {"updated_on": datetime(2026, 1, 1)}
+    merge.merge_into(spark, root, table(spark, *({"id": 20110 + i, "date": datetime(2012, 2, 2), **later} for i in range(5))), folder)  # 2011 empties
+    merge.merge_into(spark, root, table(spark, {"id": 20120, "date": datetime(2012, 1, 1), "arrest": True, "iucr": None, "latitude": None, **later}, {"id": 5, "date": datetime(2010, 12, 31), **later}), folder)
+    same_rollups(spark, folder, storage.read_incidents(spark, root).drop("year"))
+    versions = rollups._manifest(spark, folder)["years"]
+    assert versions == {"2010": 3, "2012": 3, "2013": 1, "2014": 1, "2015": 1}  # other years are where they were
+    assert rollups.published(spark, folder, "rollup_ward", [2013]).select(F.year("month")).distinct().collect() == [(2013,)]
+
+
+def test_metadata_without_rows_is_an_error(spark):
+    folder = storage.new_folder(spark, "rollups")
+    with pytest.raises(ValueError):
+        rollups.published(spark, folder, "rollup_meta")
+    rollups.build(table(spark, {"id": 1}).where("id > 1"), folder, 1)
+    with pytest.raises(ValueError):
+        rollups.dataset_meta(spark, folder)
+
+
+def test_a_strict_merge_keeps_the_constraints(spark):
+    root = storage.new_folder(spark, "t")
+    storage.write_incidents(table(spark, {"id": 1}), root)
+    with pytest.raises(ValueError):
+        merge.merge_into(spark, root, table(spark, {"id": 2, "iucr": None}), strict=True)
+    assert [r.id for r in storage.read_incidents(spark, root).collect()] == [1]
+
+
+def test_drift_of_many_spans_equals_that_of_each(spark):
+    days = [datetime(2018 + k // 12, 1 + k % 12, 3) for k in range(60)]
+    codes_ = {"0110": days, "0220": days[:20], "0330": days[25:], "0440": days[10:14] + days[40:44], None: days[::7]}
+    df = table(spark, *({"id": 100 * i + k, "iucr": c, "date": d, "primary_type_canonical": "AB"[k % 2]} for i, (c, ds) in enumerate(codes_.items()) for k, d in enumerate(ds)))
+    months, coverage, meta = rollups.code_months(df).cache(), rollups.code_coverage(df).cache(), rollups.meta(df).cache()
+    asked = [(i, date(2016 + i % 9, 1 + i % 12, 1 + i % 28), date(2016 + i % 9 + i % 4, 1 + (5 * i) % 12, 28)) for i in range(120)]
+    asked = [(i, a, b) for i, a, b in asked if a <= b] + [(999, date(2019, 2, 5), date(2019, 2, 6)), (1000, date(2030, 1, 1), date(2031, 1, 1))]
+    spans = spark.createDataFrame(asked, "span_id int, start date, end date")
+    first = lambda d: d.replace(day=1)
+    lo, hi = date(2018, 1, 1), date(2022, 12, 1)
+    shifted = lambda d, n: date(d.year + (d.month - 1 + n) // 12, (d.month - 1 + n) % 12 + 1, 1)
+    for categories in ([], ["a"]):
+        rows_ = [(c, d.date(), k) for c, ds in codes_.items() for k, d in enumerate(ds)]
+        true = {}
+        for i, a, b in asked:
+            a, b = max(first(a), lo), min(first(b), hi)
+            inside = [(c, d) for c, d, k in rows_ if a <= first(d) <= b and (not categories or k % 2 == 0)]
+            drift_ = lambda c: shifted(a, 12) < min(first(d.date()) for d in codes_[c]) or max(first(d.date()) for d in codes_[c]) < shifted(b, -12)  # noqa: B023, E731
+            hit = [c for c, _ in inside if c is not None and drift_(c)]
+            true[i] = (len(inside), len(hit), len(set(hit)))
+        found = drift.batch_report(months, coverage, meta, spans, categories=categories).collect()
+        assert {r.span_id: (r.total, r.affected, r.n_codes) for r in found} == true
+    assert sum(1 for t in true.values() if t[1]) > 10
+
+
+def test_a_million_spans_meet_only_the_months_there_are(spark):
+    df = table(spark, *({"id": i, "iucr": f"0{i % 7}10", "date": datetime(2015 + i % 9, 1 + i % 12, 1)} for i in range(300)))
+    args = [f(df).cache() for f in (rollups.code_months, rollups.code_coverage, rollups.meta)]
+    spans = spark.range(1_000_000).selectExpr("id AS span_id", "date_add(DATE '2014-01-01', cast(id % 4000 AS int)) AS start", "date_add(DATE '2014-01-01', cast(id % 4000 + id % 900 AS int)) AS end")
+    found = drift.batch_report(*args, spans)
+    some = found.where("span_id < 2000").collect()
+    one_by_one = {r.span_id: r for r in drift.batch_report(*args, spans.where("span_id < 2000")).collect()}
+    assert found.agg(F.count("*")).first()[0] == 1_000_000 and all(r == one_by_one[r.span_id] for r in some)
+
+
+def vocabulary(spark, values):
+    return spark.createDataFrame([("category", "source", v, True) for v in values], "dimension string, taxonomy string, value string, stable_over_time boolean")
+
+
+def test_suggestions_equal_those_of_all_pairs(spark):
+    r = random.Random(4)
+    valid = sorted({"".join(r.choice("ABCD E") for _ in range(r.randint(1, 14))).strip() or "A" for _ in range(150)} | {"THEFT", "BATTERY", "CRIMINAL DAMAGE", "A"})
+    asked = ["".join(r.choice("ABCD E") for _ in range(r.randint(0, 16))) for _ in range(300)] + ["theft ", "  BATERY", "   a      ", "CRIMINL DAMGE", "", "x" * 40]
+    for v in valid[:60]:  # a few edits away
+        w = list(v)
+        for _ in range(r.randint(1, 4)):
+            k = r.randrange(len(w) + 1)
+            w[k : k + r.randint(0, 1)] = r.choice(["", "Z", "A"])
+        asked.append("".join(w))
+    unknown = spark.createDataFrame([(v, 1) for v in sorted(set(asked))], "value string, n_rows long")
+    words_ = vocabulary(spark, valid)
+    longest = F.greatest(F.length("value"), F.length("suggestion"))
+    apart = F.levenshtein(F.upper(F.trim("value")), F.col("suggestion"))
+    every = unknown.crossJoin(words_.select(F.col("value").alias("suggestion"))).where(apart <= longest * (1 - findings.SIMILAR))
+    true = {x.value: x.b for x in every.groupBy("value").agg(F.max(F.struct(F.round(1 - apart / longest, 6).alias("likeness"), "suggestion")).alias("b")).collect()}
+    found = {x.value: x for x in findings.with_suggestions(unknown, words_, "category", "source").collect()}
+    assert len(found) == unknown.count() and sum(x.suggestion is not None for x in found.values()) == len(true) > 60
+    for v, b in true.items():
+        assert (found[v].likeness, found[v].suggestion) == (b.likeness, b.suggestion)
+
+
+def test_few_candidates_for_many_unknown_values(spark):
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ") for _ in range(n))
+    words_ = vocabulary(spark, sorted({word(r.randint(8, 14)) for _ in range(1000)}))
+    unknown = spark.createDataFrame([(word(r.randint(8, 14)), 1) for _ in range(100_000)], "value string, n_rows long")
+    valid = words_.select(F.col("value").alias("suggestion"))
+    per_value = findings.candidates(unknown, valid).groupBy("value").count()
+    assert per_value.agg(F.avg("count")).first()[0] < 60 and per_value.agg(F.max("count")).first()[0] < 250  # of 1000 words
+
+
+def world(spark):
+    """Rows and points around the date line, the poles and a crowded place."""
+    r = random.Random(3)
+    spots = [(10.0, 179.999), (-20.0, -180.0), (89.9, 40.0), (90.0, 0.0), (-89.95, -100.0), (0.0, 0.0), (41.88, -87.63)]
+    rows_ = [(90.0, -170.0), (-90.0, 10.0), (10.0, 180.0), (10.0, -180.0)]
+    for lat, lon in spots:
+        for _ in range(60):
+            a = max(-90.0, min(90.0, lat + r.uniform(-0.05, 0.05)))
+            o = lon + r.uniform(-0.05, 0.05) * (1 if abs(lat) < 80 else 2000)
+            rows_.append((a, (o + 180) % 360 - 180))
+    rows_ += [(41.88 + r.gauss(0, 1e-4), -87.63 + r.gauss(0, 1e-4)) for _ in range(150)] + [(41.8801, -87.6301)] * 90
+    df = table(spark, *({"id": i, "latitude": a, "longitude": o} for i, (a, o) in enumerate(rows_)), {"id": 9999, "latitude": 1.0, "longitude": None})
+    asked = [(i, a, o, m) for i, (a, o, m) in enumerate((a, o, m) for a, o in spots for m in (50.0, 400.0, 3000.0, 12000.0))] + [(900, 10.0, -179.999, 500.0), (901, 0.0, 0.0, 15_000_000.0)]
+    return df, spark.createDataFrame(asked, "point_id long, lat double, lon double, radius double")
+
+
+def true_pairs(df, points):
+    pairs = df.crossJoin(points).where(geo.distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")) <= F.col("radius"))
+    return {(r.point_id, r.id) for r in pairs.select("point_id", "id").collect()}
+
+
+@pytest.mark.parametrize("load,deepest", [(100_000, 12), (20, 12), (20, 2)])
+def test_radius_join_around_the_world_and_in_crowds(spark, monkeypatch, load, deepest):
+    monkeypatch.setattr(radius, "LOAD", load)
+    monkeypatch.setattr(radius, "DEEPEST", deepest)
+    df, points = world(spark)
+    points = points.where("radius < 1000000") if load < 1000 else points
+    found = [(r.point_id, r.id) for r in radius.radius_join(df, points).select("point_id", "id").collect()]
+    assert len(found) == len(set(found)) and set(found) == true_pairs(df, points)
+    rows_, cells = radius.assigned(df, points)
+    loads = rows_.groupBy(*radius.CELL, "salt").count()
+    assert loads.agg(F.max("count")).first()[0] <= load
+    assert load > 1000 or rows_.agg(F.max("depth")).first()[0] > 1
+
+
+def test_within_around_the_world(spark):
+    df, points = world(spark)
+    true = true_pairs(df, points)
+    for p in points.collect():
+        assert {(p.point_id, r.id) for r in radius.within(df, p.lat, p.lon, p.radius).select("id").collect()} == {x for x in true if x[0] == p.point_id}
+
+
+def test_nearest_has_a_cap(spark, base):
+    assert len(radius.nearest(base, 41.8, -87.6, 50).collect()) == 4
+    for k in (0, 51):
+        with pytest.raises(ValueError):
+            radius.nearest(base, 41.8, -87.6, k)
+
+
+def test_no_distance_without_coordinates(base):
+    found = {r.id: r.d for r in base.select("id", geo.distance_m(F.col("latitude"), F.col("longitude"), F.lit(41.8), F.lit(-87.6)).alias("d")).collect()}
+    assert found[4] is None and all(d is not None for i, d in found.items() if i != 4)
