@@ -250,18 +250,19 @@ def _judged(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> Da
     placed = placed.join(firsts, "component").select(*same, "first")
     rows = sketched.select("doc_id", *ROW, *same).join(placed, same, "left")
     is_first = (F.col("r1") == F.col("first.r1")) & (F.col("r2") == F.col("first.r2"))
-    return rows.select("doc_id", *ROW, "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.coalesce(is_first, F.lit(True)).alias("kept"))
+    return rows.select("doc_id", *ROW, "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), F.coalesce(is_first, F.lit(True)).alias("is_first"))
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable) and kept (the row is the first of that id), one row per row."""
-    return _judged(docs, k, percent, doc_id, text).drop(*ROW)
+    """doc_id, n_shingles, component_id (the smallest id reachable), kept (doc_id is component_id; null ids are equal) and
+    is_first (of the rows of that id and component, those of the one text that `keep_one` keeps), one row per row."""
+    return _judged(docs, k, percent, doc_id, text).drop(*ROW).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, of its smallest id, with all its columns."""
     judged = _judged(docs, k, percent, doc_id, text).where("n_shingles > 0")
-    told = cut(judged.groupBy(*ROW).agg(F.max("kept").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1").drop("n"))
+    told = cut(judged.groupBy(*ROW).agg(F.max("is_first").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1").drop("n"))
     r1, r2 = row_key(doc_id, text)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), r1.alias("r1"), r2.alias("r2"))
     # of rows equal in id and text, one

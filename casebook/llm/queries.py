@@ -39,7 +39,7 @@ def op7_repeats(spark, sf_dir):
 
 
 def op8_near_duplicates(spark, sf_dir):
-    return neardup.groups(read(spark, sf_dir, "documents"), k=2, percent=80)
+    return neardup.groups(read(spark, sf_dir, "documents"), k=2, percent=80).drop("is_first")
 
 
 def op9_quality_rules(spark, sf_dir):
