@@ -34,8 +34,8 @@ LONG = tuple((13, 1 << 30, mask) for mask in MASKS)
 SHORT = ((6, 12, (0, 1, 2)), (2, 5, (0, 1)), (1, 1, (0,)))
 SPAN = 1 + max(mask[-1] for mask in MASKS)
 SHARE, WINDOW = 80, 20
-#: 64-bit words of the filter.
-CELLS = 1 << 13
+#: Powers of two of the filter's 64-bit words, at least and at most: 64 kB to 8 MB.
+LEAST_CELLS, MOST_CELLS = 13, 20
 #: Alignments are broadcast up to so many rows, of five numbers each; beyond, the texts are shuffled.
 BROADCAST_ROWS = 100_000
 #: Keys of a document's and of an item's row.
@@ -73,36 +73,46 @@ def long_form(places: DataFrame, keep: list[str], masks: tuple) -> DataFrame:
     return places.select(*keep, "pos", each.alias("seed")).where("seed IS NOT NULL")
 
 
-#: Word and bit of each of a seed's two places in the filter.
-PLACES = ((f"CAST({{0}} & {CELLS - 1} AS int)", "CAST(shiftright({0}, 13) & 63 AS int)"), (f"CAST(shiftright({{0}}, 19) & {CELLS - 1} AS int)", "CAST(shiftright({0}, 32) & 63 AS int)"))
+def cells_for(n_seeds: int) -> int:
+    """The power of two of 64-bit words with which two bits a seed fill less than half of the filter,
+    up to MOST_CELLS (20 million seeds); beyond, more places pass and are joined for nothing."""
+    return min(MOST_CELLS, max(LEAST_CELLS, (n_seeds * 4 // 64).bit_length()))
 
 
-def bit_filter(targets: DataFrame):
-    """A scalar: the array of CELLS 64-bit words in which the places of all seeds are set."""
-    set_ = targets.select(F.explode(F.array(*(F.struct(F.expr(c.format("seed")).alias("cell"), F.expr(b.format("seed")).alias("bit")) for c, b in PLACES))).alias("p"))
+def places_of(cells: int) -> tuple:
+    """Word and bit of each of a seed's two places in the filter."""
+    mask = (1 << cells) - 1
+    return tuple((f"CAST(shiftright({{0}}, {at}) & {mask} AS int)", f"CAST(shiftright({{0}}, {at + MOST_CELLS}) & 63 AS int)") for at in (0, MOST_CELLS + 6))
+
+
+def bit_filter(targets: DataFrame, cells: int):
+    """A scalar: the array of 64-bit words in which the places of all seeds are set."""
+    set_ = targets.select(F.explode(F.array(*(F.struct(F.expr(c.format("seed")).alias("cell"), F.expr(b.format("seed")).alias("bit")) for c, b in places_of(cells)))).alias("p"))
     words_ = set_.groupBy("p.cell").agg(F.expr("bit_or(shiftleft(1L, p.bit))").alias("bits"))
-    every = targets.sparkSession.range(CELLS).select(F.col("id").cast("int").alias("cell")).join(words_, "cell", "left")
+    every = targets.sparkSession.range(1 << cells).select(F.col("id").cast("int").alias("cell")).join(words_, "cell", "left")
     return every.agg(F.expr("transform(array_sort(collect_list(struct(cell, coalesce(bits, 0L) AS bits))), x -> x.bits)").alias("table")).scalar()
 
 
-def maybe(table, seed: str):
+def maybe(table, seed: str, cells: int):
     """Whether a seed may be in the filter."""
-    one = [F.get(table, F.expr(c.format(seed))).bitwiseAND(F.expr(f"shiftleft(1L, {b.format(seed)})")) != 0 for c, b in PLACES]
+    one = [F.get(table, F.expr(c.format(seed))).bitwiseAND(F.expr(f"shiftleft(1L, {b.format(seed)})")) != 0 for c, b in places_of(cells)]
     return one[0] & one[1]
 
 
 def alignments(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """r1, r2, i1, i2, off: where an item's first word would lie in a document that shares a seed with it."""
+    """r1, r2, i1, i2, off, n: where the first of an item's n words would lie in a document that shares a seed with it."""
     masks = masks_for(items)
-    targets = long_form(seeds(items.select(*ITEM, word_hashes(F.col("text")).alias("h")), ITEM, masks, True), ITEM, masks)
-    table = bit_filter(targets)
+    hashed = items.select(*ITEM, word_hashes(F.col("text")).alias("h")).withColumn("n", F.size("h"))
+    targets = cut(long_form(seeds(hashed, [*ITEM, F.col("n").alias("n_words")], masks, True), [*ITEM, "n_words"], masks))
+    cells = cells_for(targets.count())
+    table = bit_filter(targets, cells)
     places = seeds(docs.select(*ROW, word_hashes(F.col("text")).alias("h")), ROW, masks)
     passing = F.lit(False)
     for i in range(len(masks)):
-        passing = passing | F.coalesce(maybe(table, f"s{i}"), F.lit(False))
-    found = long_form(places.where(passing), ROW, masks).where(maybe(table, "seed"))
+        passing = passing | F.coalesce(maybe(table, f"s{i}", cells), F.lit(False))
+    found = long_form(places.where(passing), ROW, masks).where(maybe(table, "seed", cells))
     hits = found.join(targets.withColumnRenamed("pos", "item_pos"), "seed")
-    return hits.select(*ROW, *ITEM, (F.col("pos") - F.col("item_pos")).alias("off")).distinct()
+    return hits.select(*ROW, *ITEM, (F.col("pos") - F.col("item_pos")).alias("off"), F.col("n_words").alias("n")).distinct()
 
 
 def _confirmed(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_id: str, item_text: str) -> DataFrame:
@@ -112,13 +122,19 @@ def _confirmed(docs: DataFrame, items: DataFrame, doc_id: str, text: str, item_i
     i1, i2 = row_key(item_id, item_text)
     items = items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("item_text"), i1.alias("i1"), i2.alias("i2"))
     found = cut(alignments(docs, items.withColumnRenamed("item_text", "text")))
-    if found.count() <= BROADCAST_ROWS:
+    # a document's alignments in one row, so that its words are split once
+    n_found = found.count()
+    found = found.groupBy(*ROW).agg(F.collect_list(F.struct(*ITEM, "off", "n")).alias("pairs"))
+    if n_found <= BROADCAST_ROWS:
         found = F.broadcast(found)
-    # words are split once a document and item: the columns lie below the join that the check is pushed into
-    texts = docs.join(found, ROW).select(*ROW, *ITEM, "doc_id", "off", words(F.col("text")).alias("w"))
-    rows = texts.join(items.select(*ITEM, "item_id", words(F.col("item_text")).alias("x")), ITEM)
-    # the item's words beside the document's words at their places; those before its first word have none
-    beside = F.expr("concat(array_repeat(CAST(null AS string), greatest(-off, 0)), slice(w, greatest(off, 0) + 1, greatest(size(x) + least(off, 0), 0)))")
+    texts = docs.join(found, ROW).select(*ROW, "doc_id", words(F.col("text")).alias("w"), "pairs")
+    # the document's words at an item's places; those before the document's first word are missing.
+    # The words are bound to a lambda's variable, so that all alignments share them
+    part = "slice(v, greatest(p.off, 0) + 1, greatest(p.n + least(p.off, 0), 0))"
+    parts = F.expr(f"transform(array(w), v -> transform(pairs, p -> struct(p.i1, p.i2, p.off, {part} AS there)))[0]")
+    rows = texts.select(*ROW, "doc_id", F.explode(parts).alias("p")).select(*ROW, "doc_id", "p.*")
+    rows = rows.join(items.select(*ITEM, "item_id", words(F.col("item_text")).alias("x")), ITEM)
+    beside = F.expr("concat(array_repeat(CAST(null AS string), greatest(-off, 0)), there)")
     same = F.zip_with("x", beside, lambda v, y: F.when(v == y, 1).otherwise(0))
     rows = rows.select(*ROW, "doc_id", "item_id", "off", F.size("x").alias("n_item_words"), F.slice(same, 1, F.size("x")).alias("same"))
     # bound to a lambda's variable, so that the windows share one comparison

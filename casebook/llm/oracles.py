@@ -130,7 +130,7 @@ c AS (SELECT id, min(v) AS component_id FROM r GROUP BY id)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept FROM d JOIN c ON d.doc_id = c.id LEFT JOIN n ON n.doc_id = d.doc_id
 """
 
-ORACLES = {"op7_repeats": OP7, "op8_near_duplicates": OP8, "op6_decontamination": OP6, "op4_url_filter": OP4, "op5_warc": OP5, "op9_quality_rules": OP9, "quality_ablations": ABLATIONS}
+ORACLES = {"op7_repeats": OP7, "repeats_descended": OP7, "op8_near_duplicates": OP8, "op6_decontamination": OP6, "op4_url_filter": OP4, "op5_warc": OP5, "op9_quality_rules": OP9, "quality_ablations": ABLATIONS}
 
 #: The unsigned crc32 of a decimal number, bit by bit.
 CRC = """xor(4294967295, list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda c: [ascii(c), 0, 0, 0, 0, 0, 0, 0]))),

@@ -38,6 +38,11 @@ def op7_repeats(spark, sf_dir):
     return repeats.digests(read(spark, sf_dir, "documents"))
 
 
+def repeats_descended(spark, sf_dir):
+    """The same with a descent of every core that occurs more than three times."""
+    return repeats.digests(read(spark, sf_dir, "documents"), group=3)
+
+
 def op8_near_duplicates(spark, sf_dir):
     return neardup.groups(read(spark, sf_dir, "documents"), k=2, percent=80).drop("is_first")
 
@@ -77,4 +82,4 @@ def op13_prefix_trie(spark, sf_dir):
     return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
 
 
-QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_repeats": op7_repeats, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "quality_ablations": quality_ablations, "op10_token_counts": op10_token_counts, "op11_pieces": op11_pieces, "op12_periods": op12_periods, "op13_prefix_trie": op13_prefix_trie}
+QUERIES = {"op1_secret_scan": op1_secret_scan, "op2_bpe": op2_bpe, "op3_language_id": op3_language_id, "op4_url_filter": op4_url_filter, "op5_warc": op5_warc, "op6_decontamination": op6_decontamination, "op7_repeats": op7_repeats, "repeats_descended": repeats_descended, "op8_near_duplicates": op8_near_duplicates, "op9_quality_rules": op9_quality_rules, "quality_ablations": quality_ablations, "op10_token_counts": op10_token_counts, "op11_pieces": op11_pieces, "op12_periods": op12_periods, "op13_prefix_trie": op13_prefix_trie}

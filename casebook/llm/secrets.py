@@ -3,8 +3,10 @@
 Base kinds are found by pattern. Further kinds are reported only after a candidate
 is decoded and parsed: keys whose nested DER lengths fit (base64 or hex), key files
 with the OpenSSH magic and fitting field lengths, and signed tokens whose header
-and claims decode to JSON with an algorithm. Keys may be wrapped, with line breaks as
-they are or escaped (JSON, one-line settings), and indented; they may have any length.
+and claims decode to JSON with an algorithm. A plain PKCS#8 frame must hold a key that is
+well-formed itself. Keys may be in base64 of either alphabet or in hex, and wrapped, with
+line breaks as they are or escaped (JSON, one-line settings), indented, quoted line by line
+or behind comment marks; they may have any length.
 
 Positions count code points, the end is exclusive. Edge cases: a null text is an
 empty one and has no spans; texts of any length are scanned whole; repeated rows
@@ -36,14 +38,16 @@ KEYWORDS = ("password", "passwd", "secret", "token", "api_key", "apikey")
 # Candidates. A DER sequence begins with the byte 0x30, so its base64 with MA to MP.
 # Only beginnings are matched; how far a key goes is read from its lengths. One may also
 # begin after an escaped line break or tab, whose letter would else seem a part of it.
-DER = re.compile(r"M[A-P](?:(?<![A-Za-z0-9+/]..)|(?<=\\[nrt]..)|(?<=\\u000[aAdD]..))(?=[A-Za-z0-9+/])")
-HEXDER = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{30,}(?![0-9A-Fa-f])")
+DER = re.compile(r"M[A-P](?:(?<![A-Za-z0-9+/]..)|(?<=\\[nrt]..)|(?<=\\u000[aAdD]..))(?=[A-Za-z0-9+/_-])")
+HEXDER = re.compile(r"(?<![0-9A-Fa-f])30(?=[0-9A-Fa-f]{14})")
 OPENSSH = re.compile(r"b3BlbnNzaC1rZXktdjEA(?:(?<![A-Za-z0-9+/].{20})|(?<=\\[nrt].{20})|(?<=\\u000[aAdD].{20}))")
 JWT = re.compile(r"eyJ(?:(?<![A-Za-z0-9_-]...)|(?<=\\[nrt]...)|(?<=\\u000[aAdD]...))[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-#: A piece of base64, and what may stand between two: line breaks, as they are or escaped
-#: (also more than once), with blanks before or after them; or the escape of a slash.
-PIECE = re.compile(r"[A-Za-z0-9+/]+")
-BETWEEN = re.compile(r"(?:[ \t]*(?:\\*[\r\n]|\\+[rn]|\\+u000[aAdD])[ \t]*)+|\\+(?=/)")
+#: A piece of base64 (of either alphabet) or of hex, and what may stand between two: line
+#: breaks, as they are or escaped (also more than once), with blanks, the ends of quoted
+#: lines and comment marks around them; or the escape of a slash.
+PIECE, HEXPIECE = re.compile(r"[A-Za-z0-9+/_-]+"), re.compile(r"[0-9A-Fa-f]+")
+BETWEEN = re.compile(r"""(?:[ \t]*["'`]?[ \t]*[+,.&]?[ \t]*(?:\\*[\r\n]|\\+[rn]|\\+u000[aAdD])[ \t]*(?:[#>*;%|][ \t]*)*["'`]?)+|\\+(?=/)""")
+PLAIN = str.maketrans("-_", "+/")
 MAGIC = b"openssh-key-v1\0"
 INTEGER, OCTETS, OID, SEQUENCE = 2, 4, 6, 0x30
 
@@ -91,13 +95,32 @@ def is_key(data: bytes) -> bool:
     if tags[:1] == [INTEGER]:
         version = int.from_bytes(data[parts[0][1] : parts[0][2]], "big")
         if tags[1:3] == [SEQUENCE, OCTETS]:
-            return version <= 1 and named(parts[1])
-        if set(tags) == {INTEGER}:
-            return version <= 1 and len(tags) in (6, 9)
-        return version == 1 and tags[1:2] == [OCTETS] and all(tag in (0xA0, 0xA1) for tag in tags[2:]) and parts[1][2] - parts[1][1] >= 20
+            return version <= 1 and named(parts[1]) and is_inner(data, *parts[2][1:])
+        return is_plain(data, parts, tags)
     return tags == [SEQUENCE, OCTETS] and named(parts[0])
 
 
+def is_plain(data: bytes, parts: list, tags: list[int]) -> bool:
+    """Whether the elements of a sequence are those of a PKCS#1, DSA or SEC 1 key."""
+    version = int.from_bytes(data[parts[0][1] : parts[0][2]], "big") if tags[:1] == [INTEGER] else 2
+    if set(tags) == {INTEGER}:
+        return version <= 1 and len(tags) in (6, 9)
+    return version == 1 and tags[1:2] == [OCTETS] and all(tag in (0xA0, 0xA1) for tag in tags[2:]) and parts[1][2] - parts[1][1] >= 20
+
+
+def is_inner(data: bytes, at: int, end: int) -> bool:
+    """Whether the octets of a PKCS#8 frame are one element that is a key: a number (DSA, DH), a
+    string of 28 bytes or more (Edwards and Montgomery curves), or a key of its own form."""
+    top = header(data, at)
+    if top is None or top[2] != end:
+        return False
+    tag, first, _ = top
+    if tag == SEQUENCE:
+        parts = elements(data, first, end)
+        return bool(parts) and is_plain(data, parts, [t for t, _, _ in parts])
+    return (tag == INTEGER and end > first) or (tag == OCTETS and end - first >= 28)
+
+
 def b64(text: str) -> bytes | None:
     try:
         return base64.b64decode(text + "=" * (-len(text) % 4), validate=True)
@@ -106,12 +129,12 @@ def b64(text: str) -> bytes | None:
 
 
 class Stretch:
-    """Pieces of base64 from a place of a text on, as one."""
+    """Pieces of base64 or hex from a place of a text on, as one."""
 
-    def __init__(self, text: str, start: int) -> None:
+    def __init__(self, text: str, start: int, piece: re.Pattern = PIECE, bits: int = 6) -> None:
         pieces, self.text, self.places, self.offsets, total = [], text, [], [], 0
-        at = start
-        while found := PIECE.match(text, at):
+        self.bits, at = bits, start
+        while found := piece.match(text, at):
             self.places.append(found.start())
             self.offsets.append(total)
             pieces.append(found[0])
@@ -119,7 +142,7 @@ class Stretch:
             self.end = at = found.end()
             if between := BETWEEN.match(text, at):
                 at = between.end()
-        self.chars = "".join(pieces)
+        self.chars = "".join(pieces).translate(PLAIN)
 
     def offset(self, place: int) -> int:
         """Which character of the stretch lies at a place of the text."""
@@ -128,9 +151,9 @@ class Stretch:
 
     def end_of(self, first: int, size: int) -> int:
         """Where the encoding of `size` bytes ends in the text, with its padding."""
-        last = first + -(-size * 8 // 6) - 1
+        last = first + -(-size * 8 // self.bits) - 1
         i = bisect.bisect_right(self.offsets, last) - 1
-        at, padding = self.places[i] + last - self.offsets[i] + 1, -size % 3
+        at, padding = self.places[i] + last - self.offsets[i] + 1, -size % 3 if self.bits == 6 else 0
         while padding and self.text[at : at + 1] == "=":
             at, padding = at + 1, padding - 1
         return at
@@ -154,13 +177,29 @@ class Encoded:
         return data[a - a // 3 * 3 : b - a // 3 * 3]
 
 
+class Hexed(Encoded):
+    """The same of hex."""
+
+    def __init__(self, chars: str, first: int, size: int | None = None) -> None:
+        self.chars, self.first = chars, first
+        self.size = (len(chars) - first) // 2 if size is None else size
+
+    def __getitem__(self, at):
+        if isinstance(at, int):
+            return self[at : at + 1][0]
+        a, b, _ = at.indices(self.size)
+        return bytes.fromhex(self.chars[self.first + 2 * a : self.first + 2 * b])
+
+
 def der(stretch: Stretch, first: int) -> int:
     """Where the key ends whose encoding begins at a character, or 0 if there is none."""
-    data = Encoded(stretch.chars, first)
+    kind = Encoded if stretch.bits == 6 else Hexed
+    data = kind(stretch.chars, first)
     top = header(data, 0)
-    if not top or top[0] != SEQUENCE or top[2] > len(data) or not is_key(Encoded(stretch.chars, first, top[2])):
+    if not top or top[0] != SEQUENCE or top[2] > len(data) or not is_key(kind(stretch.chars, first, top[2])):
         return 0
-    return stretch.end_of(first, top[2])
+    end = stretch.end_of(first, top[2])
+    return end if stretch.bits == 6 or not HEXPIECE.match(stretch.text, end) else 0  # a run of hex is a key as a whole
 
 
 def openssh(stretch: Stretch, first: int) -> int:
@@ -173,22 +212,22 @@ def openssh(stretch: Stretch, first: int) -> int:
         size += 4
         return int.from_bytes(data[size - 4 : size], "big") if size <= len(data) else -1
 
-    def fields(n: int) -> bool:
+    def fields(n: int, least: int = 0) -> bool:
         nonlocal size
         for _ in range(n):
             length = number()
-            if length < 0 or size + length > len(data):
+            if length < least or size + length > len(data):
                 return False
             size += length
         return True
 
     # cipher, key derivation and its options; then each public key, and the private part
-    if data[: len(MAGIC)] != MAGIC or not fields(3) or not 1 <= (keys := number()) <= 16 or not fields(keys + 1):
+    if data[: len(MAGIC)] != MAGIC or not fields(3) or (keys := number()) < 1 or not fields(keys + 1, 1):
         return 0
     return stretch.end_of(first, size)
 
 
-def keys(text: str, beginnings: re.Pattern, end_of) -> Iterator[tuple[int, int]]:
+def keys(text: str, beginnings: re.Pattern, end_of, piece: re.Pattern = PIECE, bits: int = 6) -> Iterator[tuple[int, int]]:
     """Start and end of every key; beginnings inside the key before are passed over."""
     end, stretch = 0, None
     for m in beginnings.finditer(text):
@@ -196,7 +235,7 @@ def keys(text: str, beginnings: re.Pattern, end_of) -> Iterator[tuple[int, int]]
         if at < end:
             continue
         if stretch is None or at >= stretch.end:
-            stretch = Stretch(text, at)
+            stretch = Stretch(text, at, piece, bits)
         if found := end_of(stretch, stretch.offset(at)):
             end = found
             yield at, end
@@ -222,7 +261,7 @@ def spans(text: str) -> list[tuple[int, int, int]]:
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text)]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     out += [(start, 3, end) for start, end in keys(text, DER, der)]
-    out += [(m.start(), 4, m.end()) for m in HEXDER.finditer(text) if len(m[0]) % 2 == 0 and is_key(bytes.fromhex(m[0]))]
+    out += [(start, 4, end) for start, end in keys(text, HEXDER, der, HEXPIECE, 4)]
     if "b3BlbnNzaC1rZXktdjEA" in text:
         out += [(start, 5, end) for start, end in keys(text, OPENSSH, openssh)]
     if "eyJ" in text:

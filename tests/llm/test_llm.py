@@ -154,12 +154,43 @@ def test_escaped_and_indented_keys_are_found(data, kind, between):
 
 def test_keys_of_any_length_and_with_escaped_slashes_are_found():
     long_ = b"\x30\x83" + (3 + 70_000 * 8 + 5 * 8).to_bytes(3, "big") + tlv(2, b"\0") + 8 * (b"\x02\x83" + (70_000).to_bytes(3, "big") + bytes([1]) * 70_000)
-    slashes = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, b"\xff" * 34))
+    slashes = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, tlv(4, b"\xff" * 32)))
     sizes = [len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")] + [(1).to_bytes(4, "big")] + [len(x).to_bytes(4, "big") + x for x in (b"p" * 51, b"s" * 100_000)]
     for key, kind in ((wrapped(long_), 3), (wrapped(slashes).replace("/", "\\/"), 3), (wrapped(secrets.MAGIC + b"".join(sizes)), 5)):
         assert [x for x in secrets.spans(f"a {key} b") if x[1] > 2] == [(2, kind, 2 + len(key))]
 
 
+@pytest.mark.parametrize("n", [1, 16, 17, 400])
+def test_key_files_hold_any_number_of_keys(n):
+    sizes = [len(x).to_bytes(4, "big") + x for x in (b"none", b"none", b"")] + [n.to_bytes(4, "big")] + [len(x).to_bytes(4, "big") + x for x in (*[b"p" * 51] * n, b"s" * 136)]
+    key = wrapped(secrets.MAGIC + b"".join(sizes))
+    assert [x for x in secrets.spans(f"a {key} b") if x[1] > 2] == [(2, 5, 2 + len(key))]
+
+
+def test_a_frame_without_a_key_in_it_is_no_secret():
+    r = random.Random(1)
+    frame = lambda inner: tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2b\x65\x70")) + tlv(4, inner))
+    for _ in range(200):
+        assert not [x for x in secrets.spans(wrapped(frame(bytes(r.randrange(256) for _ in range(r.choice([20, 34, 100, 250])))))) if x[1] == 3]
+    for inner in (RSA, SEC1, tlv(4, bytes(57)), tlv(2, bytes(range(1, 33)))):
+        assert [x[1] for x in secrets.spans(wrapped(frame(inner)))] == [3]
+    for inner in (RSA[:-1], RSA + b"\0", CERTIFICATE, tlv(4, bytes(8)), tlv(0x30, b"")):
+        assert not [x for x in secrets.spans(wrapped(frame(inner))) if x[1] == 3]
+
+
+@pytest.mark.parametrize("data", [PKCS8, RSA, SEC1])
+def test_wrapped_hex_the_other_alphabet_and_quoted_lines_are_found(data):
+    lines = [data.hex().upper()[i : i + 32] for i in range(0, 2 * len(data), 32)]
+    for key in ("\n".join(lines), "\\n".join(lines), "\r\n  ".join(x.lower() for x in lines)):
+        assert (2, 4, 2 + len(key)) in secrets.spans(f"a {key}\n b") and not [x for x in secrets.spans(f"a {key[:-2]}\n b") if x[1] == 4]
+    url = base64.urlsafe_b64encode(data).decode()
+    assert [x for x in secrets.spans(f'a "{url}" b') if x[1] > 2] == [(3, 3, 3 + len(url))]
+    rows = wrapped(data).split("\n")
+    for between in ("\n# ", "\n> ", '"\n  "', '\\n"\n    "', '\\n" +\n    "', "',\n'"):
+        key = between.join(rows)
+        assert [x for x in secrets.spans(f"a {key} b") if x[1] > 2] == [(2, 3, 2 + len(key))]
+
+
 def test_tokens_after_an_escaped_line_break_are_found():
     part = lambda x: base64.urlsafe_b64encode(json.dumps(x).encode()).decode().rstrip("=")
     token = f"{part({'alg': 'HS256'})}.{part({'sub': 1})}.c2ln"
@@ -510,6 +541,26 @@ def test_a_passage_of_very_many_texts(spark, length):
     assert collections.Counter(map(tuple, repeats.digests(df, group=500).collect())) == repeats_by_force([(d, t.encode()) for d, t in rows])
 
 
+def test_planted_passages_are_removed_from_400_bytes_on(spark):
+    """Passages of over 50 words, planted in two or many documents: recall by length in bytes is 0 below 400 and 1 from there."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choices("abcdefghijklmnop", k=r.randint(3, 9)))
+    text = lambda n: " ".join(word() for _ in range(n))
+    rows, lengths_of = [], {}
+    for i, size in enumerate([330, 390, 398, 399, 400, 401, 402, 410, 430, 600, 2000] * 3):
+        passage = (text(60) + " " + text(400))[:size]
+        for _ in range(r.choice([2, 2, 5, 40])):
+            lengths_of[len(rows)] = size
+            rows.append((len(rows), f"{text(30)}<{len(rows)}>{passage}<{len(rows)}>{text(30)}"))
+    clean = len(rows)
+    rows += [(clean + i, text(200)) for i in range(200)]
+    found = {x.doc_id: x for x in repeats.digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    recall = {size: {found[d].n_removed for d, s in lengths_of.items() if s == size} for size in lengths_of.values()}
+    for size, removed in recall.items():  # what stands around the passage may repeat by a character or two
+        assert removed == {0} if size < 398 else all(x in (0, *range(size, size + 3)) for x in removed) and (size < 400 or 0 not in removed)
+    assert all(found[d].n_removed == 0 for d, _ in rows[clean:])
+
+
 def test_interval_reaches_equal_all_pairs():
     r = random.Random(2)
     for _ in range(60):
@@ -567,6 +618,36 @@ def test_near_duplicates_equal_brute_force(spark, odd, empty, monkeypatch, k, bl
     assert kept.columns == odd.columns and kept.count() < odd.count()
 
 
+def test_many_alignments_of_a_document_share_one_split(spark):
+    docs = spark.createDataFrame([(1, " ".join(["aa"] + ["bb", "cc"] * 300)), (2, "aa bb"), (3, "zz")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "bb cc"), (8, "cc bb")], "item_id long, text string")
+    found = collections.Counter((x.doc_id, x.item_id) for x in decontam.contaminated(docs, items).collect())
+    assert found == {(1, 7): 300, (1, 8): 299}
+    rows = decontam.contaminated(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.count("Generate explode") >= 1 and rows.count("split(lower(") <= 2  # the documents' words, and the items'
+
+
+@pytest.mark.parametrize("n", [0, 1, 100_000, 3_300_000])
+def test_the_filter_grows_with_the_seeds(spark, n):
+    cells = decontam.cells_for(n)
+    assert 2**decontam.LEAST_CELLS <= 2**cells <= 2**decontam.MOST_CELLS
+    if n <= 100_000:
+        seeds = spark.range(n).select(F.xxhash64("id").alias("seed"))
+        table = spark.range(1).select(decontam.bit_filter(seeds, cells).alias("t")).first().t
+        assert len(table) == 2**cells and sum((x & (2**64 - 1)).bit_count() for x in table) <= 64 * 2**cells / 2
+        assert seeds.where(decontam.maybe(decontam.bit_filter(seeds, cells), "seed", cells)).count() == n
+    assert 1 - np.exp(-2 * n / (64 * 2**cells)) < 0.5
+
+
+def test_kept_is_the_equality_of_the_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, f"{text} more"), (2, text), (None, f"{text} end")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = sorted(((x.doc_id, x.component_id, x.kept) for x in neardup.groups(docs).collect()), key=str)
+    assert found == sorted([(1, 1, True), (1, 1, True), (2, 1, False), (None, 1, False)], key=str)
+    assert len(neardup.keep_one(docs).collect()) == 1
+
+
 def test_near_duplicates_judge_rows_with_null_or_repeated_ids_one_by_one(spark):
     r = random.Random(9)
     text = lambda: " ".join(f"w{r.randrange(5000)}" for _ in range(100))
