@@ -1,11 +1,12 @@
-"""Counts by period, category and geography, from a rollup where the span is whole
-months and from the rows otherwise, by one plan that differs in its source only."""
+"""Counts by period, category and geography: whole months from a rollup, other days from the
+rows, by one plan that differs in its source only."""
 
 from __future__ import annotations
 
 from calendar import monthrange
 from dataclasses import dataclass
-from datetime import date
+from datetime import date, timedelta
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,15 @@ class Request:
     def whole_months(self) -> bool:
         return self.start.day == 1 and self.end.day == monthrange(self.end.year, self.end.month)[1]
 
+    def parts(self) -> tuple[tuple[date, date] | None, list[tuple[date, date]]]:
+        """The whole months of the span, if there are any, and the days before and after them."""
+        first = self.start if self.start.day == 1 else (self.start.replace(day=28) + timedelta(days=4)).replace(day=1)
+        last = self.end if (self.end + timedelta(days=1)).day == 1 else self.end.replace(day=1) - timedelta(days=1)
+        if first > last:
+            return None, [(self.start, self.end)]
+        edges = [(self.start, first - timedelta(days=1)), (last + timedelta(days=1), self.end)]
+        return (first, last), [(a, b) for a, b in edges if a <= b]
+
     @property
     def dims(self) -> list[str]:
         geography = GEOGRAPHIES[self.level]
@@ -61,10 +71,24 @@ def from_rollup(rollup: DataFrame, request: Request) -> DataFrame:
     return _grouped(rollup.where(months_in_span(request.start, request.end)), request, "month", summed())
 
 
+def from_both(incidents: DataFrame, rollup: DataFrame, request: Request) -> DataFrame:
+    """Whole months from the rollup and the days at both ends, less than two months of rows,
+    from the incidents, added."""
+    months, edges = request.parts()
+    days = reduce(lambda a, b: a | b, (in_span(incidents, *edge) for edge in edges), F.lit(False))
+    found = _grouped(incidents.where(days), request, "date", counted())
+    if months:
+        found = found.unionByName(_grouped(rollup.where(months_in_span(*months)), request, "month", summed()))
+    return found.groupBy(*request.dims).agg(*summed())
+
+
 def aggregate(incidents: DataFrame, rollups: dict[str, DataFrame], request: Request) -> DataFrame:
-    """All groups, with rates."""
+    """All groups, with rates: from the level's rollup where there is one, but for days beside whole months."""
     table = rollups.get(request.level)
-    found = from_rollup(table, request) if table is not None and request.whole_months else from_rows(incidents, request)
+    if table is None:
+        found = from_rows(incidents, request)
+    else:
+        found = from_rollup(table, request) if request.whole_months else from_both(incidents, table, request)
     return found.withColumns({"arrest_rate": rate(F.col("arrests"), F.col("incidents")), "geocode_rate": rate(F.col("geocoded"), F.col("incidents"))})
 
 
@@ -98,4 +122,4 @@ def geocode_coverage(rollup: DataFrame, taxonomy: str = "source", start: date |
     return found.withColumn("geocode_rate", rate(F.col("geocoded"), F.col("incidents")))
 
 
-__all__ = ["MEASURES", "Request", "aggregate", "from_rollup", "from_rows", "geocode_coverage", "ordered", "with_edges"]
+__all__ = ["MEASURES", "Request", "aggregate", "from_both", "from_rollup", "from_rows", "geocode_coverage", "ordered", "with_edges"]

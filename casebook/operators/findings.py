@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casebook.functions.columns import period
@@ -97,14 +97,33 @@ def checked(df: DataFrame) -> DataFrame:
     return df
 
 
-def gaps(rollup: DataFrame, words: DataFrame, start: date, end: date, grain: str, level: str, taxonomy: str = "source") -> DataFrame:
-    """period, category and value of a geography for which valid filters match nothing."""
-    step = {"month": "1 MONTH", "quarter": "3 MONTH", "year": "1 YEAR"}[grain]
+def gap_ranges(rollup: DataFrame, words: DataFrame, start: date, end: date, grain: str, level: str, taxonomy: str = "source") -> DataFrame:
+    """category, value of a geography, first_period, last_period and n_periods: the longest ranges of
+    periods in which valid filters match nothing. A pair that occurs has its gaps between the
+    periods before and after; the values that a category never meets are all values less those
+    it meets, and have one range."""
+    months = {"month": 1, "quarter": 3, "year": 12}[grain]
     geography = GEOGRAPHIES[level]
-    periods = F.sequence(F.trunc(F.lit(start), grain), F.lit(end), F.expr(f"INTERVAL {step}"))
+    began, number = F.trunc(F.lit(start), grain), lambda day: F.floor(F.months_between(day, began) / months).cast("int")
+    last = F.floor(F.months_between(F.trunc(F.lit(end), grain), began) / months).cast("int")
     categories = words.where((F.col("dimension") == "category") & (F.col("taxonomy") == taxonomy)).select(F.col("value").alias("category"))
-    values = words.where(F.col("dimension") == level).select(F.col("value").alias(geography))
-    # every valid combination is asked for, so the frame is the product of two vocabularies
-    frame = categories.crossJoin(values).withColumn("period", F.explode(periods))
-    have = rollup.select(period(F.col("month"), grain).alias("period"), F.col(TAXONOMIES[taxonomy]).alias("category"), F.col(geography).cast("string").alias(geography))
-    return frame.join(have, ["period", "category", geography], "left_anti")
+    values = words.where(F.col("dimension") == level).agg(F.collect_set("value")).scalar()  # a vocabulary, not rows
+    have = rollup.select(F.col(TAXONOMIES[taxonomy]).alias("category"), F.col(geography).cast("string").alias(geography), number(period(F.col("month"), grain)).alias("k"))
+    have = have.where(F.col(geography).isNotNull() & F.col("k").between(0, last)).join(categories, "category", "left_semi").distinct()
+    pair = Window.partitionBy("category", geography).orderBy("k")
+    before = F.coalesce(F.lag("k").over(pair), F.lit(-1)) + 1
+    between = have.select("category", geography, before.alias("a"), (F.col("k") - 1).alias("b"))
+    behind = have.groupBy("category", geography).agg((F.max("k") + 1).alias("a")).withColumn("b", last)
+    met = have.groupBy("category").agg(F.collect_set(geography).alias("met"))
+    never = categories.join(met, "category", "left").select("category", F.explode(F.array_except(values, F.coalesce("met", F.array().cast("array<string>")))).alias(geography))
+    never = never.withColumns({"a": F.lit(0), "b": last})
+    found = between.unionByName(behind).unionByName(never).where("a <= b")
+    day = lambda k: F.add_months(began, F.col(k) * months)
+    return found.select("category", geography, day("a").alias("first_period"), day("b").alias("last_period"), (F.col("b") - F.col("a") + 1).alias("n_periods"))
+
+
+def gaps(rollup: DataFrame, words: DataFrame, start: date, end: date, grain: str, level: str, taxonomy: str = "source") -> DataFrame:
+    """period, category and value of a geography for which valid filters match nothing: every period of `gap_ranges`."""
+    step = {"month": "1 MONTH", "quarter": "3 MONTH", "year": "1 YEAR"}[grain]
+    found = gap_ranges(rollup, words, start, end, grain, level, taxonomy)
+    return found.select(F.explode(F.sequence("first_period", "last_period", F.expr(f"INTERVAL {step}"))).alias("period"), "category", GEOGRAPHIES[level])

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casebook.functions.geo import RINGS, cell, columns_of, cover, distance_m, in_box, level, ring, row_of, side, span_lat, span_lon, turn_of
+from casebook.functions.curve import in_stretches, stretches
+from casebook.functions.geo import DEGREE_M, RINGS, cell, columns_of, cover, distance_m, in_box, level, ring, row_of, side, span_lat, span_lon, turn_of
 from casebook.sources.schema import TAXONOMIES
 from casebook.sources.storage import cut
 
@@ -23,10 +26,21 @@ def with_point(df: DataFrame) -> DataFrame:
     return df.withColumns({"latitude": lat, "longitude": lon}).withColumns({"cell_lat": cell(F.col("latitude")), "cell_lon": cell(F.col("longitude"))})
 
 
+def circle(lat: float, lon: float, radius: float, most: int = 16) -> list[tuple[int, int]]:
+    """The stretches of the curve that hold a circle, across longitude 180 those of both sides."""
+    high = radius / DEGREE_M
+    edge = abs(lat) + high
+    wide = 180.0 if edge >= 90 else min(180.0, radius / (DEGREE_M * math.cos(math.radians(edge))))
+    sides = [(-180.0, 180.0)] if wide >= 180 else [(max(a, -180.0), min(b, 180.0)) for a, b in ((lon - wide + turn, lon + wide + turn) for turn in (-360, 0, 360)) if a <= 180 and b >= -180]
+    return [s for west, east in sides for s in stretches(lat - high, lat + high, west, east, most)]
+
+
 def within(df: DataFrame, lat: float, lon: float, radius: float) -> DataFrame:
-    """Rows at most `radius` metres from a point, with distance_m. Rows without coordinates are never within."""
+    """Rows at most `radius` metres from a point, with distance_m. Rows without coordinates are never
+    within. A table laid out by place is read where the circle's stretches of the curve are."""
     at, to, r = F.lit(lat), F.lit(lon), F.lit(float(radius))
-    rows = df.where(in_box(at, to, r)).withColumn("distance_m", distance_m(F.col("latitude"), F.col("longitude"), at, to))
+    rows = df.where(in_stretches("place", circle(lat, lon, radius))) if "place" in df.columns else df
+    rows = rows.where(in_box(at, to, r)).withColumn("distance_m", distance_m(F.col("latitude"), F.col("longitude"), at, to))
     return rows.where(F.col("distance_m") <= r)
 
 

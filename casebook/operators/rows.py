@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 from datetime import datetime
 
@@ -55,6 +56,37 @@ def page_boundaries(df: DataFrame, size: int, filters: dict) -> DataFrame:
     return found.select("page", "n_rows", F.col("f.date").alias("first_date"), F.col("f.id").alias("first_id"), F.col("l.date").alias("last_date"), F.col("l.id").alias("last_id"), F.sha2(F.lit(filter_text(filters)), 256).alias("filter_hash"))
 
 
+#: Rows from one entry of a stored page index to the next.
+EVERY = 10_000
+
+
+def store_pages(df: DataFrame, path: str, filters: dict, every: int = EVERY) -> None:
+    """A sparse index of the newest-first order of filtered rows: the keys of every stretch of `every` rows."""
+    page_boundaries(df, every, filters).withColumn("every", F.lit(every)).coalesce(1).write.mode("overwrite").parquet(path)  # an entry for many rows
+
+
+def stored_page(df: DataFrame, path: str, filters: dict, page: int, size: int = 50) -> DataFrame:
+    """A page of a stored order, counted from 0, by a seek: the index tells between which keys it
+    lies, and only rows from there are read and sorted, at most two stretches for pages no
+    larger than one. An error if the index is of other filters; no rows beyond the last page."""
+    index = df.sparkSession.read.parquet(path)
+    told = index.select("every", "filter_hash").first()
+    if told is None:
+        return df.limit(0)
+    if told.filter_hash != hashlib.sha256(filter_text(filters).encode()).hexdigest():
+        raise ValueError("the index belongs to other filters")
+    first = page * size
+    ends = index.where(F.col("page").between(first // told.every, (first + size - 1) // told.every))
+    key = ends.agg(F.max(F.struct("first_date", "first_id")).alias("high"), F.min(F.struct("last_date", "last_id")).alias("low")).first()
+    if key.high is None:
+        return df.limit(0)
+    high, low = (F.lit(x).cast("timestamp_ntz") for x in (key.high.first_date, key.low.last_date))
+    inside = (F.col("date") <= high) & (F.col("date") >= low) & ((F.col("date") < high) | (F.col("id") <= key.high.first_id)) & ((F.col("date") > low) | (F.col("id") >= key.low.last_id))
+    if "year" in df.columns:  # partitions are pruned by it
+        inside = inside & F.col("year").between(key.low.last_date.year, key.high.first_date.year)
+    return df.where(inside).orderBy(F.desc("date"), F.desc("id")).offset(first % told.every).limit(size)
+
+
 def shared_case_numbers(df: DataFrame) -> DataFrame:
     """Case numbers that cover several rows."""
     return df.groupBy("case_number").agg(F.count("*").alias("n_rows")).where("n_rows > 1")

@@ -165,6 +165,16 @@ def agg11_col19_ward_quarters_scan(spark, d):
     return A.aggregate(inc(spark, d), {}, BY_WARD)
 
 
+RAGGED = "date >= timestamp '1996-03-10' AND date < timestamp '1998-06-21'"
+
+
+@query(f"SELECT *, {RATES} FROM (SELECT CAST(date_trunc('month', date) AS DATE) AS period, primary_type_canonical AS category, ward, {COUNTED} FROM incidents WHERE {RAGGED} GROUP BY ALL)")
+def agg10_agg11_ragged_span(spark, d):
+    """Whole months from the stored rollup, the days at both ends from the stored rows."""
+    request = A.Request(date(1996, 3, 10), date(1998, 6, 20), level="ward")
+    return A.aggregate(storage.read_incidents(spark, stored(spark, d)), {"ward": published(spark, d, "ward")}, request)
+
+
 @query(f"SELECT CAST(date_trunc('month', date) AS DATE) AS period, beat, {COUNTED} FROM incidents WHERE date >= timestamp '1997-03-10' AND date < timestamp '1997-06-21' AND beat IN ('0111', '0010') GROUP BY ALL")
 def agg12_13_total_by_beat(spark, d):
     request = A.Request(date(1997, 3, 10), date(1997, 6, 20), level="beat", geographies=("111", "10"), by_category=False)
@@ -292,6 +302,15 @@ def sort04_rows_in_radius(spark, d):
     return rows.newest(_near(spark, d)).select("id", "date", "iucr")
 
 
+@query(f", {NEAR} SELECT id, round(distance_m, 3) AS distance_m FROM near")
+def flt07_by_place(spark, d):
+    """The rows of a circle from a table laid out along a curve."""
+    root = storage.new_folder(spark, "places")
+    storage.write_by_place(inc(spark, d), root)
+    near = radius.within(storage.read_incidents(spark, root), *POINT)
+    return near.select("id", F.round("distance_m", 3).alias("distance_m"))
+
+
 POINTS_SQL = "points AS (SELECT s_suppkey AS point_id, 41.65E0 + (s_suppkey % 37) / 100E0 AS lat, -87.93E0 + (s_suppkey % 41) / 100E0 AS lon, 300.0E0 + 100 * (s_suppkey % 12) AS radius FROM supplier)"
 
 
@@ -363,19 +382,15 @@ def flt11_geocoded(spark, d):
     return inc(spark, d).where(P.geocoded()).select("id", "latitude")
 
 
-@query("SELECT id, case_number, date, iucr, primary_type, arrest, domestic, beat, district, ward, community_area, latitude, longitude, primary_type_canonical, stable_category FROM incidents ORDER BY date DESC, id DESC LIMIT 51")
+@query("""SELECT id, case_number, date, block, description, location_description, arrest, domestic, beat, district, ward, community_area, latitude, longitude, primary_type_canonical, stable_category
+FROM records ORDER BY date DESC, id DESC LIMIT 51""")
 def col15_sort02_newest(spark, d):
-    return rows.projected(rows.newest(inc(spark, d)))
+    return rows.projected(rows.newest(standin.records(inc(spark, d))))
 
 
-LACKING = ("block", "description", "location_description", "fbi_code")
-
-
-@query("SELECT *, " + ", ".join(f"CAST(NULL AS VARCHAR) AS {c}" for c in LACKING) + ", CAST(NULL AS DOUBLE) AS x_coordinate, CAST(NULL AS DOUBLE) AS y_coordinate FROM incidents WHERE arrest AND date >= timestamp '2001-01-01'")
+@query("SELECT * FROM records WHERE arrest AND date >= timestamp '2001-01-01'")
 def col15_full_record(spark, d):
-    found = inc(spark, d).where("arrest AND date >= timestamp '2001-01-01'")
-    found = found.withColumns({c: F.lit(None).cast("string") for c in LACKING} | {c: F.lit(None).cast("double") for c in ("x_coordinate", "y_coordinate")})
-    return rows.projected(found, full=True)
+    return rows.projected(standin.records(inc(spark, d)).where("arrest AND date >= timestamp '2001-01-01'"), full=True)
 
 
 @query("SELECT id, date FROM incidents WHERE date < timestamp '1997-06-15' OR date = timestamp '1997-06-15' AND id < 9000 ORDER BY date DESC, id DESC LIMIT 51")
@@ -404,6 +419,15 @@ def win03_page_boundaries(spark, d):
     return rows.page_boundaries(inc(spark, d).where(P.in_categories("source", FILTERS["categories"])), 50, FILTERS)
 
 
+@query("SELECT id, date FROM incidents WHERE primary_type_canonical = 'HIGH' ORDER BY date DESC, id DESC LIMIT 20 OFFSET 140")
+def win03_flt08_stored_page(spark, d):
+    """The eighth page of 20, by a seek in a stored index of every 64th key."""
+    df, path = storage.read_incidents(spark, stored(spark, d)), storage.new_folder(spark, "pages")
+    found = df.where(P.in_categories("source", FILTERS["categories"]))
+    rows.store_pages(found, path, FILTERS, every=64)
+    return rows.stored_page(found, path, FILTERS, 7, 20).select("id", "date")
+
+
 @query("SELECT case_number, count(*) AS n_rows FROM incidents GROUP BY 1 HAVING count(*) > 1")
 def qual06_shared_case_numbers(spark, d):
     return rows.shared_case_numbers(inc(spark, d))
@@ -425,6 +449,13 @@ def qual07_gaps(spark, d):
     return findings.gaps(published(spark, d, "ward"), _words(spark, d), *SPAN, "month", "ward")
 
 
+@query(f""", {GAPS}, missing AS (SELECT period, category, ward, datediff('month', DATE '1996-01-01', period) AS k FROM frame WHERE NOT EXISTS (SELECT 1 FROM incidents WHERE {MONTH} = period AND primary_type_canonical = category AND CAST(incidents.ward AS string) = frame.ward)),
+islands AS (SELECT *, k - row_number() OVER (PARTITION BY category, ward ORDER BY k) AS g FROM missing)
+SELECT category, ward, min(period) AS first_period, max(period) AS last_period, CAST(count(*) AS INTEGER) AS n_periods FROM islands GROUP BY category, ward, g""")
+def qual07_gap_ranges(spark, d):
+    return findings.gap_ranges(published(spark, d, "ward"), _words(spark, d), *SPAN, "month", "ward")
+
+
 UNKNOWN = "unknown AS (SELECT value, count(*) AS n_rows FROM (SELECT substr(o_orderpriority, 3) || CASE WHEN o_orderkey % 2 = 0 THEN 'E' ELSE '' END AS value FROM orders) WHERE value NOT IN (SELECT value FROM words WHERE taxonomy = 'source') GROUP BY 1)"
 
 

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-from casebook.plans.standin import CHANGED, CODES, OLD_CODES, RAW, VIEW
+from casebook.plans.standin import CHANGED, CODES, OLD_CODES, RAW, RECORDS, VIEW
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-_WITH = f"WITH incidents AS ({VIEW}),\nraw AS ({RAW}),\ncodes AS ({CODES}),\nold_codes AS ({OLD_CODES}),\nchanged AS ({CHANGED})\n"
+_WITH = f"WITH incidents AS ({VIEW}),\nraw AS ({RAW}),\ncodes AS ({CODES}),\nold_codes AS ({OLD_CODES}),\nchanged AS ({CHANGED}),\nrecords AS ({RECORDS})\n"
 
 
 def query(sql: str | None = None):
     """Registers a function under its name. sql: a SELECT, or `, name AS (...) SELECT`, over
-    incidents, raw, codes, old_codes and changed."""
+    incidents, raw, codes, old_codes, changed and records."""
 
     def add(function):
         QUERIES[function.__name__] = function

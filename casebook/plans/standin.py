@@ -62,6 +62,13 @@ SELECT id, case_number, CASE WHEN id % 1100 = 7 THEN NULL WHEN id % 300 = 7 THEN
   iucr, 'CHANGED' AS primary_type, primary_type_canonical, stable_category, beat, district, ward, community_area, NOT arrest AS arrest, domestic, latitude, longitude
 FROM incidents WHERE id % 100 = 7
 """
+#: Incidents with the columns that only whole records have.
+RECORDS = """
+SELECT *, lpad(cast(id % 1000 AS string), 3, '0') || 'XX N ' || primary_type_canonical || ' ST' AS block, 'CODE ' || iucr AS description,
+  CASE WHEN id % 7 = 0 THEN NULL ELSE 'STREET ' || cast(id % 5 AS string) END AS location_description, substr(iucr, 1, 2) AS fbi_code,
+  longitude * 1000 AS x_coordinate, latitude * 1000 AS y_coordinate
+FROM incidents
+"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,6 +103,10 @@ def changed(inc: DataFrame) -> DataFrame:
     return derived(inc, CHANGED)
 
 
+def records(inc: DataFrame) -> DataFrame:
+    return derived(inc, RECORDS)
+
+
 def feed(df: DataFrame) -> DataFrame:
     """Rows as received: all text, without what is derived."""
     return df.select(*(F.col(c).cast("string") for c in df.columns if c not in DERIVED))

@@ -34,7 +34,8 @@ TEXTS = tuple(f.name for f in INCIDENTS if f.dataType == _string)
 
 #: Projections of row results.
 FULL = tuple(f.name for f in INCIDENTS)
-COMPACT = tuple(c for c in FULL if c not in ("fbi_code", "x_coordinate", "y_coordinate", "updated_on", "description", "block"))
+#: Without the codes and labels that the two taxonomies replace, the second pair of coordinates and the time of the update.
+COMPACT = tuple(c for c in FULL if c not in ("iucr", "primary_type", "fbi_code", "x_coordinate", "y_coordinate", "updated_on"))
 
 #: Category column of each taxonomy; geography column of each level (none for citywide).
 TAXONOMIES = {"source": "primary_type_canonical", "comparable": "stable_category"}

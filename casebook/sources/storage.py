@@ -9,11 +9,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from casebook.functions.curve import place
 from casebook.operators.findings import checked
 from casebook.sources.schema import CODES, RAW
 
-#: Rows of a file, so that scans can be split and skipped.
-ROWS_PER_FILE = 5_000_000
+#: Rows of a file and of a row group in it, so that scans can be split and skipped.
+ROWS_PER_FILE, ROWS_PER_GROUP = 5_000_000, 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -142,7 +143,16 @@ def write_incidents(df: DataFrame, root: str, keep_index: bool = False) -> None:
     if not keep_index:
         remove(df.sparkSession, index_of(root))
     writer = stored_order(df).write.partitionBy("year").mode("overwrite").option("partitionOverwriteMode", "dynamic")
-    writer.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(root)
+    writer.option("maxRecordsPerFile", ROWS_PER_FILE).option("parquet.block.row.count.limit", ROWS_PER_GROUP).parquet(root)
+
+
+def write_by_place(df: DataFrame, root: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Overwrites the years that the rows have, laid out by place and not by date: a column
+    `place` is added, and rows are ranged by it within the year and sorted so within files."""
+    rows = df.withColumns({"year": F.year("date"), "place": place(F.col("latitude"), F.col("longitude"))})
+    rows = rows.repartitionByRange("year", "place", "id").sortWithinPartitions("year", "place", "id")
+    writer = rows.write.partitionBy("year").mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.option("maxRecordsPerFile", rows_per_file).option("parquet.block.row.count.limit", ROWS_PER_GROUP).parquet(root)
 
 
 def full_refresh(df: DataFrame, table: str) -> DataFrame:

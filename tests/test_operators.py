@@ -9,12 +9,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from casebook.functions import columns as C
-from casebook.functions import geo
+from casebook.functions import curve, geo
 from casebook.functions import predicates as P
 from casebook.operators import aggregate as A
 from casebook.operators import drift, findings, ids, merge, radius, rollups, rows, taxonomy
 from casebook.sources import storage
-from casebook.sources.schema import INCIDENTS
+from casebook.sources.schema import INCIDENTS, RAW
+from casebook.streaming import sync
 
 DEFAULTS = {
     "id": 1, "case_number": "JF100001", "date": datetime(2025, 1, 1, 3), "block": "001XX N STATE ST", "iucr": "0486", "primary_type": "BATTERY",
@@ -456,3 +457,110 @@ def test_nearest_has_a_cap(spark, base):
 def test_no_distance_without_coordinates(base):
     found = {r.id: r.d for r in base.select("id", geo.distance_m(F.col("latitude"), F.col("longitude"), F.lit(41.8), F.lit(-87.6)).alias("d")).collect()}
     assert found[4] is None and all(d is not None for i, d in found.items() if i != 4)
+
+
+def test_row_groups_are_capped(spark, monkeypatch):
+    import pyarrow.parquet as pq
+
+    monkeypatch.setattr(storage, "ROWS_PER_GROUP", 300)
+    root = storage.new_folder(spark, "t")
+    storage.write_incidents(table(spark, {"id": 1}).withColumn("id", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(2000).cast("long")))), root)
+    groups = [f.metadata.row_group(i).num_rows for f in map(pq.ParquetFile, (x.removeprefix("file:") for x in spark.read.parquet(root).inputFiles())) for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) == 2000 and max(groups) <= 300
+
+
+def test_the_compact_record_has_the_two_taxonomies(base):
+    assert rows.projected(base).columns == [c for c in INCIDENTS.names if c not in ("iucr", "primary_type", "fbi_code", "x_coordinate", "y_coordinate", "updated_on")]
+    assert len(rows.projected(base).columns) == 16 and rows.projected(base, full=True).columns == INCIDENTS.names
+
+
+@pytest.mark.parametrize("start,end", [((2024, 1, 5), (2025, 3, 1)), ((2024, 1, 31), (2024, 2, 1)), ((2024, 1, 2), (2024, 1, 30)), ((2024, 1, 1), (2024, 2, 1)), ((2024, 1, 31), (2024, 2, 29)), ((2023, 12, 31), (2025, 3, 31))])
+def test_ragged_spans_equal_the_scan(base, start, end):
+    request = A.Request(date(*start), date(*end), "month", "source", "ward")
+    scan = {tuple(r) for r in A.aggregate(base, {}, request).collect()}
+    assert scan == {tuple(r) for r in A.aggregate(base, {"ward": rollups.rollup(base, "ward")}, request).collect()}
+    months, edges = request.parts()
+    days = sum((b - a).days + 1 for a, b in edges)
+    assert days <= 61 and (months is None or months[0].day == 1)
+
+
+def test_gap_ranges_name_every_empty_period_once(spark):
+    df = table(spark, *({"id": i, "date": datetime(2020 + m // 12, m % 12 + 1, 3), "primary_type_canonical": c, "ward": w} for i, (m, c, w) in enumerate([(0, "A", 1), (1, "A", 1), (5, "A", 1), (11, "A", 2), (3, "B", 2), (3, "B", 2), (20, "C", 3), (4, "C", None)])))
+    words_ = spark.createDataFrame([("category", "source", c) for c in "ABC"] + [("ward", None, str(w)) for w in (1, 2, 3)], "dimension string, taxonomy string, value string")
+    for grain in ("month", "quarter", "year"):
+        args = rollups.rollup(df, "ward"), words_, date(2020, 2, 1), date(2021, 6, 30), grain, "ward"
+        every = [tuple(r) for r in findings.gaps(*args).collect()]
+        start = {"month": lambda d: d.replace(day=1), "quarter": lambda d: d.replace(day=1, month=(d.month - 1) // 3 * 3 + 1), "year": lambda d: d.replace(day=1, month=1)}[grain]
+        step = {"month": 1, "quarter": 3, "year": 12}[grain]
+        periods, p = [], start(date(2020, 2, 1))
+        while p <= date(2021, 6, 30):
+            periods.append(p)
+            p = date(p.year + (p.month - 1 + step) // 12, (p.month - 1 + step) % 12 + 1, 1)
+        have = {(start(r.date.date()), r.primary_type_canonical, str(r.ward)) for r in df.collect()}
+        assert len(every) == len(set(every)) and set(every) == {(p, c, w) for p in periods for c in "ABC" for w in "123"} - have
+        plan = findings.gap_ranges(*args)._jdf.queryExecution().executedPlan().toString()
+        assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+
+
+def test_a_replayed_batch_adds_nothing(spark, base, monkeypatch):
+    root, landing, report = (storage.new_folder(spark, n) for n in ("t", "landing", "report"))
+    storage.write_incidents(base.fillna("0110", ["iucr"]), root)
+    new = table(spark, {"id": 1, "updated_on": datetime(2026, 1, 1)}, {"id": 50, "date": datetime(1990, 1, 1)}, {"id": 51, "date": None}, {"id": 52, "date": datetime(1990, 1, 1)})
+    new.drop("primary_type_canonical", "stable_category").select(*(F.col(c).cast("string") for c in RAW.names)).coalesce(1).write.json(landing)
+    codes = spark.createDataFrame([], "iucr string, primary_description string, stable_category string")
+    calls = []
+    real = sync.merge_into
+    monkeypatch.setattr(sync, "merge_into", lambda *a: calls.append(1) or real(*a))
+    for _ in range(3):  # other checkpoints number the same batch alike
+        sync.sync_stream(spark, landing, root, codes, storage.new_folder(spark, "stream"), report=report).awaitTermination()
+        assert {(r.year, r.status): r.n_rows for r in sync.batches(spark, report).collect()} == {(2025, "applied"): 1, (1990, "skipped"): 2, (None, "rejected"): 1}
+        assert sorted((r.id, r.status) for r in sync.unmerged(spark, report).collect()) == [(50, "skipped"), (51, "rejected"), (52, "skipped")]
+    assert len(calls) == 1
+
+
+@pytest.mark.parametrize("size,every", [(7, 20), (20, 20), (50, 20)])
+def test_stored_pages_are_those_of_the_whole_order(spark, size, every):
+    root, path = storage.new_folder(spark, "t"), storage.new_folder(spark, "pages")
+    storage.write_incidents(table(spark, *({"id": i, "date": datetime(2015 + i % 4, 1 + i % 12, 1 + i % 5)} for i in range(230))), root)
+    df = storage.read_incidents(spark, root)
+    rows.store_pages(df, path, {"a": 1}, every)
+    order = [r.id for r in df.orderBy(F.desc("date"), F.desc("id")).select("id").collect()]
+    for page in (0, 1, 5, 230 // size, 230 // size + 1, 1000):
+        found = rows.stored_page(df, path, {"a": 1}, page, size)
+        assert [r.id for r in found.collect()] == order[page * size : (page + 1) * size]
+    plan = rows.stored_page(df, path, {"a": 1}, 3, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(year" in plan and "LessThanOrEqual(date" in plan and "GreaterThanOrEqual(date" in plan
+    with pytest.raises(ValueError):
+        rows.stored_page(df, path, {"a": 2}, 0)
+
+
+def test_a_circle_is_read_from_few_files_of_a_table_by_place(spark):
+    root = storage.new_folder(spark, "t")
+    df = table(spark, {"id": 1}).select(*(c for c in INCIDENTS.names if c not in ("id", "latitude", "longitude")), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3999).cast("long"))).alias("id"))
+    df = df.withColumns({"latitude": 41.6 + (F.col("id") * 37 % 4001) / 10000, "longitude": -87.9 + (F.col("id") * 101 % 4003) / 10000})
+    storage.write_by_place(df.coalesce(1), root, rows_per_file=50)
+    stored_ = storage.read_incidents(spark, root)
+    n_files = len(stored_.inputFiles())
+    for lat, lon, r in ((41.8, -87.7, 800.0), (41.61, -87.89, 2000.0), (0.0, 0.0, 1000.0)):
+        near = radius.within(stored_, lat, lon, r)
+        assert {x.id for x in near.select("id").collect()} == {x.id for x in radius.within(df, lat, lon, r).select("id").collect()}
+        low = stored_.groupBy(F.col("_metadata.file_path").alias("f")).agg(F.min("place").alias("a"), F.max("place").alias("b")).collect()
+        met = sum(any(x.a <= b and a <= x.b for a, b in radius.circle(lat, lon, r)) for x in low)
+        assert met <= n_files / 4  # files whose range of places a stretch meets; the scan skips the others by their statistics
+        spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
+        plan = radius.within(stored_, lat, lon, r)._jdf.queryExecution().executedPlan().toString()
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+        assert "GreaterThanOrEqual(place" in plan.split("PushedFilters: ")[1]
+
+
+def test_stretches_hold_their_rectangle(spark):
+    r = random.Random(2)
+    for _ in range(40):
+        lat, lon, m = r.uniform(-90, 90), r.uniform(-180, 180), 10 ** r.uniform(1, 6.5)
+        found = radius.circle(lat, lon, m)
+        assert len(found) <= 32 and all(a <= b for a, b in found)
+        near = [(max(-90.0, min(90.0, lat + r.gauss(0, m / 1e5))), (lon + r.gauss(0, m / 1e5) + 180) % 360 - 180) for _ in range(200)]
+        df = spark.createDataFrame(near, "latitude double, longitude double")
+        inside = df.where(geo.distance_m(F.col("latitude"), F.col("longitude"), F.lit(lat), F.lit(lon)) <= m)
+        told = inside.withColumn("p", curve.place(F.col("latitude"), F.col("longitude"))).select(curve.in_stretches("p", found).alias("x"))
+        assert all(x.x for x in told.collect())
