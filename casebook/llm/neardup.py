@@ -8,7 +8,8 @@ visit an element, for long documents.
 
 Links: rows with equal sets are one class, a node, represented by the text of one row;
 only nodes are compared. Bands of the signature make buckets, and buckets with the
-same smallest member, their centre, make a group. Every member is compared with the
+same smallest member, their centre, make a group. Small sets, of which a link leaves out one
+element, also meet by the fingerprint of the set without it, so none of their links is missed. Every member is compared with the
 centre, and then with a second one, the member nearest to the first. In a group of near
 copies that joins most members, at the cost of two comparisons each.
 
@@ -43,7 +44,8 @@ from casebook.llm.components import components
 from casebook.llm.words import Shingles, mix
 
 #: A pair of similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** ROWS) ** BANDS, all but 7 in a million
-#: if bands are independent; of pairs that share 4 of 5 shingles 46 in a million were missed in simulation.
+#: if bands are independent; of pairs that share 4 of 5 shingles 46 in a million were missed in simulation, which is
+#: why small sets meet by fingerprints too.
 BANDS, ROWS = 30, 5
 #: Slots of a signature: a prime, so that a start and a step order all of them.
 SLOTS = 151
@@ -80,8 +82,16 @@ def band_keys(best: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, r1, r2, n_shingles, fp1 and fp2 (a 128-bit fingerprint of the set) and bands (null for an empty set)."""
+def small_sizes(percent: int) -> tuple[int, int]:
+    """Sizes of sets of which a link leaves out exactly one element: with fewer only equal sets are
+    linked, and from 2 / (1 - similarity) on a pair may differ by two."""
+    return (1, 0) if percent >= 100 else (-(-100 // (100 - percent)), -(-200 // (100 - percent)) - 1)
+
+
+def sketches(docs: DataFrame, k: int, percent: int = 80) -> DataFrame:
+    """doc_id, r1, r2, n_shingles, fp1 and fp2 (a 128-bit fingerprint of the set, a sum over its elements),
+    bands (null for an empty set) and, for sets of small sizes, less: the fingerprints of the set without each element."""
+    least, most = small_sizes(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,18 +99,26 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 both, bounds = Shingles(*flat(part.column("text")), k).elements()
                 elements = both[:, 0].copy()
                 sizes = np.diff(bounds)
-                sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(both[:, i] ^ np.uint64(salt)))))[bounds] for i, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))]
-                fp = [pa.array((s[1:] - s[:-1]).view(np.int64)) for s in sums]
+                parts = [mix(both[:, i] ^ np.uint64(salt)) for i, salt in enumerate((0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))]
+                sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(x)))[bounds] for x in parts]
+                whole = [s[1:] - s[:-1] for s in sums]
+                fp = [pa.array(x.view(np.int64)) for x in whole]
+                small = (sizes >= least) & (sizes <= most)
+                of = np.repeat(np.arange(len(sizes)), sizes)
+                inside = small[of]
+                without = [pa.array((x[of] - y)[inside].view(np.int64)) for x, y in zip(whole, parts, strict=True)]
+                ends = pa.array(np.concatenate(([0], np.cumsum(small * sizes))).astype(np.int32))
+                less = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(without, ["fp1", "fp2"]), mask=pa.array(~small))
                 some = sizes > 0
                 keys = np.zeros((len(sizes), BANDS), np.int64)
                 if some.any():
                     keys[some] = band_keys(signatures(elements, np.concatenate((bounds[:1], bounds[1:][some])))).view(np.int64)
                 offsets = np.concatenate(([0], np.cumsum(some * BANDS))).astype(np.int32)
                 bands = pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys[some].ravel()), mask=pa.array(~some))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *ROW)), pa.array(sizes.astype(np.int64)), *fp, bands], names=["doc_id", *ROW, "n_shingles", "fp1", "fp2", "bands"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("doc_id", *ROW)), pa.array(sizes.astype(np.int64)), *fp, bands, less], names=["doc_id", *ROW, "n_shingles", "fp1", "fp2", "bands", "less"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, r1 long, r2 long, n_shingles long, fp1 long, fp2 long, bands array<bigint>")
+    return docs.mapInArrow(run, f"doc_id {kind}, r1 long, r2 long, n_shingles long, fp1 long, fp2 long, bands array<bigint>, less array<struct<fp1:bigint,fp2:bigint>>")
 
 
 #: Bytes of text whose shingles a Python step holds at a time.
@@ -215,17 +233,20 @@ def far_links(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def _judged(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """doc_id, r1, r2, n_shingles, component_id and kept, one row per row."""
+    """doc_id, r1, r2, n_shingles, component_id and is_first (the text of the component that `keep_one` keeps), one row per row."""
     r1, r2 = row_key(doc_id, text)
     one = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), r1.alias("r1"), r2.alias("r2"))
-    sketched = cut(sketches(one, k))
+    sketched = cut(sketches(one, k, percent))
     same = ["fp1", "fp2", "n_shingles"]
     # the first of a class: a null id comes last
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)).alias("best")
-    nodes = cut(sketched.where("n_shingles > 0").groupBy(*same).agg(best, F.first("bands").alias("bands")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = cut(sketched.where("n_shingles > 0").groupBy(*same).agg(best, F.first("bands").alias("bands"), F.first("less").alias("less")).withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select(F.col("node").alias("v"), F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u <> last").select("key", "u")
-    pairs = cut(members.join(buckets, "key").where("u <> v").select("u", "v").distinct())
+    pairs = members.join(buckets, "key").where("u <> v").select("u", "v")
+    # of small sets every pair that can be linked, by the fingerprint of the smaller one
+    larger = nodes.select(F.col("node").alias("v"), (F.col("n_shingles") - 1).alias("n_shingles"), F.explode("less").alias("l")).select("v", "n_shingles", "l.*")
+    pairs = cut(pairs.union(nodes.select(F.col("node").alias("u"), *same).join(larger, same).select("u", "v")).distinct())
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     needed = nodes.select("node", "best.r1", "best.r2").join(needed, "node", "left_semi")
     texts = cut(one.select(*ROW, "text").join(needed, ROW).select("node", "text").dropDuplicates(["node"]))
@@ -254,9 +275,8 @@ def _judged(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> Da
 
 
 def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (the smallest id reachable), kept (doc_id is component_id; null ids are equal) and
-    is_first (of the rows of that id and component, those of the one text that `keep_one` keeps), one row per row."""
-    return _judged(docs, k, percent, doc_id, text).drop(*ROW).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    """doc_id, n_shingles, component_id (the smallest id reachable) and kept (doc_id is component_id; null ids are equal), one row per row."""
+    return _judged(docs, k, percent, doc_id, text).drop(*ROW, "is_first").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -641,6 +641,22 @@ def test_the_filter_grows_with_the_seeds(spark, n):
     assert 1 - np.exp(-2 * n / (64 * 2**cells)) < 0.5
 
 
+def test_links_of_small_sets_do_not_rest_on_bands(spark):
+    """Sets of 5 to 9 shingles that differ by one: all pairs, and the pairs that are too far apart are not linked."""
+    r = random.Random(12)
+    rows = []
+    for i in range(6000):
+        n = r.randint(4, 10)  # words, so one shingle less
+        w = [f"x{r.randrange(10**9)}" for _ in range(n)]
+        rows += [(3 * i, " ".join(w)), (3 * i + 1, " ".join([*w, "end"])), (3 * i + 2, " ".join([*w[:-1], f"y{i}"]))]
+    found = {x.doc_id: x.component_id for x in neardup.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), k=2).collect()}
+    for i in range(6000):
+        n = len(rows[3 * i][1].split()) - 1
+        assert found[3 * i + 1] == (3 * i if 100 * n >= 80 * (n + 1) else 3 * i + 1)
+        assert found[3 * i + 2] == (3 * i if 100 * (n - 1) >= 80 * (n + 1) else 3 * i + 2)
+    assert neardup.small_sizes(80) == (5, 9) and neardup.small_sizes(50) == (2, 3) and neardup.small_sizes(100) == (1, 0)
+
+
 def test_kept_is_the_equality_of_the_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text), (1, f"{text} more"), (2, text), (None, f"{text} end")]
