@@ -63,9 +63,8 @@ class Index:
 
     def add(self, pairs: DataFrame, known: DataFrame) -> None:
         """Adds the pairs of id and year that `known` lacks."""
-        new = cut(pairs.where("id IS NOT NULL").select("id", F.col("year").cast("int").alias("year")).distinct().join(known, ["id", "year"], "left_anti"))
-        if new.limit(1).count():
-            _write(new, self.path, self.buckets, "append")
+        new = pairs.where("id IS NOT NULL").select("id", F.col("year").cast("int").alias("year")).distinct().join(known, ["id", "year"], "left_anti")
+        _write(new, self.path, self.buckets, "append")
 
     def forget(self, pairs: DataFrame) -> None:
         """Takes pairs off: their buckets are written anew, from a staging folder that is complete before."""

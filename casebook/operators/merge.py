@@ -76,7 +76,7 @@ def merge_into(spark: SparkSession, root: str, changed: DataFrame, rollups: str
         R.publish(spark, rollups, R.rebuilt(spark, rollups, select_years(read_incidents(spark, root), lost), lost))
     years = stored_years(spark, root)
     changed = cut(changed.drop("year"))
-    report = cut(merge_summary(changed, years))
+    report = merge_summary(changed, years)
     applied = status_of(changed, years).where("status = 'applied'").drop("status")
     pairs = cut(applied.select("id", "year").distinct())
     index = I.Index(spark, root)
@@ -90,7 +90,7 @@ def merge_into(spark: SparkSession, root: str, changed: DataFrame, rollups: str
     staged = spark.read.parquet(staging)
     staged = checked(staged) if strict else staged
     index.add(pairs, known)
-    now = cut(staged.join(pairs.select("id").distinct(), "id", "left_semi").withColumn("year", year_of()))
+    now = staged.join(pairs.select("id").distinct(), "id", "left_semi").withColumn("year", year_of())
     version = None
     if rollups:
         before = cut(old.join(pairs.select("id").distinct(), "id", "left_semi"))

@@ -54,14 +54,10 @@ def distinct_values(rollup: DataFrame, column: str) -> DataFrame:
 
 def vocabulary(rollups: dict[str, DataFrame]) -> DataFrame:
     """dimension, taxonomy, value and stable_over_time of all categories and geographies, from the rollups."""
-    parts = [
-        rollups["citywide"].select(F.lit("category").alias("dimension"), F.lit(t).alias("taxonomy"), F.col(c).alias("value"), F.lit(t == "comparable").alias("stable_over_time"))
-        for t, c in TAXONOMIES.items()
-    ]
-    parts += [
-        rollups[level].select(F.lit(level).alias("dimension"), F.lit(None).cast("string").alias("taxonomy"), F.col(c).cast("string").alias("value"), F.lit(level not in UNSTABLE).alias("stable_over_time"))
-        for level, c in GEOGRAPHIES.items() if c
-    ]
+    told = lambda dimension, taxonomy, value, stable: F.struct(F.lit(dimension).alias("dimension"), F.lit(taxonomy).cast("string").alias("taxonomy"), F.col(value).cast("string").alias("value"), F.lit(stable).alias("stable_over_time"))
+    both = F.explode(F.array(*(told("category", t, c, t == "comparable") for t, c in TAXONOMIES.items())))
+    parts = [rollups["citywide"].select(both.alias("x")).select("x.*")]
+    parts += [rollups[level].select(told(level, None, c, level not in UNSTABLE).alias("x")).select("x.*") for level, c in GEOGRAPHIES.items() if c]
     return reduce(DataFrame.unionByName, parts).where("value IS NOT NULL").distinct()
 
 

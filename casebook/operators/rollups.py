@@ -139,13 +139,12 @@ def _finish(spark: SparkSession, root: str, manifest: dict, years: DataFrame) ->
 
 
 def _sums(spark: SparkSession, root: str, manifest: dict) -> DataFrame:
-    """table_name, MEASURES and n_rows of the stored rollups of a version."""
-    each = []
-    for name in STORED:
-        rows = _read(spark, root, manifest, name)
-        rows = rows.withColumns({m: F.lit(None).cast("bigint") for m in MEASURES if m not in rows.columns})
-        each.append(rows.select(F.lit(name).alias("table_name"), *MEASURES))
-    return reduce(DataFrame.unionByName, each)
+    """table_name and MEASURES of all stored rollups of a version, by one scan."""
+    paths = [f"{root}/v={v}/rollups/table_name={name}/year={y}" for name in STORED for y, v in manifest["years"].items()]
+    schema = ", ".join(f"{m} bigint" for m in MEASURES)
+    if not paths:
+        return spark.createDataFrame([], f"table_name string, {schema}")
+    return spark.read.schema(schema).parquet(*paths).withColumn("table_name", F.regexp_extract("_metadata.file_path", "table_name=([^/]+)/", 1))
 
 
 def _check(spark: SparkSession, root: str, manifest: dict) -> DataFrame:

@@ -231,7 +231,8 @@ UNION ALL SELECT DISTINCT 'community_area', NULL, CAST(community_area AS string)
 
 
 def _words(spark, d):
-    return profile.vocabulary({level: published(spark, d, level) for level in GEOGRAPHIES})
+    root = rollups_of(spark, d)
+    return profile.vocabulary({level: rollups.published(spark, root, f"rollup_{level}") for level in GEOGRAPHIES})
 
 
 @query(f", {WORDS} SELECT * FROM words")

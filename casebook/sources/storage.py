@@ -28,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
         named = f"file://{tempfile.mkdtemp(prefix='casebook-')}"
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(named)
+    files, own = _files(spark, sc.getCheckpointDir())  # a folder of this application alone
+    files.deleteOnExit(own)
     return named
 
 
