@@ -104,6 +104,18 @@ def calibrated(scored: DataFrame) -> DataFrame:
     return right.orderBy(F.desc("gain"), "bin").limit(1).agg(F.coalesce(F.max("bin"), F.lit(0)).alias("least"))
 
 
+def with_scores(asked_grams: DataFrame, llr: DataFrame) -> DataFrame:
+    """Every place of a gram with its score. Up to BROADCAST_GRAMS scores go to the places. Of more,
+    those go of grams that more than one in BROADCAST_GRAMS of the places have, which are fewer
+    than that; only places of other grams are shuffled, so no frequent gram meets in a task."""
+    scores = llr.select("gram", "llr")
+    n_grams, n_places = llr.agg(F.count("*"), F.sum("met")).first()
+    if n_grams <= BROADCAST_GRAMS:
+        return asked_grams.join(F.broadcast(scores), "gram")
+    frequent = F.broadcast(llr.where(F.col("met") * BROADCAST_GRAMS > n_places).select("gram", "llr"))
+    return asked_grams.join(frequent, "gram").unionByName(asked_grams.join(frequent, "gram", "left_anti").join(scores, "gram"))
+
+
 def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_id", url: str = "url") -> DataFrame:
     """page_id, host, path, rule and verdict of every row, and for URLs without a rule
     `score`: millionths of the log-likelihood difference a character."""
@@ -115,10 +127,9 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]], page_id: str = "page_i
     fold = F.crc32(F.col("s")) % FOLDS == 0
     asked = texts.where(F.col("label").isNull() | fold)
     asked_grams = grams(asked.select("s").distinct())
-    llr = cut(gram_scores(texts.where(F.col("label").isNotNull() & ~fold), asked_grams.select("gram").distinct()))
-    if llr.count() <= BROADCAST_GRAMS:
-        llr = F.broadcast(llr)
-    scores = asked_grams.join(llr, "gram").groupBy("s").agg(F.sum("llr").alias("total"), F.count("*").alias("chars"))
+    met = cut(asked_grams.groupBy("gram").agg(F.count("*").alias("met")))
+    llr = cut(gram_scores(texts.where(F.col("label").isNotNull() & ~fold), met.select("gram")).join(met, "gram"))
+    scores = with_scores(asked_grams, llr).groupBy("s").agg(F.sum("llr").alias("total"), F.count("*").alias("chars"))
     scores = scores.select("s", F.floor(F.col("total") / F.col("chars")).cast("long").alias("score"))
     scores = scores.withColumn("bin", F.floor(F.col("score") / BIN).cast("long"))
     least = calibrated(asked.where("label IS NOT NULL").join(scores, "s")).scalar()

@@ -657,6 +657,14 @@ def test_links_of_small_sets_do_not_rest_on_bands(spark):
     assert neardup.small_sizes(80) == (5, 9) and neardup.small_sizes(50) == (2, 3) and neardup.small_sizes(100) == (1, 0)
 
 
+@pytest.mark.parametrize("most", [20, 200])
+def test_scores_of_frequent_grams_go_to_the_urls(spark, monkeypatch, most):
+    pages = spark.read.parquet(f"{FOLDER}/pages.parquet")
+    plain = sorted(tuple(r) for r in urls.judge(pages, URL_RULES).collect())
+    monkeypatch.setattr(urls, "BROADCAST_GRAMS", most)
+    assert sorted(tuple(r) for r in urls.judge(pages, URL_RULES).collect()) == plain
+
+
 def test_kept_is_the_equality_of_the_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text), (1, f"{text} more"), (2, text), (None, f"{text} end")]
