@@ -17,6 +17,9 @@ LOAD, DEEPEST, BROADCAST_CELLS = 100_000, 12, 100_000
 #: The most rows that a search for the nearest gives.
 MOST = 50
 CELL = ["level", "row", "column", "depth", "u", "v"]
+PLACE, CIRCLE = ["latitude", "longitude"], ["lat", "lon", "radius"]
+#: Points in a list; pairs of a place from which its rows are dealt out.
+LISTED, SHARE = 1000, 5_000_000
 
 
 def with_point(df: DataFrame) -> DataFrame:
@@ -129,12 +132,39 @@ def _split(cells: DataFrame) -> DataFrame:
     return each.where(F.col("hot").isNull() | near).drop("hot")
 
 
-def radius_join(df: DataFrame, points: DataFrame) -> DataFrame:
-    """Rows within the radius of each of many points (point_id, lat, lon, radius), across
-    longitude 180 and around the poles too: an equi-join on cells, of which a circle touches a few."""
-    rows, cells = assigned(df, points)
-    pairs = rows.join(cells, [*CELL, "salt"]).withColumn("distance_m", distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon")))
-    return pairs.where("distance_m <= radius").drop(*CELL, "salt", "lat", "lon", "cell_lat", "cell_lon")
+def _met(places: DataFrame, circles: DataFrame, digits: int | None) -> DataFrame:
+    """PLACE, CIRCLE and distance_m of the distinct places within distinct circles, across longitude
+    180 and around the poles too: an equi-join on cells, of which a circle touches a few."""
+    rows, cells = assigned(places.withColumn("id", F.xxhash64(*PLACE)), circles.withColumn("point_id", F.xxhash64(*CIRCLE)))
+    away = distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
+    met = rows.join(cells, [*CELL, "salt"]).withColumn("distance_m", away).where("distance_m <= radius")
+    told = F.col("distance_m") if digits is None else F.round("distance_m", digits)
+    return met.select(*PLACE, *CIRCLE, told.alias("distance_m"))
+
+
+def _placed(df: DataFrame) -> DataFrame:
+    """Rows that have a place."""
+    return with_point(df).where("latitude IS NOT NULL").drop("cell_lat", "cell_lon")
+
+
+def radius_join(df: DataFrame, points: DataFrame, digits: int | None = None) -> DataFrame:
+    """Rows within the radius of each of many points (point_id, lat, lon, radius), with distance_m
+    (rounded to `digits` if given). Distances are taken once for rows of equal place and points of
+    equal circle; the rows are then joined to lists of points, some LISTED of a circle in each.
+    A place with more than SHARE pairs is dealt out by id, and its lists are repeated."""
+    rows, points = _placed(df), points.select("point_id", *CIRCLE)
+    met = _met(cut(rows.select(*PLACE).distinct()), cut(points.select(*CIRCLE).distinct()), digits)
+    blocks = points.groupBy(*CIRCLE).agg(F.ceil(F.count("*") / LISTED).alias("blocks"))
+    lists = points.join(blocks, CIRCLE).groupBy(*CIRCLE, F.pmod(F.xxhash64("point_id"), "blocks").alias("block")).agg(F.collect_list("point_id").alias("points")).drop("block")
+    met = cut(met.join(lists, CIRCLE).select(*PLACE, "radius", "distance_m", "points"))
+    loads = met.groupBy(*PLACE).agg(F.sum(F.size("points")).alias("n_points")).join(rows.groupBy(*PLACE).agg(F.count("*").alias("n_rows")), PLACE)
+    crowded = cut(loads.where(F.col("n_points") * F.col("n_rows") > SHARE).select(*PLACE, F.least("n_rows", F.ceil(F.col("n_points") * F.col("n_rows") / SHARE)).alias("parts")))
+    crowded = _hinted(crowded, crowded.count())
+    shares = F.coalesce("parts", F.lit(1).cast("long"))
+    rows = rows.join(crowded, PLACE, "left").withColumn("share", F.pmod(F.xxhash64("id"), shares)).drop("parts")
+    met = met.join(crowded, PLACE, "left").withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), shares - 1))).drop("parts")
+    pairs = rows.join(met, [*PLACE, "share"])
+    return pairs.select(*df.columns, F.explode("points").alias("point_id"), "radius", "distance_m")
 
 
 def nearest_join(df: DataFrame, points: DataFrame, k: int) -> DataFrame:

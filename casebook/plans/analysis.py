@@ -325,7 +325,7 @@ PAIRS = f"pairs AS (SELECT point_id, id, radius, {distance_sql('latitude', 'long
 
 @query(f", {POINTS_SQL}, {PAIRS} SELECT point_id, id, round(distance_m, 3) AS distance_m FROM pairs")
 def join08_radius_join(spark, d):
-    return radius.radius_join(inc(spark, d), _points(spark, d)).select("point_id", "id", F.round("distance_m", 3).alias("distance_m"))
+    return radius.radius_join(inc(spark, d), _points(spark, d), digits=3).select("point_id", "id", "distance_m")
 
 
 @query(f", {POINTS_SQL}, {PAIRS} SELECT point_id, id, CAST(k AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY point_id ORDER BY distance_m, id) AS k FROM pairs) WHERE k <= 3")

@@ -440,6 +440,27 @@ def test_radius_join_around_the_world_and_in_crowds(spark, monkeypatch, load, de
     assert load > 1000 or rows_.agg(F.max("depth")).first()[0] > 1
 
 
+@pytest.mark.parametrize("listed,share", [(1000, 5_000_000), (3, 50)])
+def test_radius_join_meets_distinct_places_only(spark, monkeypatch, listed, share):
+    monkeypatch.setattr(radius, "LISTED", listed, raising=False)
+    monkeypatch.setattr(radius, "SHARE", share, raising=False)
+    df, points = crowds(spark)
+    met, real = [], radius.assigned
+    monkeypatch.setattr(radius, "assigned", lambda df, points: met.append((df.count(), points.count())) or real(df, points))
+    found = radius.radius_join(df, points).select("point_id", "id", "distance_m").collect()
+    assert len(found) == len({(r.point_id, r.id) for r in found}) == len(true_pairs(df, points))
+    assert {(r.point_id, r.id) for r in found} == true_pairs(df, points)
+    assert met == [(11, 4)]
+
+
+def crowds(spark):
+    """Rows at 11 places, one of which has most of them, and points with 4 circles."""
+    places = [(41.88, -87.63)] * 70 + [(41.88 + i % 10 / 1000, -87.62) for i in range(40)]
+    df = table(spark, *({"id": 7 * i % 110, "latitude": a, "longitude": o} for i, (a, o) in enumerate(places)), {"id": 999, "latitude": None})
+    asked = [(i, 41.88 + i % 2 / 1000, -87.63 + i // 2 % 2 / 100, 300.0) for i in range(20)]
+    return df, spark.createDataFrame(asked, "point_id long, lat double, lon double, radius double")
+
+
 def test_within_around_the_world(spark):
     df, points = world(spark)
     true = true_pairs(df, points)
