@@ -168,9 +168,15 @@ def radius_join(df: DataFrame, points: DataFrame, digits: int | None = None) ->
 
 
 def nearest_join(df: DataFrame, points: DataFrame, k: int) -> DataFrame:
-    """The k nearest rows within the radius of each of many points, ranked."""
-    order = Window.partitionBy("point_id").orderBy("distance_m", "id")
-    return radius_join(df, points).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    """The k nearest rows within the radius of each of many points, ranked. Of rows of equal place
+    only the k first by id can be among them, and points of equal circle have the same ones."""
+    points = points.select("point_id", *CIRCLE)
+    ranked = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = cut(_placed(df).withColumn("rank", ranked(PLACE, "id")).where(F.col("rank") <= k).drop("rank"))
+    met = _met(first.select(*PLACE).distinct(), cut(points.select(*CIRCLE).distinct()), None)
+    near = met.withColumn("ring", F.rank().over(Window.partitionBy(*CIRCLE).orderBy("distance_m"))).where(F.col("ring") <= k).drop("ring")
+    found = near.join(first, PLACE).withColumn("rank", ranked(CIRCLE, "distance_m", "id")).where(F.col("rank") <= k)
+    return found.join(points, CIRCLE).select(*df.columns, "point_id", "radius", "distance_m", "rank")
 
 
 def ungeocoded_finding(near: DataFrame, coverage: DataFrame, taxonomy: str = "source") -> DataFrame:

@@ -461,6 +461,19 @@ def crowds(spark):
     return df, spark.createDataFrame(asked, "point_id long, lat double, lon double, radius double")
 
 
+def test_nearest_join_ranks_by_distinct_places(spark, monkeypatch):
+    df, points = crowds(spark)
+    met, real = [], radius.assigned
+    monkeypatch.setattr(radius, "assigned", lambda df, points: met.append((df.count(), points.count())) or real(df, points))
+    away = geo.distance_m(F.col("latitude"), F.col("longitude"), F.col("lat"), F.col("lon"))
+    true: dict[int, list] = {}
+    for r in df.crossJoin(points).withColumn("away", away).where("away <= radius").orderBy("point_id", "away", "id").collect():
+        true.setdefault(r.point_id, []).append(r.id)
+    found = radius.nearest_join(df, points, 6).select("point_id", "id", "rank").collect()
+    assert {(r.point_id, r.id, r["rank"]) for r in found} == {(p, x, i + 1) for p, ids_ in true.items() for i, x in enumerate(ids_[:6])}
+    assert len(found) == 120 and met == [(11, 4)]
+
+
 def test_within_around_the_world(spark):
     df, points = world(spark)
     true = true_pairs(df, points)
