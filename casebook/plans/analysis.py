@@ -128,8 +128,8 @@ def agg06_after_merge(spark, d):
 
 def _synced(spark, d) -> str:
     """Rollups that were built before a sync and changed by it."""
-    df = inc(spark, d)
     root, folder, state = stored(spark, d), storage.new_folder(spark, "rollups"), storage.new_folder(spark, "state")
+    df = storage.read_incidents(spark, root).drop("year")
     rollups.build(df, folder, 1)
     begin_sync(spark, df, state)
     merge.sync(spark, root, standin.feed(standin.changed(df)), standin.codes(df), state, folder)

@@ -552,6 +552,23 @@ def test_a_replayed_batch_adds_nothing(spark, base, monkeypatch):
     assert len(calls) == 1
 
 
+def read_often(spark, df):
+    """The same rows, and a count of how many of them have been read."""
+    n = spark.sparkContext.accumulator(0)
+    return spark.createDataFrame(df.rdd.map(lambda r: (n.add(1), tuple(r))[1]), df.schema), n
+
+
+def test_a_sync_reads_feed_and_codes_once(spark, base):
+    root, state = storage.new_folder(spark, "t"), storage.new_folder(spark, "state")
+    storage.write_incidents(base, root)
+    text = table(spark, {"id": 1, "updated_on": datetime(2026, 1, 1)}, {"id": 60, "updated_on": datetime(2026, 1, 2)}).select(*(F.col(c).cast("string") for c in RAW.names))
+    feed, n_rows = read_often(spark, text)
+    codes, n_codes = read_often(spark, spark.createDataFrame([("0486", "BATTERY", " ASSAULT "), ("0810", "THEFT", None)], "iucr string, primary_description string, stable_category string"))
+    merge.sync(spark, root, feed, codes, state)
+    assert (n_rows.value, n_codes.value) == (2, 2)
+    assert {(r.id, r.stable_category) for r in storage.read_incidents(spark, root).where("id IN (1, 60)").collect()} == {(1, "ASSAULT"), (60, "ASSAULT")}
+
+
 @pytest.mark.parametrize("size,every", [(7, 20), (20, 20), (50, 20)])
 def test_stored_pages_are_those_of_the_whole_order(spark, size, every):
     root, path = storage.new_folder(spark, "t"), storage.new_folder(spark, "pages")
