@@ -569,6 +569,17 @@ def test_a_sync_reads_feed_and_codes_once(spark, base):
     assert {(r.id, r.stable_category) for r in storage.read_incidents(spark, root).where("id IN (1, 60)").collect()} == {(1, "ASSAULT"), (60, "ASSAULT")}
 
 
+def test_a_stream_derives_its_codes_once(spark, base):
+    root, landing = (storage.new_folder(spark, n) for n in ("t", "landing"))
+    storage.write_incidents(base.fillna("0110", ["iucr"]), root)
+    new = table(spark, *({"id": i, "updated_on": datetime(2026, 1, 1)} for i in range(1, 5)))
+    new.select(*(F.col(c).cast("string") for c in RAW.names)).repartition(2, "id").write.json(landing)
+    codes, n = read_often(spark, spark.createDataFrame([("0486", "BATTERY", " ASSAULT ")], "iucr string, primary_description string, stable_category string"))
+    sync.sync_stream(spark, landing, root, codes, storage.new_folder(spark, "stream"), files_per_batch=1).awaitTermination()
+    assert n.value == 1
+    assert {(r.id, r.stable_category) for r in storage.read_incidents(spark, root).where("id < 5").collect()} == {(i, "ASSAULT") for i in range(1, 5)}
+
+
 @pytest.mark.parametrize("size,every", [(7, 20), (20, 20), (50, 20)])
 def test_stored_pages_are_those_of_the_whole_order(spark, size, every):
     root, path = storage.new_folder(spark, "t"), storage.new_folder(spark, "pages")
