@@ -563,6 +563,29 @@ def test_planted_passages_are_removed_from_400_bytes_on(spark):
     assert all(removed[d] == 0 for d, _ in rows[clean:])
 
 
+def test_a_descent_takes_along_only_what_is_open(spark, monkeypatch):
+    """Contexts are no longer than the range that is looked for, and what is alike goes on once, so rounds have few rows."""
+    folders, fresh = [], repeats.new_folder
+    monkeypatch.setattr(repeats, "new_folder", lambda session, name: folders.append((name, fresh(session, name))) or folders[-1][1])
+    repeats.digests(documents(spark), group=3)
+    rounds = [spark.read.parquet(path) for name, path in folders if name == "groups"]
+    assert len(rounds) > 3
+    assert all(not x.where("length(before) > y - x OR length(after) > y - x").count() for x in rounds)
+    first, *later = [x.count() for x in rounds]
+    assert first and sum(later) < 20 * first
+
+
+def test_few_contexts_pair_by_pair_equal_intervals():
+    r = random.Random(4)
+    for need in (0, 1, 9, 40):
+        for _ in range(60):
+            pool = [bytes(r.choice(b"ab") for _ in range(need)) for _ in range(2)]
+            side = lambda: (r.choice(pool)[: r.randint(0, need)] + bytes(r.choice(b"ab") for _ in range(need)))[: r.randint(0, need)]  # noqa: B023, E731
+            keys = list({(side(), side()) for _ in range(repeats.FEW)})
+            if len(keys) > 1:
+                assert [list(map(int, x)) for x in repeats.reaches([k[0] for k in keys], [k[1] for k in keys], need)] == list(map(list, repeats._pairwise(keys, need)))
+
+
 def test_interval_reaches_equal_all_pairs():
     r = random.Random(2)
     for _ in range(60):
