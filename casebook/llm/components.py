@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import cut
+from casebook.llm.common import packed
 
 
 def _linked(edges: DataFrame, both: bool) -> DataFrame:
@@ -36,7 +36,7 @@ def _are_stars(edges: DataFrame) -> bool:
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) of every vertex of edges (u, v) other than the components' smallest
     ones, which are their own. Nulls are left out."""
-    edges = cut(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    edges = packed(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     while not _are_stars(edges):
-        edges = cut(_linked(_linked(edges, True), False))
+        edges = packed(_linked(_linked(edges, True), False))
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))

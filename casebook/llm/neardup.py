@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casebook.llm.common import chunks, cut, flat, row_key
+from casebook.llm.common import chunks, flat, packed, row_key
 from casebook.llm.components import components
 from casebook.llm.words import Shingles, mix
 
@@ -236,27 +236,27 @@ def _judged(docs: DataFrame, k: int, percent: int, doc_id: str, text: str) -> Da
     """doc_id, r1, r2, n_shingles, component_id and is_first (the text of the component that `keep_one` keeps), one row per row."""
     r1, r2 = row_key(doc_id, text)
     one = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), r1.alias("r1"), r2.alias("r2"))
-    sketched = cut(sketches(one, k, percent))
+    sketched = packed(sketches(one, k, percent))
     same = ["fp1", "fp2", "n_shingles"]
     # the first of a class: a null id comes last
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *ROW)).alias("best")
-    nodes = cut(sketched.where("n_shingles > 0").groupBy(*same).agg(best, F.first("bands").alias("bands"), F.first("less").alias("less")).withColumn("node", F.monotonically_increasing_id()))
+    nodes = packed(sketched.where("n_shingles > 0").groupBy(*same).agg(best, F.first("bands").alias("bands"), F.first("less").alias("less")).withColumn("node", F.monotonically_increasing_id()))
     members = nodes.select(F.col("node").alias("v"), F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.min("v").alias("u"), F.max("v").alias("last")).where("u <> last").select("key", "u")
     pairs = members.join(buckets, "key").where("u <> v").select("u", "v")
     # of small sets every pair that can be linked, by the fingerprint of the smaller one
     larger = nodes.select(F.col("node").alias("v"), (F.col("n_shingles") - 1).alias("n_shingles"), F.explode("less").alias("l")).select("v", "n_shingles", "l.*")
-    pairs = cut(pairs.union(nodes.select(F.col("node").alias("u"), *same).join(larger, same).select("u", "v")).distinct())
+    pairs = packed(pairs.union(nodes.select(F.col("node").alias("u"), *same).join(larger, same).select("u", "v")).distinct())
     needed = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
     needed = nodes.select("node", "best.r1", "best.r2").join(needed, "node", "left_semi")
-    texts = cut(one.select(*ROW, "text").join(needed, ROW).select("node", "text").dropDuplicates(["node"]))
+    texts = packed(one.select(*ROW, "text").join(needed, ROW).select("node", "text").dropDuplicates(["node"]))
     linked = f"100 * shared >= {percent} * (nu + nv - shared)"
     # every member with its group's centre, then with the member nearest to that
     w = F.expr(f"100 * (nu - shared) + {percent} * (nv - shared)")
-    first = cut(overlaps(pairs, texts, k).withColumn("w", w)).withColumnRenamed("u", "g")
+    first = packed(overlaps(pairs, texts, k).withColumn("w", w)).withColumnRenamed("u", "g")
     second = first.groupBy("g").agg(F.min(F.struct("w", "v")).alias("m"), F.count("*").alias("n")).where("n > 1").select("g", F.col("m.v").alias("u"), "n")
     rest = first.select("g", "v").join(second, "g").where("u <> v")
-    after = cut(overlaps(rest, texts, k))
+    after = packed(overlaps(rest, texts, k))
     near = first.where(linked).select(F.col("g").alias("u"), "v").unionByName(after.where(linked).select("u", "v"))
     # members of larger groups that are not in one component by now
     joined = components(near)
@@ -282,7 +282,7 @@ def groups(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each component, of its smallest id, with all its columns."""
     judged = _judged(docs, k, percent, doc_id, text).where("n_shingles > 0")
-    told = cut(judged.groupBy(*ROW).agg(F.max("is_first").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1").drop("n"))
+    told = packed(judged.groupBy(*ROW).agg(F.max("is_first").alias("kept"), F.count("*").alias("n")).where("NOT kept OR n > 1").drop("n"))
     r1, r2 = row_key(doc_id, text)
     keyed = docs.select(F.struct(*docs.columns).alias("row"), r1.alias("r1"), r2.alias("r2"))
     # of rows equal in id and text, one

@@ -12,6 +12,7 @@ import json
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import public_tokenizers
@@ -688,6 +689,22 @@ def test_scores_of_frequent_grams_go_to_the_urls(spark, monkeypatch, most):
     assert sorted(tuple(r) for r in urls.judge(pages, URL_RULES).collect()) == plain
 
 
+def test_near_duplicates_are_stored_in_few_files(spark):
+    """An executor starts processes for every file that it creates, however many shuffle partitions there are."""
+    root = Path(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    old, held = set(root.iterdir()), {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        assert neardup.keep_one(documents(spark)).count()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    files = [len(list(x.glob("part-*"))) for x in root.iterdir() if x not in old]
+    assert len(files) > 8 and max(files) <= 16
+
+
 def test_kept_is_the_equality_of_the_ids(spark):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text), (1, f"{text} more"), (2, text), (None, f"{text} end")]
